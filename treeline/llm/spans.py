@@ -302,7 +302,8 @@ def match_groups(suffixes: DataFrame, length: int, window: int, spans: bool) ->
         if held is not None:
             yield from results(held)
 
-    grouped = suffixes.repartition("key").sortWithinPartitions("key")
+    # partitioned by an expression of its own: a repartition that repeats a join's may be left out, and the join changed later
+    grouped = suffixes.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key")
     return grouped.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
