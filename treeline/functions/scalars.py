@@ -60,20 +60,21 @@ def scale_count(value: Column) -> tuple[Column, Column]:
     return _scaled(value, 1000.0, COUNT_UNITS, early=False)
 
 
+# scaled numbers are exact, so rounding halves to even prints what C prints
 def show_bytes(value: Column, per_second: bool = False) -> Column:
     number, unit = scale_bytes(value)
-    return F.concat(F.format_string("%.3f ", number), unit, F.lit("/s" if per_second else ""))
+    return F.concat(F.format_string("%.3f ", F.bround(number, 3)), unit, F.lit("/s" if per_second else ""))
 
 
 def show_count(value: Column) -> Column:
     number, unit = scale_count(value)
-    return F.concat(F.format_string("%.3f", number), F.when(unit == "", F.lit("")).otherwise(F.concat(F.lit(" "), unit)))
+    return F.concat(F.format_string("%.3f", F.bround(number, 3)), F.when(unit == "", F.lit("")).otherwise(F.concat(F.lit(" "), unit)))
 
 
 def show_size_2(value: Column) -> Column:
     """Two decimals and a unit, in steps of 1024."""
     number, unit = _scaled(value, 1024.0, SIZE_UNITS, early=False)
-    return F.concat(F.format_string("%.2f ", number), unit)
+    return F.concat(F.format_string("%.2f ", F.bround(number, 2)), unit)
 
 
 def show_mode(mode: Column) -> Column:

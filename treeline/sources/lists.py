@@ -61,7 +61,7 @@ def text_lines(df: DataFrame, detail: bool = True) -> DataFrame:
         short = F.when(F.col("type") == "DIR", F.lit("DIR")).when(F.col("type") == "FILE", F.lit("REG")).when(F.col("type") == "LINK", F.lit("LNK")).otherwise(F.lit("UNK"))
         return df.select(F.concat(F.lit("Type="), short, F.lit(" File="), F.col("name")).alias("value"))
     number, unit = scale_bytes(F.col("size"))
-    parts = [show_mode(F.col("mode")), F.col("user"), F.col("group"), F.format_string("%7.3f", number), F.lpad(unit, 3, " "), show_time(F.col("mtime")), F.col("name")]
+    parts = [show_mode(F.col("mode")), F.col("user"), F.col("group"), F.format_string("%7.3f", F.bround(number, 3)), F.lpad(unit, 3, " "), show_time(F.col("mtime")), F.col("name")]
     return df.select(F.concat_ws(" ", *parts).alias("value"))
 
 

@@ -51,3 +51,25 @@ def changed_items(stream: DataFrame, key: str, version: str, fields: list[str])
 def sync_stream(stream: DataFrame, plan: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Give every micro-batch of new listings to a function, such as one that plans and applies a synchronization."""
     return stream.writeStream.foreachBatch(lambda df, _: plan(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_table(result: DataFrame) -> DataFrame:
+    """Run an aggregating stream once over what its source holds, and read the final result.
+
+    The result is written to the session's shared folder in complete mode, a batch to a folder.
+    """
+    import uuid
+
+    from treeline.plans.lineage import shared_dir
+
+    spark = result.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    keep: dict[str, int] = {}
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out-{batch}")
+        keep["last"] = batch
+
+    query = result.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out-{keep['last']}") if keep else spark.createDataFrame([], result.schema)
