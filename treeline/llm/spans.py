@@ -25,8 +25,8 @@ from treeline.plans.lineage import cut
 LENGTH = 400
 SEED = 32
 WINDOW = 201
-#: Suffixes of a group up to this many are matched in a worker's memory (about 2.5 kB each).
-MOST_IN_GROUP = 4096
+#: Suffixes of a group up to this many are matched in a worker's memory (about 4 kB each).
+MOST_IN_GROUP = 16_384
 #: Groups up to this size are matched pair by pair.
 PAIRWISE = 12
 #: Characters hashed at a time, so that arrays stay in the processor's cache.
@@ -140,19 +140,20 @@ def anchor_keys(texts: DataFrame, length: int, window: int) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "doc bigint, key bigint")
 
 
-CONTEXT = "key bigint, doc bigint, first bigint, last bigint, before int, after int, context string"
+CONTEXT = "key bigint, check bigint, doc bigint, first bigint, last bigint, before int, after int, context string"
 
 
 def contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
     """The anchors whose prefix is in the text's ``keys``, with the characters around each.
 
-    ``context`` holds ``window - 1`` characters before the anchor and ``length`` from it on,
-    filled up outside the text; ``before`` and ``after`` say how many are real. Anchors of a
-    text with the same context and less than ``length`` apart (long runs of one character)
-    are one row from ``first`` to ``last``.
+    ``context`` holds the ``window - 1`` characters before the prefix and as many after it,
+    filled up outside the text; ``before`` and ``after`` say how many are real. The prefix
+    itself is the same within a group: ``key`` and ``check``, two independent hashes of it,
+    stand for it. Anchors of a text with the same context and less than ``length`` apart (long
+    runs of one character) are one row from ``first`` to ``last``.
     """
-    left = window - 1
-    around = np.arange(-left, length)
+    left, prefix = window - 1, length - window + 1
+    around = np.concatenate([np.arange(-left, 0), np.arange(prefix, length)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,15 +169,19 @@ def contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
                 keep = np.isin(tag(b.text, b.key), tag(owner, wanted))
                 yield from emit(b, docs[at:to], np.flatnonzero(keep))
 
+    def hashed(chars: np.ndarray) -> np.ndarray:
+        return (_mix(chars.astype(np.uint64) + np.arange(chars.shape[1], dtype=np.uint64) * _B) * _A).sum(1, dtype=np.uint64)
+
     def emit(b: Block, docs: np.ndarray, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(chosen), 4096):
             c = chosen[i : i + 4096]
             place, text, key = b.place[c], b.text[c], b.key[c]
+            check = hashed(b.codes[place[:, None] + np.arange(prefix)]).view(np.int64)
             where = place[:, None] + around
             inside = (where >= b.starts[text][:, None]) & (where < b.ends[text][:, None])
             chars = np.where(inside, b.codes[np.clip(where, 0, len(b.codes) - 1)], 0).astype(np.uint32)
             before, after = inside[:, :left].sum(1), inside[:, left:].sum(1)
-            same = (_mix(chars.astype(np.uint64) + np.arange(chars.shape[1], dtype=np.uint64) * _B) * _A).sum(1, dtype=np.uint64)
+            same = hashed(chars) ^ key.view(np.uint64)
             order = np.lexsort((place, same, before, after, text))
             p, s, t = place[order], same[order], text[order]
             new = np.ones(len(p), bool)
@@ -191,10 +196,10 @@ def contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
             begin = b.starts[t[heads]]
             yield pa.record_batch(
                 [
-                    pa.array(key[row]), pa.array(docs[t[heads]]), pa.array(p[heads] - begin), pa.array(p[lasts] - begin),
+                    pa.array(key[row]), pa.array(check[row]), pa.array(docs[t[heads]]), pa.array(p[heads] - begin), pa.array(p[lasts] - begin),
                     pa.array(before[row].astype(np.int32)), pa.array(after[row].astype(np.int32)), pa.array(strings, pa.string()),
                 ],
-                names=["key", "doc", "first", "last", "before", "after", "context"],
+                names=["key", "check", "doc", "first", "last", "before", "after", "context"],
             )
 
     return texts.select("doc", "text", "keys").mapInArrow(run, CONTEXT)
@@ -204,7 +209,7 @@ class Group:
     """Suffixes of one worker's stretch of sorted keys; finds what those of one key share."""
 
     def __init__(self, columns: dict[str, np.ndarray], length: int, window: int) -> None:
-        self.c, self.length, self.left = columns, length, window - 1
+        self.c, self.left, self.prefix = columns, window - 1, length - window + 1
         self.pairs: list[np.ndarray] = []
         self.spans: list[np.ndarray] = []
 
@@ -223,28 +228,33 @@ class Group:
             unlike = chars[x] != chars[y]
             back, on = unlike[:, : self.left][:, ::-1], unlike[:, self.left :]
             l = np.where(back.any(1), back.argmax(1), self.left)
-            r = np.where(on.any(1), on.argmax(1), self.length)
+            r = np.where(on.any(1), on.argmax(1), self.left)
             l, r = np.minimum(l, np.minimum(before[x], before[y])), np.minimum(r, np.minimum(after[x], after[y]))
-            ok = l + r >= self.length
-            self.note(x[ok], y[ok], l[ok], r[ok])
+            ok = l + r >= self.left
+            self.note(x[ok], y[ok], l[ok], self.prefix + r[ok])
 
     def by_depth(self, rows: np.ndarray) -> None:
-        """Larger groups: equal stretches of full length at each offset, so the time follows the rows and the pairs found."""
+        """Larger groups: equal stretches of full length at each offset, so the time follows the rows and the pairs found.
+
+        With the prefix equal, a stretch is equal where ``left`` characters around it are.
+        """
         chars, before, after, doc = self.c["chars"][rows], self.c["before"][rows], self.c["after"][rows], self.c["doc"][rows]
-        h = rolling(chars, (self.length,))[self.length]
+        h = np.concatenate([rolling(chars[i : i + 512], (self.left,))[self.left] for i in range(0, len(rows), 512)])
         low, high = np.full(len(rows), self.left + 1), np.full(len(rows), -1)
         seen: set[bytes] = set()
         for o in range(self.left + 1):
             t = self.left - o
-            real = np.flatnonzero((before >= t) & (after >= self.length - t))
+            real = np.flatnonzero((before >= t) & (after >= o))
             if len(real) < 2:
                 continue
             order = real[np.argsort(h[real, o], kind="stable")]
             v = h[order, o]
             heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-            for s, e in zip(heads, np.append(heads[1:], len(v)), strict=True):
+            tails = np.append(heads[1:], len(v))
+            large = tails - heads > 1
+            for s, e in zip(heads[large], tails[large], strict=True):
                 node = order[s:e]
-                if e - s < 2 or (doc[node] == doc[node[0]]).all():
+                if (doc[node] == doc[node[0]]).all():
                     continue
                 low[node], high[node] = np.minimum(low[node], o), np.maximum(high[node], o)
                 members = np.unique(doc[node])
@@ -255,11 +265,11 @@ class Group:
                     self.pairs.append(np.stack([members[i], members[j]], 1))
         found = np.flatnonzero(high >= 0)
         first, last = self.c["first"][rows[found]], self.c["last"][rows[found]]
-        self.spans.append(np.stack([doc[found], first - self.left + low[found], last - self.left + high[found] + self.length], 1))
+        self.spans.append(np.stack([doc[found], first - self.left + low[found], last + self.prefix + high[found]], 1))
 
     def run(self) -> None:
-        key = self.c["key"]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, check = self.c["key"], self.c["check"]
+        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(heads, len(key)))
         for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRWISE)]):
             at = heads[sizes == size]
@@ -274,7 +284,7 @@ def match_groups(suffixes: DataFrame, length: int, window: int, spans: bool) ->
     names = ["doc", "start", "end"] if spans else ["doc_a", "doc_b"]
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "doc", "first", "last", "before", "after")}
+        out = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "check", "doc", "first", "last", "before", "after")}
         text = "".join(batch.column("context").to_pylist())
         out["chars"] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(batch.num_rows, -1)
         return out
@@ -288,29 +298,34 @@ def match_groups(suffixes: DataFrame, length: int, window: int, spans: bool) ->
             yield pa.record_batch([pa.array(np.ascontiguousarray(r[:, i])) for i in range(len(names))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[dict[str, np.ndarray]] = []  # rows of the key that may go on in the next batch
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 c = columns(batch.slice(at, 4096))
-                if held is not None:
-                    c = {k: np.concatenate([held[k], c[k]]) for k in c}
-                # the last key may go on in the next rows
                 end = int(np.searchsorted(c["key"], c["key"][-1], side="left"))
-                held = {k: v[end:] for k, v in c.items()}
-                if end:
-                    yield from results({k: v[:end] for k, v in c.items()})
-        if held is not None:
-            yield from results(held)
+                if end or held and held[-1]["key"][-1] != c["key"][0]:
+                    done = [*held, {k: v[:end] for k, v in c.items()}]
+                    yield from results({k: np.concatenate([x[k] for x in done]) for k in c})
+                    held = []
+                held.append({k: v[end:] for k, v in c.items()})
+        if held:
+            yield from results({k: np.concatenate([x[k] for x in held]) for k in held[0]})
 
     # partitioned by an expression of its own: a repartition that repeats a join's may be left out, and the join changed later
-    grouped = suffixes.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key")
+    grouped = suffixes.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key", "check")
     return grouped.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def exact_nodes(suffixes: DataFrame, length: int, window: int) -> DataFrame:
-    """``node``, ``doc``, ``start``: every stretch of full length around suffixes of hot prefixes, by its 128-bit hash.
+NODE = "n1 bigint, n2 bigint, key bigint, doc bigint, first bigint, start bigint, `end` bigint"
+
 
-    This is the longest prefix a group can be split by: members of a node all share the stretch.
+def longer_prefixes(suffixes: DataFrame, length: int, window: int, step: int) -> DataFrame:
+    """Suffixes of hot prefixes under longer ones: ``n1``, ``n2`` (the hashes of a node), and the stretch ``start``, ``end``.
+
+    A shared stretch begins at one of ``window`` places before the prefix. With a ``step`` of
+    1 there is a node for each place, a stretch of full length whose members all share it.
+    With a larger step there is one for each run of ``step`` places: the part that any stretch
+    beginning there holds, ``step - 1`` shorter; suffixes that share no such node share nothing.
     """
     left = window - 1
 
@@ -321,23 +336,37 @@ def exact_nodes(suffixes: DataFrame, length: int, window: int) -> DataFrame:
                 text = "".join(part.column("context").to_pylist())
                 chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(part.num_rows, -1)
                 get = lambda k: part.column(k).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
-                doc, first, last, before, after = map(get, ("doc", "first", "last", "before", "after"))
-                t = left - np.arange(left + 1)
-                one, two = rolling(chars, (length,))[length], rolling(chars ^ np.uint32(0x5BD1E995), (length,))[length]
-                i, o = np.nonzero((before[:, None] >= t) & (after[:, None] >= length - t))
-                node = np.stack([one[i, o], two[i, o]], 1)
-                yield pa.record_batch(
-                    [pa.array(node[:, 0].copy().view(np.int64)), pa.array(node[:, 1].copy().view(np.int64)), pa.array(doc[i]), pa.array(first[i] - t[o]), pa.array(last[i] - t[o] + length)],
-                    names=["n1", "n2", "doc", "start", "end"],
-                )
+                key, check, doc, first, last, before, after = map(get, ("key", "check", "doc", "first", "last", "before", "after"))
+                size = left - step + 1
+                places = np.arange(0, left + 1, step)
+                begin = np.minimum(places + step - 1, left)  # the last place of a run may be cut
+                one = rolling(chars, (size,))[size][:, begin]
+                two = rolling(chars ^ np.uint32(0x5BD1E995), (size,))[size][:, begin]
+                i, o = np.nonzero((before[:, None] >= left - begin) & (after[:, None] >= begin + size - left))
+                mark = _mix(places[o].astype(np.uint64) * _A + np.uint64(3))
+                node = [_mix(one[i, o] * _A + mark) ^ key[i].view(np.uint64), _mix(two[i, o] * _A + mark) ^ check[i].view(np.uint64)]
+                t = left - begin[o]
+                cols = [*[x.view(np.int64) for x in node], key[i], doc[i], first[i], first[i] - t, last[i] - t + length]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in cols], names=["n1", "n2", "key", "doc", "first", "start", "end"])
+
+    return suffixes.mapInArrow(run, NODE)
+
+
+def _shared_nodes(nodes: DataFrame) -> DataFrame:
+    many = nodes.groupBy("n1", "n2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("n1", "n2")
+    return nodes.join(many, ["n1", "n2"], "left_semi")
 
-    return suffixes.mapInArrow(run, "n1 bigint, n2 bigint, doc bigint, start bigint, `end` bigint")
+
+def _hot_suffixes(suffixes: DataFrame, length: int, window: int) -> DataFrame:
+    """Nodes of full length of suffixes whose prefix is hot. Most are told apart by a longer prefix and drop out before."""
+    kept = cut(suffixes)
+    alive = _shared_nodes(longer_prefixes(kept, length, window, max(1, (window - 1) // 4))).select("key", "doc", "first").distinct()
+    return longer_prefixes(kept.join(alive, ["key", "doc", "first"], "left_semi"), length, window, 1)
 
 
 def _hot(nodes: DataFrame, spans: bool) -> DataFrame:
-    shared = nodes.groupBy("n1", "n2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi")
     if spans:
-        return nodes.join(shared.select("n1", "n2"), ["n1", "n2"], "left_semi").select("doc", "start", "end")
+        return _shared_nodes(nodes).select("doc", "start", "end")
     members = nodes.select("n1", "n2", "doc").distinct()
     # nodes of neighbouring offsets have the same members: one of each set is enough
     sets = members.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("y"))
@@ -347,38 +376,49 @@ def _hot(nodes: DataFrame, spans: bool) -> DataFrame:
     return a.join(b, ["n1", "n2"]).filter("doc_a < doc_b").select("doc_a", "doc_b")
 
 
-def text_classes(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
-    """``doc``, ``digest``, ``n`` of documents at least ``length`` characters long; equal digests are copies."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("text"))
-    return rows.filter(F.length("text") >= length).select("doc", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").alias("n"))
+    return rows.filter(F.length("text") >= length)
+
+
+def copies_of(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
+    """``rep``, ``doc``, ``n`` of documents whose whole text another one has, ``rep`` being the least id of the class.
+
+    Only digests are shuffled. Texts shorter than ``length`` are left out.
+    """
+    every = _texts(docs, id_col, text_col, length).select("doc", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").alias("n")).distinct()
+    many = every.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("digest", "rep")
+    return every.join(many, "digest").select("rep", "doc", F.col("n").cast("long").alias("n"))
 
 
 def shared_stretches(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, window: int | None = None, spans: bool = False, most_in_group: int = MOST_IN_GROUP
+    docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, window: int | None = None, spans: bool = False, most_in_group: int = MOST_IN_GROUP
 ) -> DataFrame:
     """Pairs of different texts with an identical stretch of ``length`` code points, or the stretches themselves.
 
-    Works on one document of each class of copies, the one with the least id (see
-    :func:`text_classes`). With ``spans``, rows ``doc``, ``start``, ``end`` cover exactly the
-    characters of ``doc`` that lie in such a stretch; else ``doc_a < doc_b``, each pair once.
+    Works on one document of each class of ``copies`` (:func:`copies_of`), the one with the
+    least id. With ``spans``, rows ``doc``, ``start``, ``end`` cover exactly the characters of
+    ``doc`` that lie in such a stretch; else ``doc_a < doc_b``, each pair once.
+
+    Texts are read where they lie to find anchors; only ids and hashes of prefixes are
+    shuffled. A second reading shuffles each text once, to meet the list of its shared prefixes.
     """
     window = window or min(WINDOW, length - SEED + 1, length // 2 + 1)
-    reps = text_classes(docs, id_col, text_col, length).groupBy("digest").agg(F.min("doc").alias("doc")).select("doc")
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("text"))
-    texts = texts.filter(F.length("text") >= length).join(reps.hint("shuffle_hash"), "doc")
+    texts = _texts(docs, id_col, text_col, length)
     by_key = Window.partitionBy("key")
-    keys = anchor_keys(texts, length, window).withColumns({"lo": F.min("doc").over(by_key), "hi": F.max("doc").over(by_key), "n": F.count(F.lit(1)).over(by_key)})
+    keys = anchor_keys(texts, length, window).join(copies.filter("doc <> rep").select("doc"), "doc", "left_anti")
+    keys = keys.withColumns({"lo": F.min("doc").over(by_key), "hi": F.max("doc").over(by_key), "n": F.count(F.lit(1)).over(by_key)})
     shared = cut(keys.filter("lo <> hi").select("doc", "key", "n"))
-    wanted = shared.groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    suffixes = contexts(texts.join(wanted, "doc"), length, window)
-    hot = shared.filter(F.col("n") > most_in_group).select("key").distinct()
-    if hot.isEmpty():
-        out = match_groups(suffixes, length, window, spans)
-    else:
-        hot = cut(hot)
-        suffixes = cut(suffixes)
-        out = match_groups(suffixes.join(hot, "key", "left_anti"), length, window, spans)
-        out = out.unionByName(_hot(exact_nodes(suffixes.join(hot, "key", "left_semi"), length, window), spans))
+
+    def suffixes(rows: DataFrame) -> DataFrame:
+        # the lists of prefixes are the smaller side, but grow with the data: never broadcast
+        wanted = rows.groupBy("doc").agg(F.collect_list("key").alias("keys")).hint("shuffle_hash")
+        return contexts(texts.join(wanted, "doc"), length, window)
+
+    out = match_groups(suffixes(shared.filter(F.col("n") <= most_in_group)), length, window, spans)
+    hot = shared.filter(F.col("n") > most_in_group)
+    if not hot.isEmpty():
+        out = out.unionByName(_hot(_hot_suffixes(suffixes(hot), length, window), spans))
     return out.distinct()
 
 
@@ -389,10 +429,8 @@ def sharing_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one text of at least ``length`` characters are pairs too. Null, empty and short texts have
     none; a stretch repeated within one document only is none; repeated rows count once.
     """
-    pairs = shared_stretches(docs, id_col, text_col, length=length, **options)
-    every = text_classes(docs, id_col, text_col, length).select("doc", "digest").distinct()
-    many = every.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("rep")).filter("m > 1").select("digest", "rep")
-    copies = cut(every.join(many, "digest").select("rep", "doc"))
+    copies = cut(copies_of(docs, id_col, text_col, length))
+    pairs = shared_stretches(docs, copies, id_col, text_col, length=length, **options)
     spread = lambda t, c: t.join(copies.select(F.col("rep").alias(c), F.col("doc").alias("x")), c, "left").withColumn(c, F.coalesce("x", c)).drop("x")
     across = spread(spread(pairs, "doc_a"), "doc_b")
     within = copies.alias("p").join(copies.alias("q"), "rep").filter("p.doc < q.doc").select(F.col("p.doc").alias("doc_a"), F.col("q.doc").alias("doc_b"))
@@ -407,13 +445,13 @@ def shared_amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stands verbatim in another document; all of them, where a copy of the whole text exists.
     Null texts have null ``n_chars`` and 0 shared.
     """
-    found = shared_stretches(docs, id_col, text_col, length=length, spans=True, **options)
+    copies = cut(copies_of(docs, id_col, text_col, length))
+    found = shared_stretches(docs, copies, id_col, text_col, length=length, spans=True, **options)
     w = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("end").over(w), F.lit(0))
     covered = found.select("doc", F.greatest(F.col("end") - F.greatest("start", reach), F.lit(0)).alias("new"))
     amounts = covered.groupBy("doc").agg(F.sum("new").alias("shared"))
-    every = text_classes(docs, id_col, text_col, length)
-    copied = every.join(every.groupBy("digest").agg(F.countDistinct("doc").alias("m")).filter("m > 1").select("digest"), "digest", "left_semi").select("doc", F.col("n").cast("long").alias("whole")).distinct()
+    copied = copies.select("doc", F.col("n").alias("whole"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.length(text_col).cast("long").alias("n_chars"))
     return base.join(amounts, "doc", "left").join(copied, "doc", "left").select(
         F.col("doc").alias(id_col), "n_chars", F.coalesce("whole", "shared", F.lit(0)).cast("long").alias("shared_chars")
