@@ -67,8 +67,16 @@ def show_bytes(value: Column, per_second: bool = False) -> Column:
 
 
 def show_count(value: Column) -> Column:
-    number, unit = scale_count(value)
-    return F.concat(F.format_string("%.3f", F.bround(number, 3)), F.when(unit == "", F.lit("")).otherwise(F.concat(F.lit(" "), unit)))
+    """Three decimals and a unit in steps of 1000, in whole numbers; halves round up."""
+    v = value.cast("long")
+    out = F.concat(v.cast("string"), F.lit(".000"))
+    for k in range(1, len(COUNT_UNITS)):
+        small = 1000 ** (k - 1)
+        thousandths = v - F.pmod(v, F.lit(small)) + F.when(F.pmod(v, F.lit(small)) * 2 >= small, small if k > 1 else 0).otherwise(0)
+        thousandths = (thousandths / small).cast("long")
+        shown = F.concat(((thousandths - F.pmod(thousandths, F.lit(1000))) / 1000).cast("long").cast("string"), F.lit("."), F.lpad(F.pmod(thousandths, F.lit(1000)).cast("string"), 3, "0"), F.lit(f" {COUNT_UNITS[k]}"))
+        out = F.when(v > 1000**k, shown).otherwise(out)
+    return out
 
 
 def show_size_2(value: Column) -> Column:

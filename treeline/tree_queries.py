@@ -433,7 +433,7 @@ def agg_summary(spark: SparkSession, d: str) -> DataFrame:
 def _histogram_sql(bounds: str) -> str:
     return f"""
 with b as (select list_sort({bounds}) as l), k as (select unnest(range(0, len(l) + 1)) as bin, l from b),
-e as (select case when size is null then null else len(list_filter(l, x -> x < size)) end as bin from entries, b), c as (select bin, count(*) as n from e group by bin)
+e as (select case when size is null then null else len(list_filter(l, lambda x: x < size)) end as bin from entries, b), c as (select bin, count(*) as n from e group by bin)
 select cast(k.bin as int) as bin, case when k.bin > 0 then l[k.bin] end as above, l[k.bin + 1] as upto, coalesce(n, 0) as n from k left join c on k.bin = c.bin"""
 
 
@@ -442,7 +442,7 @@ def agg_histogram(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.histogram(entries(spark, d), aggregate.parse_bins("size:0,80,1000,4k,1m"))
 
 
-@query(_histogram_sql("(select [1::bigint] || list_transform(range(1, cast(ceil(ceil(log2(max(size))) / 10) as bigint) + 1), x -> 1::bigint << cast(10 * x as int)) from entries)"))
+@query(_histogram_sql("(select [1::bigint] || list_transform(range(1, cast(ceil(ceil(log2(max(size))) / 10) as bigint) + 1), lambda x: 1::bigint << cast(10 * x as int)) from entries)"))
 def agg_histogram_default(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.histogram(entries(spark, d))
 
@@ -498,7 +498,7 @@ def window_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, ntile(7) over (order by o_orderkey) - 1 as block from orders")
 def window_even_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return order.even_blocks(read(spark, d, "orders").select("o_orderkey"), [F.asc("o_orderkey")], 7)
+    return order.even_blocks(read(spark, d, "orders").select("o_orderkey"), [F.asc("o_orderkey")], 7).select("o_orderkey", "block")
 
 
 @query("select o_orderkey, (row_number() over (order by o_orderkey desc) - 1) // 1000 as batch from orders")
@@ -566,8 +566,8 @@ def set_map_merge(spark: SparkSession, d: str) -> DataFrame:
 
 # -- scalars
 @query(f"""
-select distinct name, {BASE} as base, {DIR} as dir, array_to_string(list_slice(list_filter(string_split(name, '/'), x -> x <> ''), 2, 3), '/') as middle,
-  len(list_filter(string_split(name, '/'), x -> x <> '')) as parts, '/x/y' || name as moved, split_part(name, '/', 3) as second, name || '/z' as below from entries""")
+select distinct name, {BASE} as base, {DIR} as dir, array_to_string(list_slice(list_filter(string_split(name, '/'), lambda x: x <> ''), 2, 3), '/') as middle,
+  len(list_filter(string_split(name, '/'), lambda x: x <> '')) as parts, '/x/y' || name as moved, split_part(name, '/', 3) as second, name || '/z' as below from entries""")
 def scalar_path_parts(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("name").distinct().select(
         "name", paths.basename("name").alias("base"), paths.dirname("name").alias("dir"), paths.slice_path("name", 1, 2).alias("middle"),
@@ -588,7 +588,11 @@ def scalar_path_relation(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("name").distinct().select("name", paths.relation("name", F.lit("/tank/sim")).alias("relation"))
 
 
-@query(f"select distinct size, ltrim({_SCALE}) as shown, printf('%.3f', case when size > 1000000 then size / 1000000.0 when size > 1000 then size / 1000.0 else size end) || case when size > 1000000 then ' M' when size > 1000 then ' k' else '' end as counted from entries where size < 1000000000 and size is not null".replace("' ' || '  B'", "' B'").replace("'   B'", "' B'"))
+@query(f"""
+select distinct size, ltrim({_SCALE.replace("|| '   B'", "|| ' B'").replace("' ' || '  B'", "' B'")}) as shown,
+  case when size > 1000000 then ((size + 500) // 1000 // 1000) || '.' || lpad(cast((size + 500) // 1000 % 1000 as varchar), 3, '0') || ' M'
+    when size > 1000 then (size // 1000) || '.' || lpad(cast(size % 1000 as varchar), 3, '0') || ' k' else size || '.000' end as counted
+from entries where size < 1000000000 and size is not null""")
 def scalar_show_sizes(spark: SparkSession, d: str) -> DataFrame:
     e = entries(spark, d).select("size").filter("size < 1000000000").distinct()
     return e.select("size", scalars.show_bytes(F.col("size")).alias("shown"), scalars.show_count(F.col("size")).alias("counted"))
@@ -609,8 +613,8 @@ def scalar_show_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with m as (select distinct mode, type from entries where mode is not null)
-select mode, type, mode & 61440 | 493 as octal, mode & ~56 | (mode & 448) >> 3 as g_u, mode & ~73 as a_x,
-  mode | 448 & 128 | case when type = 'DIR' then 64 else 0 end as u_wX from m""")
+select mode, type, (mode & 61440) | 493 as octal, (mode & ~56) | ((mode & 448) >> 3) as g_u, mode & ~73 as a_x,
+  mode | 128 | (case when type = 'DIR' then 64 else 0 end) as u_wX from m""")
 def scalar_chmod(spark: SparkSession, d: str) -> DataFrame:
     m = entries(spark, d).select("mode", "type").filter("mode is not null").distinct()
     change = lambda c, n: new_mode(F.col("mode"), F.col("type"), c).alias(n)
