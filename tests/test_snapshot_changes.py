@@ -6,7 +6,7 @@ from treeline.operators import snapshot_changes as S
 
 def changes(spark, items):
     df = spark.createDataFrame([(*r, 9, "x") for r in items], "s int, k string, a bigint, b bigint, idx int, h string")
-    return rows(S.snapshot_changes(df, "s", "k", ["a", "b"]))
+    return sorted(rows(S.snapshot_changes(df, "s", "k", ["a", "b"])))
 
 
 def test_cases(spark):
@@ -30,6 +30,6 @@ def test_against_brute_force(spark, monkeypatch):
             if a != b:
                 want.append((s, k, "added" if a is None else "removed" if b is None else "changed"))
     items = [(s, k, v, v) for s, t in state.items() for k, v in t.items()]
-    assert changes(spark, items * 2) == sorted(want, key=repr)
+    assert changes(spark, items * 2) == sorted(want)
     monkeypatch.setattr(S, "MOST_SENT", 2)  # more snapshots than are sent to every task
-    assert changes(spark, items) == sorted(want, key=repr)
+    assert changes(spark, items) == sorted(want)

@@ -17,13 +17,15 @@ SCHEMA = T.StructType(
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """The entry columns of ``df`` in order and type; missing ones are null, a missing depth is counted."""
+    """The entry columns of ``df`` in order and type; missing ones are null, a missing or null depth is counted."""
     out = []
     for f in SCHEMA:
         if f.name in df.columns:
             c: Column = F.col(f.name)
         else:
-            c = depth("name") if f.name == "depth" else F.lit(None)
+            c = F.lit(None)
+        if f.name == "depth":
+            c = F.coalesce(c.cast("int"), depth("name"))
         out.append(c.cast(f.dataType).alias(f.name))
     return df.select(*out)
 

@@ -15,8 +15,8 @@ from treeline.operators.order import positions
 
 # The footer holds six numbers of 64 bits, most significant byte first: start of the
 # block table, number of blocks, size of a block, size of the data, version, magic number.
-FOOTER = struct.Struct(">6Q")
-ENTRY = struct.Struct(">2Q")
+FOOTER, FOOTER_SIZE = ">6Q", 48
+ENTRY, ENTRY_SIZE = ">2Q", 16
 VERSION, MAGIC = 1, 0x3141314131413141
 UNIT = 100_000
 
@@ -69,9 +69,9 @@ def compress_file(spark: SparkSession, source: str, dest: str, *, blocksize: int
     table = block_table(_blocks(spark, size, block).mapInArrow(run, "block bigint, length bigint"))
     last = table.agg(F.coalesce(F.max(F.col("offset") + F.col("length")), F.lit(0)).alias("end"), F.count(F.lit(1)).alias("n")).first()
     with open(dest, "wb") as f:
-        f.truncate(last["end"] + last["n"] * ENTRY.size + FOOTER.size)
-        f.seek(last["end"] + last["n"] * ENTRY.size)
-        f.write(FOOTER.pack(last["end"], last["n"], block, size, VERSION, MAGIC))
+        f.truncate(last["end"] + last["n"] * ENTRY_SIZE + FOOTER_SIZE)
+        f.seek(last["end"] + last["n"] * ENTRY_SIZE)
+        f.write(struct.pack(FOOTER, last["end"], last["n"], block, size, VERSION, MAGIC))
     start = last["end"]
 
     def place(rows: Iterator) -> None:
@@ -80,8 +80,8 @@ def compress_file(spark: SparkSession, source: str, dest: str, *, blocksize: int
                 with open(f"{parts}/{r['block']}", "rb") as g:
                     f.seek(r["offset"])
                     f.write(g.read())
-                f.seek(start + r["block"] * ENTRY.size)
-                f.write(ENTRY.pack(r["offset"], r["length"]))
+                f.seek(start + r["block"] * ENTRY_SIZE)
+                f.write(struct.pack(ENTRY, r["offset"], r["length"]))
 
     table.foreachPartition(place)
     for name in os.listdir(parts):
@@ -96,10 +96,10 @@ def read_footer(path: str) -> dict:
     """The fields of the footer. Raises ValueError for another kind of file."""
     with open(path, "rb") as f:
         f.seek(0, 2)
-        if f.tell() < FOOTER.size:
+        if f.tell() < FOOTER_SIZE:
             raise ValueError("the file is too short")
-        f.seek(-FOOTER.size, 2)
-        table, n, block, size, version, magic = FOOTER.unpack(f.read(FOOTER.size))
+        f.seek(-FOOTER_SIZE, 2)
+        table, n, block, size, version, magic = struct.unpack(FOOTER, f.read(FOOTER_SIZE))
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a block-compressed file")
     return {"table": table, "blocks": n, "block": block, "bytes": size}
@@ -116,8 +116,8 @@ def decompress_file(spark: SparkSession, source: str, dest: str, *, force: bool
     def run(rows: Iterator) -> None:
         with open(source, "rb") as f, open(dest, "r+b") as g:
             for r in rows:
-                f.seek(foot["table"] + r["block"] * ENTRY.size)
-                offset, length = ENTRY.unpack(f.read(ENTRY.size))
+                f.seek(foot["table"] + r["block"] * ENTRY_SIZE)
+                offset, length = struct.unpack(ENTRY, f.read(ENTRY_SIZE))
                 f.seek(offset)
                 g.seek(r["block"] * foot["block"])
                 g.write(bz2.decompress(f.read(length)))

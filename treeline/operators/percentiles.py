@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,9 +77,9 @@ def percentile_buckets(counts: DataFrame, keys: Sequence[str], shares: Sequence[
     The p-percentile is the smallest value that at least p of the rows don't exceed. Ranks
     are counted in millionths, in integers.
     """
-    parts = ", ".join(f"`{k}`" for k in keys)
-    w = f"(partition by {parts} order by bucket rows between unbounded preceding and current row)"
-    run = counts.select(*keys, "bucket", "n", F.expr(f"sum(n) over {w}").alias("upto"), F.expr(f"sum(n) over (partition by {parts})").alias("total"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = counts.select(*keys, "bucket", "n", upto.alias("upto"), F.sum("n").over(w).alias("total"))
     need = [f"greatest((total * {round(p * 1_000_000)} + 999999) div 1000000, 1)" for p in shares]
     return run.groupBy(*keys).agg(
         F.first("total").alias("n"),

@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.entries import DETAIL
 from treeline.functions.paths import basename, below, components
 from treeline.functions.patterns import basic_regex, glob_regex, matches_basic, wildcard_regex
 from treeline.functions.scalars import TYPE_BITS, TYPE_MASK, parse_bytes
@@ -116,10 +116,12 @@ def find(df: DataFrame, *tests: Column) -> DataFrame:
     Tests of detail on a list without detail raise ValueError when the columns are missing;
     rows whose detail is null never pass them.
     """
-    missing = sorted({c for c in DETAIL for t in tests if c not in df.columns and f"{c} " in f"{t} "})
-    if missing:
-        raise ValueError(f"the list has no detail: {', '.join(missing)}")
-    return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
+    try:
+        return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
+    except AnalysisException as e:
+        if "UNRESOLVED_COLUMN" in str(e):
+            raise ValueError(f"the list lacks a column that a test needs: {e}") from e
+        raise
 
 
 def filter_regex(df: DataFrame, pattern: str | None, *, exclude: bool = False, only_basename: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from treeline.functions.times import show_time
 # each row; then the items, a padded name and ten numbers to each.
 LETTERS = {"F": "FILE", "D": "DIR", "L": "LINK"}
 NUMBERS = ("mode", "uid", "gid", "atime", "atime_nsec", "mtime", "mtime_nsec", "ctime", "ctime_nsec", "size")
-RECORD = struct.Struct(f">{len(NUMBERS)}Q")
+RECORD, RECORD_SIZE = f">{len(NUMBERS)}Q", 8 * len(NUMBERS)
 
 
 def read_lite(spark: SparkSession, path: str) -> DataFrame:
@@ -108,13 +108,13 @@ class ListReader(DataSourceReader):
 
     def read(self, part: _Range) -> Iterator[tuple]:
         head = read_header(self.path)
-        width, size = head["width"], head["width"] + RECORD.size
+        width, size = head["width"], head["width"] + RECORD_SIZE
         with open(self.path, "rb") as f:
             f.seek(head["place"] + part.first * size)
             for _ in range(part.count):
                 row = f.read(size)
                 name = row[:width].split(b"\0")[0].decode("utf-8", "replace")
-                v = dict(zip(NUMBERS, RECORD.unpack(row[width:]), strict=True))
+                v = dict(zip(NUMBERS, struct.unpack(RECORD, row[width:]), strict=True))
                 kind = {0o100000: "FILE", 0o040000: "DIR", 0o120000: "LINK"}.get(v["mode"] & 0o170000, "UNKNOWN")
                 yield (name, name.count("/"), kind, *[v[c] for c in DETAIL])
 
@@ -171,7 +171,7 @@ def write_binary(df: DataFrame, path: str, users: list[tuple[int, str]] = (), gr
         tables += b"".join(n.encode().ljust(w, b"\0") + struct.pack(">Q", i) for i, n in table)
     count = df.count()
     start = struct.pack(">7Q", 4, *heads, count, width) + tables
-    size = width + RECORD.size
+    size = width + RECORD_SIZE
     with open(path, "wb") as f:
         f.write(start)
         f.truncate(len(start) + count * size)
@@ -181,7 +181,7 @@ def write_binary(df: DataFrame, path: str, users: list[tuple[int, str]] = (), gr
         with open(path, "r+b") as f:
             for r in rows:
                 f.seek(begin + r["position"] * size)
-                f.write(r["name"].encode().ljust(width, b"\0") + RECORD.pack(*[(r[c] or 0) & (1 << 64) - 1 for c in NUMBERS]))
+                f.write(r["name"].encode().ljust(width, b"\0") + struct.pack(RECORD, *[(r[c] or 0) & (1 << 64) - 1 for c in NUMBERS]))
 
     positions(df.select("name", *NUMBERS), [F.asc("name")]).foreachPartition(place)
     return count
