@@ -102,4 +102,17 @@ def test_compaction_conflicts_and_recovery(spark, tmp_path):
     t._write_stage(read, stage, 1 << 20)
     t._take(1, {"stage": stage, "partitions": sorted(read)})
     assert t.recover() and not t.recover()
-    assert spark.read.parquet(path).count() == 27 and len(t.partitions()["day=hot"].files) == 1
+    assert spark.read.parquet(path).count() == 27 and t.partitions()["day=hot"].n_files == 1
+
+
+def test_partition_names_stay_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for day in ("01", "1", "a/b c+d%", "ü"):
+        for i in range(24):
+            spark.createDataFrame([(i, day)], "v int, day string").coalesce(1).write.mode("append").partitionBy("day").parquet(path)
+    t = C.CompactableTable(spark, path, "day")
+    folders = set(t.partitions())
+    done = t.compact(200)
+    after = t.partitions()
+    assert done["partitions"] == 4 and set(after) == folders and all(p.n_files < 24 for p in after.values())
+    assert sorted(map(tuple, t._rows(path).groupBy("day").count().collect())) == sorted((d, 24) for d in ("01", "1", "a/b c+d%", "ü"))

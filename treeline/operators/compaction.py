@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.functions.paths import dirname
 from treeline.functions.times import micros
@@ -22,6 +23,9 @@ SMALL_BYTES = 32_768
 CROWD = 24
 #: Files of one directory are packed in subsets of about this many, so that no task orders a whole huge directory.
 SUBSET_FILES = 4_096
+#: Crowded partitions are listed to every task up to this many (a few MB), and written by at most so many tasks.
+MOST_SENT = 50_000
+MOST_TASKS = 10_000
 
 
 def crowded_directories(
@@ -115,9 +119,12 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class PartitionFiles:
+    """A partition's files: how many, how many small ones, their bytes, and a checksum of names and lengths."""
+
+    n_files: int
     n_small: int
     bytes: int
-    files: frozenset[str]
+    checksum: int
 
 
 class CompactableTable:
@@ -135,8 +142,9 @@ class CompactableTable:
     LOG = "_versions"
     STAGE = "_staged"
 
-    def __init__(self, spark: SparkSession, path: str, column: str) -> None:
-        self.spark, self.path, self.column = spark, path.rstrip("/"), column
+    def __init__(self, spark: SparkSession, path: str, column: str, schema: T.StructType | None = None) -> None:
+        """``schema`` saves reading the footers of all files of crowded partitions; the column must be a string in it."""
+        self.spark, self.path, self.column, self.schema = spark, path.rstrip("/"), column, schema
         jvm = spark._jvm
         self._jpath = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -172,22 +180,21 @@ class CompactableTable:
             stream.close()
 
     # -- files
-    def partitions(self, small_bytes: int = SMALL_BYTES) -> dict[str, PartitionFiles]:
-        """The data files of each partition folder, from one listing of names and lengths."""
-        found: dict[str, list] = {}
-        walk = self._fs.listFiles(self._jpath(self.path), True)
-        while walk.hasNext():
-            s = walk.next()
-            folder = s.getPath().getParent().getName()
-            if folder.startswith(f"{self.column}=") and not s.getPath().getName().startswith(("_", ".")) and f"/{self.STAGE}/" not in s.getPath().toString():
-                found.setdefault(folder, []).append((s.getPath().getName(), s.getLen()))
-        return {
-            k: PartitionFiles(sum(n < small_bytes for _, n in v), sum(n for _, n in v), frozenset(x for x, _ in v))
-            for k, v in found.items()
-        }
+    def _listing(self, small_bytes: int) -> DataFrame:
+        """The files of each partition folder, listed by the executors; only names and lengths are looked at."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path).select("path", "length")
+        parts = files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.xxhash64("path", "length").alias("h"), "length")
+        return parts.filter(F.startswith("folder", F.lit(f"{self.column}="))).groupBy("folder").agg(
+            F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("length") < small_bytes, 1)).alias("n_small"), F.sum("length").alias("bytes"), F.bit_xor("h").alias("checksum")
+        )
+
+    def partitions(self, small_bytes: int = SMALL_BYTES, crowd: int = 0) -> dict[str, PartitionFiles]:
+        """Partition folders with at least ``crowd`` small files; a row for each comes to the driver, none for files."""
+        found = self._listing(small_bytes).filter(F.col("n_small") >= crowd).collect()
+        return {r.folder: PartitionFiles(r.n_files, r.n_small, r.bytes, r.checksum) for r in found}
 
     def crowded(self, small_bytes: int = SMALL_BYTES, crowd: int = CROWD) -> dict[str, PartitionFiles]:
-        return {k: p for k, p in self.partitions(small_bytes).items() if p.n_small >= crowd}
+        return self.partitions(small_bytes, crowd)
 
     # -- the work
     def compact(self, target_bytes: int, small_bytes: int = SMALL_BYTES, crowd: int = CROWD, *, before_commit=None) -> dict:
@@ -206,7 +213,7 @@ class CompactableTable:
         if before_commit:
             before_commit()
         now = self.partitions(small_bytes)
-        changed = [k for k, p in read.items() if k not in now or now[k].files != p.files]
+        changed = [k for k, p in read.items() if k not in now or now[k] != p]
         try:
             if changed:
                 raise ConflictError(f"changed since they were read: {sorted(changed)[:5]}")
@@ -219,29 +226,46 @@ class CompactableTable:
         return {
             "version": version + 1,
             "partitions": len(read),
-            "files_before": sum(len(p.files) for p in read.values()),
-            "files_after": sum(len(after[k].files) for k in read),
+            "files_before": sum(p.n_files for p in read.values()),
+            "files_after": sum(after[k].n_files for k in read),
         }
 
-    def _rows(self, folders: list[str], base: str) -> DataFrame:
-        return self.spark.read.option("basePath", base).parquet(*[f"{base}/{k}" for k in folders])
+    def read(self) -> DataFrame:
+        """The table's rows; a commit that was cut short is finished first."""
+        self.recover()
+        return self._rows(self.path)
+
+    def _rows(self, base: str, folders: list[str] | None = None) -> DataFrame:
+        """Rows below ``base``, the partition column as the text that its folders carry (never a number read from it)."""
+        paths = [f"{base}/{k}" for k in folders] if folders else [base]
+        if self.schema is None:
+            found = self.spark.read.option("basePath", base).option("mergeSchema", "true").parquet(*paths).schema
+            self.schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == self.column else f.dataType) for f in found])
+        return self.spark.read.option("basePath", base).schema(self.schema).parquet(*paths)
 
     def _write_stage(self, read: dict[str, PartitionFiles], stage: str, target_bytes: int) -> None:
-        rows = self._rows(sorted(read), self.path)
-        parts = {k: max(1, math.ceil(p.bytes / target_bytes)) for k, p in read.items()}
-        # a partition's share of output files follows its bytes; the salt spreads a huge one over as many tasks
-        counts = F.create_map(*[x for k, n in parts.items() for x in (F.lit(k), F.lit(n))])
-        folder = F.concat(F.lit(f"{self.column}="), F.coalesce(F.col(self.column).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
-        salt = F.floor(F.rand(7) * F.coalesce(F.try_element_at(counts, folder), F.lit(1)))
-        spread: Column = F.xxhash64(self.column, salt)
-        rows.repartition(sum(parts.values()), spread).write.partitionBy(self.column).parquet(stage)
-        want, got = rows.count(), self.spark.read.parquet(stage).count()
+        rows = self._rows(self.path, sorted(read))
+        parts = [(k, max(1, math.ceil(p.bytes / target_bytes))) for k, p in read.items()]
+        # a partition's share of output files follows its bytes; a salt from the rows spreads a huge one over as many
+        # tasks, and depends on the rows only, so that a task run again writes the same
+        file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+        hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        salted = rows.select("*", F.element_at(F.split(file, "/"), -2).alias("__folder"), F.xxhash64(*hashable).alias("__salt"))
+        share = self.spark.createDataFrame(parts, "__folder string, __parts int")
+        if len(parts) <= MOST_SENT:
+            share = F.broadcast(share)
+        placed = salted.join(share, "__folder", "left").repartition(
+            max(1, min(sum(n for _, n in parts), MOST_TASKS)), "__folder", F.pmod("__salt", F.coalesce("__parts", F.lit(1)))
+        )
+        placed.select(*rows.columns).write.partitionBy(self.column).parquet(stage)
+        want, got = rows.count(), self._rows(stage).count()
         if want != got:
             self._fs.delete(self._jpath(stage), True)
             raise RuntimeError(f"{got} rows were written of {want}")
 
     def _overwrite(self, version: int, stage: str) -> None:
-        rows = self.spark.read.parquet(stage)
+        # one task for each staged file's partition again, so that files stay as few
+        rows = self._rows(stage)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.column).parquet(self.path)
         self._fs.create(self._done_file(version), True).close()
         self._fs.delete(self._jpath(stage), True)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions.paths import strip_root
 from treeline.operators import compaction, heavy_keys, percentiles, snapshot_changes, table_diff
+from treeline.plans import lineage
 
 #: Bytes of a compacted list file.
 LIST_BYTES = 65_536
@@ -32,6 +35,16 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("dir", "file", F.col("line").cast("long").alias("line"), "path", "type", F.col("part").isNotNull().alias("moved"))
 
 
+def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The records after a table of them, written by many writers, is compacted in place."""
+    path = f"{lineage.shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    rows = compaction.records(compaction.stored_files(read(spark, d, "saved_lists")))
+    rows.repartition(compaction.CROWD, "file").write.partitionBy("dir").parquet(path)
+    table = compaction.CompactableTable(spark, path, "dir", rows.schema)
+    table.compact(LIST_BYTES)
+    return table.read().select("dir", "file", F.col("line").cast("long").alias("line"), "path", "type")
+
+
 def p1_parts(spark: SparkSession, d: str) -> DataFrame:
     """What each directory of stored lists becomes: files before and after, records and bytes kept."""
     files = compaction.stored_files(read(spark, d, "saved_lists"))
@@ -73,14 +86,16 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each gid and uid, from sketches of the days of walks added together."""
     keys = ["key_name", "key_value"]
     rows = read(spark, d, "entries").select(
+        F.to_date("walked_at").alias("day"),
         F.explode(F.array(F.struct(F.lit("gid").alias("key_name"), F.col("gid").alias("key_value")), F.struct(F.lit("uid").alias("key_name"), F.col("uid").alias("key_value")))).alias("k"), "size"
     )
-    counts = percentiles.sketch(rows.select("k.*", "size").filter("key_value is not null"), keys, "size")
+    daily = percentiles.sketch(rows.select("k.*", "day", "size").filter("key_value is not null"), [*keys, "day"], "size")
+    counts = percentiles.merge([daily], keys)
     found = percentiles.percentiles(counts, keys, SHARES)
     return found.select(*keys, "n", *[F.round(f"p{i}").cast("long").alias(f"p{round(100 * p)}") for i, p in enumerate(SHARES)])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_parts, p2_found, p2_totals, p3_found, p4_found, p5_found, p5_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_parts, p2_found, p2_totals, p3_found, p4_found, p5_found, p5_percentiles)}
 
 _DIR = "regexp_replace(name, '/[^/]*$', '')"
 _KEYS = f"""
@@ -108,6 +123,14 @@ select dir, file, cast(line as bigint) as line,
   case when t like '%|%' then left(t, length(t) - strpos(reverse(t), '|')) else t end as path,
   case when t like '%|%' then right(t, strpos(reverse(t), '|') - 1) end as type,
   dir in (select dir from crowded) as moved
+from clean where t <> ''""",
+    "p1_compacted": f"""
+with {_FILES},
+lines as (select dir, name as file, unnest(string_split(body, chr(10))) as t, generate_subscripts(string_split(body, chr(10)), 1) - 1 as line from files where body is not null),
+clean as (select dir, file, line, case when t like '%' || chr(13) then left(t, length(t) - 1) else t end as t from lines)
+select dir, file, cast(line as bigint) as line,
+  case when t like '%|%' then left(t, length(t) - strpos(reverse(t), '|')) else t end as path,
+  case when t like '%|%' then right(t, strpos(reverse(t), '|') - 1) end as type
 from clean where t <> ''""",
     "p2_found": f"""
 with {_KEYS}
