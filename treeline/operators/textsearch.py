@@ -10,8 +10,9 @@ from treeline.functions.patterns import basic_regex
 
 def grep(df: DataFrame, pattern: str, content: str = "content", *, ignore_case: bool = False, invert: bool = False) -> DataFrame:
     """``name``, ``line_no`` (from 1), ``line`` of matching lines of text columns; a last empty line isn't a line."""
-    rows = df.filter(F.col(content).isNotNull()).select("name", F.posexplode(F.split(F.col(content), "\n", -1)).alias("i", "line"), F.size(F.split(F.col(content), "\n", -1)).alias("n"))
-    rows = rows.filter(~((F.col("i") == F.col("n") - 1) & (F.col("line") == "")))
+    c = F.col(content)
+    body = F.when(F.endswith(c, F.lit("\n")), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    rows = df.filter(c.isNotNull() & (c != "")).select("name", F.posexplode(F.split(body, "\n", -1)).alias("i", "line"))
     hit = F.col("line").rlike(("(?i)" if ignore_case else "") + basic_regex(pattern))
     return rows.filter(~hit if invert else hit).select("name", (F.col("i") + 1).alias("line_no"), "line")
 
