@@ -112,3 +112,14 @@ def test_anchors_do_not_depend_on_what_surrounds_a_stretch():
             S.SEGMENT = old
             found.append([(p - lead, k) for p, k in zip(place.tolist(), key.tolist(), strict=True)])
         assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_very_long_texts(spark):
+    r = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    core = word(450)
+    long = word(S.BLOCK + 100_000) + "A" + core + "B" + word(50_000)
+    df = frame(spark, [(1, long), (2, word(700) + "C" + core), (3, "=" * 300_000), (4, "-" * 500 + "=" * 401)])
+    assert rows(S.sharing_pairs(df)) == [(1, 2), (3, 4)]
+    got = {r.doc_id: r.shared_chars for r in S.shared_amounts(df).collect()}
+    assert got == {1: 450, 2: 450, 3: 300_000, 4: 401}
