@@ -24,3 +24,16 @@ def test_order_never_changes_the_result(spark):
     a = H.key_totals(df, ["key"], F.lit(None).cast("int"), "v")
     b = H.key_totals(df, ["key"], F.rand(3), "v")
     assert rows(a) == rows(b)
+
+
+def test_running_totals_of_a_heavy_key(spark):
+    data = [(None if i % 50 == 7 else "hot" if i % 3 else f"k{i % 9}", i * 37 % 4000, None if i % 11 == 0 else i) for i in range(4000)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in data], "key string, o int, v bigint, r int, n0 int")
+    want, totals = [], {}
+    for k, o, v in sorted(data, key=lambda t: t[1]):
+        n, s = totals.get(k, (0, 0))
+        totals[k] = n + 1, s + (v or 0)
+        want.append((k, o, v, *totals[k]))
+    got = rows(H.running_totals(df, ["key"], ["o"], "v").withColumn("running", F.col("running").cast("long")))
+    assert got == sorted(want, key=repr)
+    assert H.running_totals(df.limit(0), ["key"], ["o"], "v").count() == 0

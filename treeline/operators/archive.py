@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tarfile
 from collections.abc import Iterator
@@ -180,13 +179,3 @@ def extract(index: DataFrame, path: str, dest: str) -> int:
     safe.filter("type in ('FILE', 'LINK')").foreachPartition(items)
     safe.filter("type = 'DIR'").foreachPartition(modes)
     return safe.filter("type <> 'UNKNOWN'").count()
-
-
-def text_entry(name: str, data: bytes) -> bytes:
-    """One entry with its padding, for tests and small archives."""
-    info = tarfile.TarInfo(name)
-    info.size = len(data)
-    out = io.BytesIO(info.tobuf(tarfile.PAX_FORMAT))
-    out.seek(0, 2)
-    out.write(data + b"\0" * (-len(data) % BLOCK))
-    return out.getvalue()

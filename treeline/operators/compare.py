@@ -22,13 +22,26 @@ def _state(same: Column) -> Column:
     return F.when(same, F.lit("COMMON")).otherwise(F.lit("DIFFER"))
 
 
-def sides(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str) -> DataFrame:
+#: The columns behind each field; only those of fields that are compared are read and shuffled.
+COLUMNS = {
+    "EXIST": (), "TYPE": ("mode", "type"), "SIZE": ("size", "type"), "UID": ("uid",), "GID": ("gid",), "PERM": ("mode",), "ACL": (),
+    "CONTENT": ("mode", "type", "size", "mtime", "mtime_nsec"), **{f: (c, f"{c}_nsec") for f, c in TIMES.items()},
+}
+
+
+def columns_for(fields: Iterable[str], *extra: str | None) -> list[str]:
+    """``name``, ``type``, what the fields need, and the extra columns."""
+    return list(dict.fromkeys(["name", "type", *[c for f in exprs.FIELDS if f in set(fields) for c in COLUMNS[f]], *[c for c in extra if c]]))
+
+
+def sides(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str, columns: list[str] | None = None) -> DataFrame:
     """The full outer join of two trees: ``rel`` and the structs ``s`` and ``d`` (null where missing).
 
-    The root itself has an empty ``rel``; rows outside their root are left out.
+    The root itself has an empty ``rel``; rows outside their root are left out. The structs hold
+    all columns, or the given ones.
     """
-    s = src.select(strip_root("name", src_root).alias("rel"), F.struct(*src.columns).alias("s")).filter("rel is not null")
-    d = dst.select(strip_root("name", dst_root).alias("rel"), F.struct(*dst.columns).alias("d")).filter("rel is not null")
+    s = src.select(strip_root("name", src_root).alias("rel"), F.struct(*(columns or src.columns)).alias("s")).filter("rel is not null")
+    d = dst.select(strip_root("name", dst_root).alias("rel"), F.struct(*(columns or dst.columns)).alias("d")).filter("rel is not null")
     return s.join(d, "rel", "full_outer")
 
 
@@ -74,7 +87,8 @@ def states(joined: DataFrame, fields: Iterable[str] = exprs.FIELDS, *, lite: boo
 def compare(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str, expressions: Iterable[str] = DEFAULT_OUTPUTS, **options) -> DataFrame:
     """States of every path of either tree; only fields that the expressions need are compared."""
     need = set().union(*[exprs.needed(exprs.parse(e)) for e in expressions])
-    return states(sides(src, dst, src_root, dst_root), need, **options)
+    columns = columns_for(need, *(options.get(k) for k in ("content", "target", "acl")))
+    return states(sides(src, dst, src_root, dst_root, columns), need, **options)
 
 
 def matching(compared: DataFrame, expression: str) -> DataFrame:
@@ -111,10 +125,3 @@ def content_by_chunks(src_chunks: DataFrame, dst_chunks: DataFrame) -> DataFrame
     a, b = src_chunks.select("rel", "offset", F.col("digest").alias("x")), dst_chunks.select("rel", "offset", F.col("digest").alias("y"))
     pair = a.join(b, ["rel", "offset"], "full_outer")
     return pair.groupBy("rel").agg(F.bool_or(~F.col("x").eqNullSafe(F.col("y"))).alias("differs"))
-
-
-def id_names(df: DataFrame, names: DataFrame, id_col: str, out: str) -> DataFrame:
-    """``df`` with the name of an id; ids that ``names`` misses are shown as numbers. See :mod:`.aggregate` for the broadcast rule."""
-    from treeline.operators.aggregate import lookup
-
-    return lookup(df, names, id_col, out)

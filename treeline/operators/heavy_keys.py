@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.paths import dirname
+from treeline.plans.lineage import cut
 
 WIDE = "decimal(38,0)"
 
@@ -61,6 +62,41 @@ def key_totals(
     )
 
 
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """``df``'s keys, order and value with ``row_no`` (from 1) and ``running``, the sum of ``value`` so far within the key.
+
+    Rows are range-partitioned on (keys, order) at sampled quantiles and written once with the
+    number of their range, so a heavy key lies in several neighbouring ranges. A window runs
+    within a range and key only; what a key had in earlier ranges comes from a state for each
+    range and key. Only a range's first key can go on from an earlier one, so at most one
+    row for each range is sent to every task.
+
+    Null keys form a key of their own; nulls of the order come first; null values add nothing.
+    Rows equal in keys and order are numbered in an open order. The value may be one of the order's columns.
+    """
+    ks, os = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))]
+    named = [F.col(c).alias(n) for c, n in zip([*keys, *order], [*ks, *os], strict=True)]
+    rows = df.select(*named, F.col(value).alias("v"))
+    ranged = cut(rows.repartitionByRange(*ks, *os).withColumn("r", F.spark_partition_id()))
+    exact = F.coalesce(F.col("v").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    states = ranged.groupBy("r", *ks).agg(F.count(F.lit(1)).alias("n"), F.sum(exact).alias("s"))
+    before = Window.partitionBy(*ks).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = states.select("r", *ks, F.sum("n").over(before).alias("n0"), F.sum("s").over(before).alias("s0")).filter("n0 > 0")
+    carried = carried.select(F.col("r").alias("cr"), *[F.col(k).alias(f"c{k}") for k in ks], "n0", "s0")
+    same = F.col("r") == F.col("cr")
+    for k in ks:
+        same &= F.col(k).eqNullSafe(F.col(f"c{k}"))
+    own = Window.partitionBy("r", *ks).orderBy(*os)
+    upto = F.sum(exact).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = ranged.join(F.broadcast(carried), same, "left")
+    return out.select(
+        *[F.col(n).alias(c) for c, n in zip([*keys, *order], [*ks, *os], strict=True)],
+        *([] if value in [*keys, *order] else [F.col("v").alias(value)]),
+        (F.coalesce("n0", F.lit(0)) + F.row_number().over(own)).alias("row_no"),
+        (F.coalesce("s0", F.lit(0)) + upto).cast(WIDE).alias("running"),
+    )
+
+
 def owner_and_directory_rows(entries: DataFrame) -> DataFrame:
     """Two rows for each entry: its uid and its directory as ``key_name``, ``key_value``; null keys give none."""
     return (

@@ -60,6 +60,8 @@ def sketch(df: DataFrame, keys: Sequence[str], value: str, per_octave: int = PER
     step of the number range, whatever its rows, so heavy keys cost no more than others.
     Null, NaN and infinite values are left out; a null key is a key of its own.
     """
+    if {"bucket", "n"} & set(keys):
+        raise ValueError("a key can't be named bucket or n")
     integral = isinstance(df.schema[value].dataType, T.IntegralType)
     rows = df.select(*[F.col(k) for k in keys], bucket_of(F.col(value), integral, per_octave).alias("bucket"))
     return rows.filter("bucket is not null").groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))

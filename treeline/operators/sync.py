@@ -11,6 +11,10 @@ from treeline.operators import compare
 ORDER = ("remove", "copy", "overwrite", "link", "refresh")
 
 
+#: Fields a plan looks at.
+FIELDS = ("EXIST", "TYPE", "SIZE", "UID", "GID", "PERM", "ATIME", "MTIME", "CONTENT")
+
+
 class EmptySourceError(ValueError):
     """The source has no items at all, not even its root."""
 
@@ -28,7 +32,8 @@ def sync_plan(
     (times in whole seconds): refresh. A file to be copied that has the same content in
     ``link_dest`` (size and mtime, or content with ``contents``) is linked instead.
     """
-    both = compare.states(compare.sides(src, dst, src_root, dst_root), lite=not contents, content=content, target=target, nanoseconds=nanoseconds)
+    columns = compare.columns_for(FIELDS, content, target)
+    both = compare.states(compare.sides(src, dst, src_root, dst_root, columns), FIELDS, lite=not contents, content=content, target=target, nanoseconds=nanoseconds)
     s, d = F.col("s"), F.col("d")
     common = F.col("EXIST") == "COMMON"
     type_same = F.coalesce(F.col("TYPE") == "COMMON", F.lit(False))
@@ -60,7 +65,8 @@ def link_candidates(
     src: DataFrame, link_dest: DataFrame, src_root: str, link_root: str, *, contents: bool = False, content: str | None = None, nanoseconds: bool = True
 ) -> DataFrame:
     """``rel`` of source files with the same content in a third tree."""
-    pairs = compare.states(compare.sides(src, link_dest, src_root, link_root), ["EXIST", "TYPE", "CONTENT"], lite=not contents, content=content, nanoseconds=nanoseconds)
+    fields = ["EXIST", "TYPE", "CONTENT"]
+    pairs = compare.states(compare.sides(src, link_dest, src_root, link_root, compare.columns_for(fields, content)), fields, lite=not contents, content=content, nanoseconds=nanoseconds)
     return pairs.filter("EXIST = 'COMMON' and TYPE = 'COMMON' and CONTENT = 'COMMON' and s.type = 'FILE'").select("rel")
 
 

@@ -66,6 +66,13 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key_name", "key_value", "n_rows", "n_values", F.col("sum_value").cast("long").alias("sum_size"), "min_value", "max_value")
 
 
+def p2_running(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows and bytes each uid and directory had come to by each of its walks."""
+    rows = heavy_keys.owner_and_directory_rows(read(spark, d, "entries"))
+    out = heavy_keys.running_totals(rows, ["key_name", "key_value"], ["walked_at", "size"], "size")
+    return out.select("key_name", "key_value", "walked_at", "size", "row_no", F.col("running").cast("long").alias("running"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     src, dst = read(spark, d, "tree_src"), read(spark, d, "tree_dst")
     out = table_diff.table_diff(src, dst, strip_root("name", "/vault/prod"), strip_root("name", "/mirror/keep/prod"), DIFF_FIELDS)
@@ -95,7 +102,7 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*keys, "n", *[F.round(f"p{i}").cast("long").alias(f"p{round(100 * p)}") for i, p in enumerate(SHARES)])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_parts, p2_found, p2_totals, p3_found, p4_found, p5_found, p5_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_parts, p2_found, p2_totals, p2_running, p3_found, p4_found, p5_found, p5_percentiles)}
 
 _DIR = "regexp_replace(name, '/[^/]*$', '')"
 _KEYS = f"""
@@ -139,6 +146,11 @@ select key_name, key_value from keyed group by 1, 2 having count(*) * 100 >= 3 *
 with {_KEYS}
 select key_name, key_value, count(*) as n_rows, count(size) as n_values, cast(sum(size) as bigint) as sum_size,
   min(size) as min_value, max(size) as max_value from keyed group by 1, 2""",
+    "p2_running": f"""
+with keyed as (select 'uid' as key_name, cast(uid as varchar) as key_value, walked_at, size from entries where uid is not null
+  union all select 'dir', {_DIR}, walked_at, size from entries)
+select key_name, key_value, walked_at, size, row_number() over w as row_no, cast(coalesce(sum(size) over w, 0) as bigint) as running from keyed
+window w as (partition by key_name, key_value order by walked_at, size nulls first rows between unbounded preceding and current row)""",
     "p3_found": """
 with s as (select distinct substr(name, 12) as rel, type, size, mtime, mtime_nsec, mode from tree_src),
 d as (select distinct substr(name, 18) as rel, type, size, mtime, mtime_nsec, mode from tree_dst),

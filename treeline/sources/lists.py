@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from treeline.entries import DETAIL, SCHEMA, conform
-from treeline.functions.paths import depth
 from treeline.functions.scalars import scale_bytes, show_mode
 from treeline.functions.times import show_time
 
@@ -185,7 +184,3 @@ def write_binary(df: DataFrame, path: str, users: list[tuple[int, str]] = (), gr
 
     positions(df.select("name", *NUMBERS), [F.asc("name")]).foreachPartition(place)
     return count
-
-
-def recount_depth(df: DataFrame) -> DataFrame:
-    return df.withColumn("depth", depth("name"))
