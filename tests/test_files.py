@@ -139,7 +139,9 @@ def test_archive_round_trip(spark, tmp_path):
         assert sorted(t.getnames()) == sorted(snapshot(root))
     assert {r.entry_offset for r in layout} == {r.entry_offset for r in archive.read_index(spark, out).select("entry_offset").collect()} or len(layout) == archive.read_index(spark, out).count()
     dest = str(tmp_path / "x")
-    assert archive.extract(archive.read_index(spark, out), out, dest) == len(layout)
+    archive.save_index(archive.read_index(spark, out), out)
+    assert rows(archive.load_index(spark, out)) == rows(archive.read_index(spark, out))
+    assert archive.extract(archive.load_index(spark, out), out, dest) == len(layout)
     strip = lambda s: {k: v if isinstance(v, str) else v[:2] for k, v in s.items()}
     assert strip(snapshot(dest)) == strip(snapshot(root))
 
@@ -196,6 +198,25 @@ def test_duplicates_and_search_of_files(spark, tmp_path):
     assert chunks.read_chunks(chunks.explode_chunks(walk.walk(spark, root), 5)).filter("digest is null").count() == 0
 
 
+@pytest.mark.parametrize("strategy", ["spread", "sorted", "parent"])
+def test_removal_strategies(spark, tmp_path, strategy):
+    root = tree(tmp_path / "r")
+    plan = plans.remove_plan(walk.walk(spark, root))
+    apply.run_remove(spark.createDataFrame(plan.collect(), plan.schema), strategy)
+    assert not os.path.exists(root)
+    with pytest.raises(ValueError):
+        apply.dealt(plan, "other")
+
+
+def test_single_paths_and_file_systems(spark, tmp_path):
+    root = tree(tmp_path / "r")
+    df = E.append(E.conform(walk.walk(spark, f"{root}/d1")), E.conform(walk.stat_paths(spark, [root, f"{root}/none"])))
+    assert df.count() == 8 and df.filter("name like '%none' and mode is null").count() == 1
+    table = tmp_path / "mounts"
+    table.write_text(f"a / ext rw 0 0\nb {tmp_path} fast rw 0 0\n")
+    assert walk.file_system_of(root, str(table)) == "fast" and walk.file_system_of("/", str(table)) == "ext" and walk.file_system_of("/", "/no/table") is None
+
+
 def test_machine_tables(spark):
     assert owners.users(spark).filter("name = 'root'").count() == 1 and owners.groups(spark).count() > 0
     assert owners.user_id("root") == 0 and owners.user_id("12") == 12

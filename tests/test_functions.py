@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from treeline.functions import modes, paths, patterns, scalars, times
+from treeline.functions import maps, modes, paths, patterns, scalars, times
 
 
 def one(spark, column, **values):
@@ -124,6 +124,24 @@ def test_mode_changes(spark, change, kind, mode, want):
     assert oct(one(spark, modes.new_mode(F.col("m"), F.col("k"), change), m=mode, k=kind)) == oct(want)
 
 
+def test_times_in_two_parts(spark):
+    for n in (0, 1, -1, 1_700_000_000_123_456_789, -1_500_000_000):
+        s, k = times.split_nanos(F.col("n"))
+        assert one(spark, F.struct(s, k), n=F.lit(n).cast("long")) == divmod(n, 10**9)
+        assert one(spark, times.join_nanos(s, k), n=F.lit(n).cast("long")) == n
+
+
+def test_maps(spark):
+    m = F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))
+    get = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    k = F.lit
+    assert get(maps.put(m, k("a"), k("9"))) == {"a": "9", "b": "1"} and get(maps.put(maps.empty(), k("z"), k("0"))) == {"z": "0"}
+    assert get(maps.get(m, k("b"))) == "1" and get(maps.get(m, k("x"))) is None and get(maps.unset(m, k("a"))) == {"b": "1"} and get(maps.size(m)) == 2
+    assert [tuple(e) for e in get(maps.ordered(m))] == [("a", "2"), ("b", "1")] and get(maps.first(m)).key == "a" and get(maps.last(m)).key == "b"
+    assert get(maps.after(m, k("a"))).key == "b" and get(maps.after(m, k("b"))) is None and get(maps.before(m, k("b"))).key == "a" and get(maps.before(m, k("a"))) is None
+    assert get(maps.first(maps.empty())) is None
+
+
 def test_mode_texts():
     for bad in ("8", "u+", "z+r", "u=z", "77777", ""):
         with pytest.raises(ValueError):

@@ -180,8 +180,9 @@ def do_tar(spark: SparkSession, a: argparse.Namespace) -> None:
         root = owners.PathArgument.of(a.chdir or ".").path
         paths = [p if p.startswith("/") else f"{root}/{p}" for p in a.paths]
         print(archive.create_archive(walk.walk(spark, paths), root, a.file).count())
+        archive.save_index(archive.read_index(spark, a.file), a.file)
     else:
-        print(archive.extract(archive.read_index(spark, a.file), a.file, a.chdir or "."))
+        print(archive.extract(archive.load_index(spark, a.file), a.file, a.chdir or "."))
 
 
 def do_bz2(spark: SparkSession, a: argparse.Namespace) -> None:

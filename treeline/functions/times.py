@@ -20,6 +20,18 @@ def later(second: Column, nano: Column, than_second: int, than_nano: int) -> Col
     return (second > than_second) | ((second == than_second) & (nano > than_nano))
 
 
+def split_nanos(nanos: Column) -> tuple[Column, Column]:
+    """Second and nanosecond of nanoseconds since 1970, also before it."""
+    rest = F.pmod(nanos, F.lit(1_000_000_000))
+    whole = (nanos - rest).cast("decimal(20,0)") / F.lit(1_000_000_000).cast("decimal(10,0)")
+    return whole.cast("long"), rest
+
+
+def join_nanos(second: Column, nano: Column) -> Column:
+    """Nanoseconds since 1970; overflows only beyond the year 2262."""
+    return second * 1_000_000_000 + nano
+
+
 def show_time(second: Column) -> Column:
     """``Jan  2 2025 03:04`` in the session's time zone: the day padded with a blank."""
     t = F.timestamp_seconds(second)

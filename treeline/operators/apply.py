@@ -148,7 +148,21 @@ def run_copy(plan: DataFrame, *, preserve: bool = True, owner: bool = False, spa
     return plan.filter("action <> 'metadata'").count()
 
 
-def run_remove(plan: DataFrame) -> int:
+def dealt(plan: DataFrame, strategy: str, partitions: int | None = None) -> DataFrame:
+    """How removals are dealt to tasks: ``spread`` evenly, ``sorted`` evenly and in order of names, ``parent`` by directory."""
+    from treeline.operators.order import by_parent
+
+    n = partitions or plan.sparkSession.sparkContext.defaultParallelism
+    if strategy == "parent":
+        return by_parent(plan, n)
+    if strategy == "sorted":
+        return plan.repartition(n).sortWithinPartitions("name")
+    if strategy == "spread":
+        return plan.repartition(n)
+    raise ValueError(f"not a strategy: {strategy!r}")
+
+
+def run_remove(plan: DataFrame, strategy: str = "spread") -> int:
     """Carry out a removal plan: everything but directories at once, then directories from the deepest. Gone items are no error."""
 
     def act(r) -> None:
@@ -158,7 +172,7 @@ def run_remove(plan: DataFrame) -> int:
             pass
 
     for step in sorted(r[0] for r in plan.select("step").distinct().collect()):
-        _each(plan.filter(F.col("step") == step), act)
+        _each(dealt(plan.filter(F.col("step") == step), strategy), act)
     return plan.count()
 
 

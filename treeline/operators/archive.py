@@ -139,6 +139,16 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
+def save_index(index: DataFrame, path: str) -> None:
+    """Keep the index of an archive beside it, so that it needn't be scanned again."""
+    index.write.mode("overwrite").parquet(f"{path}.index")
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """The saved index of an archive if there is one, else a scan."""
+    return spark.read.parquet(f"{path}.index") if os.path.isdir(f"{path}.index") else read_index(spark, path)
+
+
 def extract(index: DataFrame, path: str, dest: str) -> int:
     """Put the entries of an index below ``dest``: directories first, then files and links, then directories' modes. Number of items.
 

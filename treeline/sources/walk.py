@@ -174,6 +174,25 @@ def restat(df: DataFrame, *, dereference: bool = False, skip: Callable[[str], bo
     return df.select("name", "mode").mapInArrow(run, WALK_SCHEMA)
 
 
+def stat_paths(spark: SparkSession, paths: list[str], dereference: bool = False) -> DataFrame:
+    """Entries of a few single paths, stat'ed by the driver; to be appended to a list."""
+    return spark.createDataFrame([stat_row(p, dereference) for p in paths], WALK_SCHEMA)
+
+
+def file_system_of(path: str, table: str = "/proc/mounts") -> str | None:
+    """The type of the file system that a path lies on: that of the longest mount above it."""
+    path, best = os.path.realpath(path), ("", None)
+    try:
+        with open(table) as f:
+            for line in f:
+                _, mount, kind, *_ = line.split(" ")
+                if (path == mount or path.startswith(mount.rstrip("/") + "/")) and len(mount) > len(best[0]):
+                    best = (mount, kind)
+    except OSError:
+        return None
+    return best[1]
+
+
 def extents(df: DataFrame) -> DataFrame:
     """``name``, ``offset``, ``length`` of the stretches of files that hold data; holes are left out."""
 
