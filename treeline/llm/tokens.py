@@ -24,7 +24,8 @@ def _once(shared: Broadcast, kind: type) -> Any:
     """One encoder or decoder for each worker process and vocabulary; it outlives the task."""
     key = (id(kind), shared.value.__class__, hash(shared.value.pattern), len(shared.value.tokens), hash(tuple(shared.value.tokens[-50:])))
     if key not in _workers:
-        _workers.clear()
+        if len(_workers) >= 3:
+            _workers.clear()
         _workers[key] = kind(shared.value)
     return _workers[key]
 
