@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from treeline import entries as E
 from treeline.operators import apply, archive, blockzip, chunks, duplicates, order, plans, relink, sync, textsearch
+from treeline.operators.progress import Progress
 from treeline.sources import generate, lists, owners, walk
 
 
@@ -66,7 +67,10 @@ def test_copy_remove_and_sync(spark, tmp_path):
     dest = str(tmp_path / "c")
     df = walk.walk(spark, root)
     plan = plans.copy_plan(df, [(root, dest)])
-    assert apply.run_copy(plan, batch=2) == df.count()
+    told = []
+    with Progress(spark, told.append, 0.05) as progress:
+        assert apply.run_copy(plan, batch=2, progress=progress) == df.count()
+    assert told[-1]["items"] == 6 and told[-1]["bytes"] == 20
     assert snapshot(dest) == snapshot(root)
     copy = walk.walk(spark, dest)
     opts = dict(delete=True, target="target")

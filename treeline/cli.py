@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from treeline import entries as E
 from treeline.functions.scalars import parse_bytes, show_bytes, show_count
 from treeline.operators import aggregate, apply, archive, blockzip, compare, duplicates, order, plans, predicates as P, relink, sync, textsearch
+from treeline.operators.progress import Progress
 from treeline.sources import generate, lists, owners, walk
 
 
@@ -150,7 +151,8 @@ def do_cp(spark: SparkSession, a: argparse.Namespace) -> None:
     roots = [(owners.PathArgument.of(s).path, inside(s)) for s in sources]
     items = plans.below_roots(load(spark, a), [r for r, _ in roots])
     plan = fixed(plans.copy_plan(items, roots))
-    print(apply.run_copy(plan, preserve=a.preserve, sparse=a.sparse, batch=a.batch_files, attributes=a.xattrs))
+    with Progress(spark, lambda x: print(x, file=sys.stderr)) as progress:
+        print(apply.run_copy(plan, preserve=a.preserve, sparse=a.sparse, batch=a.batch_files, attributes=a.xattrs, progress=progress))
 
 
 def do_rm(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.operators.order import depths
+from treeline.operators.progress import Progress
 
 
 def _each(df: DataFrame, act: Callable) -> None:
@@ -114,7 +115,7 @@ def copy_metadata(source: str, dest: str, *, owner: bool = False, attributes: st
     os.utime(dest, ns=(s.st_atime_ns, s.st_mtime_ns), follow_symlinks=False)
 
 
-def run_copy(plan: DataFrame, *, preserve: bool = True, owner: bool = False, sparse: bool = False, attributes: str = "none", batch: int | None = None) -> int:
+def run_copy(plan: DataFrame, *, preserve: bool = True, owner: bool = False, sparse: bool = False, attributes: str = "none", batch: int | None = None, progress: Progress | None = None) -> int:
     """Carry out a copy plan (:func:`treeline.operators.plans.copy_plan`); number of items.
 
     Directories first, level by level, then links and files, then directories' metadata from
@@ -123,25 +124,28 @@ def run_copy(plan: DataFrame, *, preserve: bool = True, owner: bool = False, spa
     for step in sorted(r[0] for r in plan.filter("action = 'mkdir'").select("step").distinct().collect()):
         _each(plan.filter((F.col("action") == "mkdir") & (F.col("step") == step)), lambda r: os.makedirs(r["dest"], exist_ok=True))
 
-    def item(r) -> None:
+    def item(r) -> int:
+        size = 0
         if r["action"] == "symlink":
             tmp = f"{r['dest']}.part-{os.getpid()}"
             os.symlink(os.readlink(r["name"]), tmp)
             os.replace(tmp, r["dest"])
         else:
-            copy_one(r["name"], r["dest"], sparse=sparse)
+            size = copy_one(r["name"], r["dest"], sparse=sparse)
         if preserve:
             copy_metadata(r["name"], r["dest"], owner=owner, attributes=attributes)
+        return size
 
+    one = progress.counted(item) if progress else item
     files = plan.filter("action in ('copy', 'symlink')")
     if batch:
         from treeline.operators.order import batches
 
         split = batches(files, [F.asc("dest")], batch)
         for b in sorted(r[0] for r in split.select("batch").distinct().collect()):
-            _each(split.filter(F.col("batch") == b), item)
+            _each(split.filter(F.col("batch") == b), one)
     else:
-        _each(files, item)
+        _each(files, one)
     if preserve:
         for step in sorted(r[0] for r in plan.filter("action = 'metadata'").select("step").distinct().collect()):
             _each(plan.filter((F.col("action") == "metadata") & (F.col("step") == step)), lambda r: copy_metadata(r["name"], r["dest"], owner=owner, attributes=attributes))
