@@ -1,14 +1,15 @@
 """Queries of the tree operators over the test tables, each with the SQL that states the same.
 
 Names begin with the kind of operator: scan, sink, get, find, join, agg, window, sort, set,
-scalar, dist, stream, udf. Every query runs over its whole tables.
+scalar, dist, stream, udf. Where the SQL of a query limits its rows (README names them), a second
+query, whose name ends in _whole, runs the operator over all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import entries as E
@@ -406,8 +407,9 @@ def join_copy_destination(spark: SparkSession, d: str) -> DataFrame:
     return e.select("name", paths.move_root("name", [("/tank/sim", "/a"), ("/tank", "/b")]).alias("dest"))
 
 
-def _chunk_digests(docs: DataFrame, change: int) -> DataFrame:
-    e = E.documents_as_entries(docs.filter("text is not null")).withColumn("content", F.when(F.col("size") % 7 == change, F.upper("content")).otherwise(F.col("content")))
+def _chunk_digests(docs: DataFrame, change: int, to: Callable[[Column], Column] = F.upper) -> DataFrame:
+    e = E.documents_as_entries(docs.filter("text is not null")).withColumn("content", F.when(F.col("size") % 7 == change, to(F.col("content"))).otherwise(F.col("content")))
+    e = e.withColumn("size", F.octet_length("content").cast("long"))
     parts = chunks.explode_chunks(e, 4096).select("name", "offset", "length").join(e.select("name", "content"), "name")
     return parts.select(F.col("name").alias("rel"), "offset", F.sha2(chunks.text_chunk(F.col("content"), F.col("offset"), F.col("length")), 256).alias("digest"))
 
@@ -421,6 +423,14 @@ def join_content_by_chunks(spark: SparkSession, d: str) -> DataFrame:
     return compare.content_by_chunks(_chunk_digests(docs, -1), _chunk_digests(docs, 3))
 
 
+@query("""
+select '/corpus/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id as rel, strlen(text) % 7 = 3 as differs from documents where text is not null""")
+def join_content_by_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All texts compared chunk by chunk with a copy in which every seventh has one character more."""
+    docs = read(spark, d, "documents")
+    return compare.content_by_chunks(_chunk_digests(docs, -1), _chunk_digests(docs, 3, lambda c: F.concat(c, F.lit("~"))))
+
+
 # -- aggregates
 @query("""
 select count(*) as n_items, count(*) filter (where type = 'DIR') as n_dirs, count(*) filter (where type = 'FILE') as n_files, count(*) filter (where type = 'LINK') as n_links,
