@@ -3,6 +3,7 @@
 import hashlib
 
 from tests.conftest import rows
+from treeline import problem_queries
 from treeline import tree_queries as Q
 
 
@@ -17,3 +18,13 @@ def test_texts_of_all_languages_are_compared_by_chunks(spark, tmp_path):
     cut = lambda b: [(o, hashlib.sha256(b[o : o + 4096]).hexdigest()) for o in range(0, max(len(b), 1), 4096)]
     pieces = [(f"/corpus/w/l/{i}", o, h) for i, t in enumerate(texts) if t is not None for o, h in cut(t.encode())]
     assert rows(Q._chunk_digests(docs, -1), "rel", "offset", "digest") == sorted(pieces, key=repr)
+
+
+def test_every_crowded_directory_is_compacted(spark, tmp_path):
+    # one more file than makes a crowd: hashed into as many writers, some directories would fill fewer files than a crowd
+    items = [(f"/l/{d}/{i}", f"/a{i}|F\n" if i else None) for d in range(4) for i in range(problem_queries.compaction.CROWD)] + [("/l/few/0", "/b|F\n")]
+    lists = spark.createDataFrame([(n, b, 1) for n, b in items], "name string, body string, mtime bigint")
+    lists.write.parquet(f"{tmp_path}/saved_lists.parquet")
+    got = rows(problem_queries.p1_compacted_files(spark, str(tmp_path)), "dir", "files_before", "crowded_after")
+    assert got == [*[(f"/l/{d}", 24, False) for d in range(4)], ("/l/few", 1, False)]
+    assert rows(problem_queries.p1_compacted(spark, str(tmp_path)), "path") == sorted([(f"/a{i}",) for i in range(1, 24)] * 4 + [("/b",)])

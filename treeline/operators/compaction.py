@@ -7,11 +7,16 @@ Parquet table in place.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +118,44 @@ def compact_lists(lists: DataFrame, target_bytes: int, crowd: int = CROWD, small
     return records(files).join(where, "file", "left").select("dir", "subset", "part", "file", "line", "path", "type")
 
 
+def write_each(files: DataFrame, path: str, column: str = "dir") -> None:
+    """A Parquet file of its records for each stored file, in the folder of its directory below ``path``.
+
+    A file without records becomes one without rows. Names follow from the stored file's name,
+    so that a task run again writes the same.
+    """
+    found = records(files).groupBy("file").agg(F.collect_list(F.struct("line", "path", "type")).alias("r"))
+    each = files.select("dir", F.col("name").alias("file")).join(found, "file", "left").select("dir", "file", "r")
+    # time goes by files, not bytes: a fixed number of tasks isn't joined into a few
+    each = each.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("file", pa.string()), ("line", pa.int32()), ("path", pa.string()), ("type", pa.string())])
+        fs, root = pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        made = set()
+        for batch in batches:
+            for r in batch.to_pylist():
+                folder = f"{root}/{column}={escaped(r['dir'])}"
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                lines = [{"file": r["file"], **x} for x in r["r"] or []]
+                name = hashlib.sha256(r["file"].encode()).hexdigest()
+                draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                pq.write_table(pa.Table.from_pylist(lines, kinds), draft, filesystem=fs)
+                fs.move(draft, f"{folder}/{name}.parquet")
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    each.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def escaped(value: str | None) -> str:
+    """A partition's value as Spark writes it into the folder's name."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\x7f\"#%'*/:=?\\{[]^" else c for c in value)
+
+
 class ConflictError(RuntimeError):
     """Another writer changed a partition between its reading and the commit."""
 
@@ -180,7 +223,7 @@ class CompactableTable:
             stream.close()
 
     # -- files
-    def _listing(self, small_bytes: int) -> DataFrame:
+    def listing(self, small_bytes: int = SMALL_BYTES) -> DataFrame:
         """The files of each partition folder, listed by the executors; only names and lengths are looked at."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path).select("path", "length")
         parts = files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.xxhash64("path", "length").alias("h"), "length")
@@ -190,7 +233,7 @@ class CompactableTable:
 
     def partitions(self, small_bytes: int = SMALL_BYTES, crowd: int = 0) -> dict[str, PartitionFiles]:
         """Partition folders with at least ``crowd`` small files; a row for each comes to the driver, none for files."""
-        found = self._listing(small_bytes).filter(F.col("n_small") >= crowd).collect()
+        found = self.listing(small_bytes).filter(F.col("n_small") >= crowd).collect()
         return {r.folder: PartitionFiles(r.n_files, r.n_small, r.bytes, r.checksum) for r in found}
 
     def crowded(self, small_bytes: int = SMALL_BYTES, crowd: int = CROWD) -> dict[str, PartitionFiles]:

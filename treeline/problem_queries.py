@@ -35,16 +35,32 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("dir", "file", F.col("line").cast("long").alias("line"), "path", "type", F.col("part").isNotNull().alias("moved"))
 
 
+def _lists_table(spark: SparkSession, d: str) -> compaction.CompactableTable:
+    """A table of the records by directory, with a file for each stored file."""
+    path = f"{lineage.shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    files = compaction.stored_files(read(spark, d, "saved_lists"))
+    compaction.write_each(files, path)
+    return compaction.CompactableTable(spark, path, "dir", compaction.records(files).schema)
+
+
 def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     """The records after a table of them, written by many writers, is compacted in place."""
-    path = f"{lineage.shared_dir(spark)}/lists-{uuid.uuid4().hex}"
-    rows = compaction.records(compaction.stored_files(read(spark, d, "saved_lists")))
-    rows.repartition(compaction.CROWD, "file").write.partitionBy("dir").parquet(path)
-    table = compaction.CompactableTable(spark, path, "dir", rows.schema)
+    table = _lists_table(spark, d)
     table.compact(LIST_BYTES)
     return table.read().select("dir", "file", F.col("line").cast("long").alias("line"), "path", "type")
 
 
+def p1_compacted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each directory before that compaction, and whether the directory is still crowded after it."""
+    table = _lists_table(spark, d)
+    before = table.listing().select("folder", F.col("n_files").alias("files_before"))
+    before = lineage.cut(before)
+    table.compact(LIST_BYTES)
+    after = table.listing().select("folder", (F.col("n_small") >= compaction.CROWD).alias("crowded_after"))
+    joined = before.join(after, "folder", "left")
+    return joined.select(F.url_decode(F.replace(F.substring_index("folder", "=", -1), F.lit("+"), F.lit("%2B"))).alias("dir"), "files_before", F.coalesce("crowded_after", F.lit(False)).alias("crowded_after"))
+
+
 def p1_parts(spark: SparkSession, d: str) -> DataFrame:
     """What each directory of stored lists becomes: files before and after, records and bytes kept."""
     files = compaction.stored_files(read(spark, d, "saved_lists"))
@@ -102,7 +118,7 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*keys, "n", *[F.round(f"p{i}").cast("long").alias(f"p{round(100 * p)}") for i, p in enumerate(SHARES)])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_parts, p2_found, p2_totals, p2_running, p3_found, p4_found, p5_found, p5_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_compacted_files, p1_parts, p2_found, p2_totals, p2_running, p3_found, p4_found, p5_found, p5_percentiles)}
 
 _DIR = "regexp_replace(name, '/[^/]*$', '')"
 _KEYS = f"""
@@ -139,6 +155,9 @@ select dir, file, cast(line as bigint) as line,
   case when t like '%|%' then left(t, length(t) - strpos(reverse(t), '|')) else t end as path,
   case when t like '%|%' then right(t, strpos(reverse(t), '|') - 1) end as type
 from clean where t <> ''""",
+    "p1_compacted_files": f"""
+with {_FILES}
+select dir, count(*) as files_before, false as crowded_after from files group by dir""",
     "p2_found": f"""
 with {_KEYS}
 select key_name, key_value from keyed group by 1, 2 having count(*) * 100 >= 3 * (select count(*) from entries)""",
