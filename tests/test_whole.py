@@ -28,3 +28,12 @@ def test_every_crowded_directory_is_compacted(spark, tmp_path):
     got = rows(problem_queries.p1_compacted_files(spark, str(tmp_path)), "dir", "files_before", "crowded_after")
     assert got == [*[(f"/l/{d}", 24, False) for d in range(4)], ("/l/few", 1, False)]
     assert rows(problem_queries.p1_compacted(spark, str(tmp_path)), "path") == sorted([(f"/a{i}",) for i in range(1, 24)] * 4 + [("/b",)])
+
+
+def test_rows_without_size_and_very_large_ones_count(spark, tmp_path):
+    items = [("/a", "FILE", 5), ("/b", "FILE", None), ("/c", "DIR", None), ("/d", "FILE", 9_007_201_376_147_040), ("/e", None, 7)]
+    spark.createDataFrame(items, "name string, type string, size bigint").write.parquet(f"{tmp_path}/tree_src.parquet")
+    (got,) = Q.agg_summary_whole(spark, str(tmp_path)).collect()
+    assert (got.n_items, got.n_dirs, got.n_files, got.n_unknown, got.bytes) == (5, 1, 3, 1, 9_007_201_376_147_045)
+    end = 9_007_201_376_147_045
+    assert rows(Q.window_positions_whole(spark, str(tmp_path))) == [("/a", 0, 0), ("/b", 1, 5), ("/c", 2, 5), ("/d", 3, 5), ("/e", 4, end)]

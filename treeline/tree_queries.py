@@ -440,6 +440,11 @@ def agg_summary(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.summary(read(spark, d, "tree_src").filter("size < 1000000000000"))
 
 
+@query(SQL["agg_summary"].replace(" where size < 1000000000000", ""))
+def agg_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.summary(read(spark, d, "tree_src"))
+
+
 def _histogram_sql(bounds: str) -> str:
     return f"""
 with b as (select list_sort({bounds}) as l), k as (select unnest(range(0, len(l) + 1)) as bin, l from b),
@@ -506,6 +511,14 @@ def window_positions(spark: SparkSession, d: str) -> DataFrame:
     return order.positions(t, [F.asc("name")], F.col("size")).select("name", "position", "offset")
 
 
+@query("""
+with t as (select distinct name, size from tree_src)
+select name, row_number() over w - 1 as position, cast(coalesce(sum(size) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from t window w as (order by name nulls first, size nulls first)""")
+def window_positions_whole(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tree_src").select("name", "size").distinct()
+    return order.positions(t, [F.asc("name"), F.asc("size")], F.col("size")).select("name", "position", "offset")
+
+
 @query("select o_orderkey, ntile(7) over (order by o_orderkey) - 1 as block from orders")
 def window_even_blocks(spark: SparkSession, d: str) -> DataFrame:
     return order.even_blocks(read(spark, d, "orders").select("o_orderkey"), [F.asc("o_orderkey")], 7).select("o_orderkey", "block")
