@@ -2,9 +2,13 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from tests.conftest import rows
 from treeline import problem_queries
 from treeline import tree_queries as Q
+from treeline.functions import scalars
+from treeline.operators import chunks
 
 
 def test_texts_of_all_languages_are_compared_by_chunks(spark, tmp_path):
@@ -37,3 +41,13 @@ def test_rows_without_size_and_very_large_ones_count(spark, tmp_path):
     assert (got.n_items, got.n_dirs, got.n_files, got.n_unknown, got.bytes) == (5, 1, 3, 1, 9_007_201_376_147_045)
     end = 9_007_201_376_147_045
     assert rows(Q.window_positions_whole(spark, str(tmp_path))) == [("/a", 0, 0), ("/b", 1, 5), ("/c", 2, 5), ("/d", 3, 5), ("/e", 4, end)]
+
+
+def test_sizes_are_parsed_and_shown_exactly(spark):
+    texts = ["9007199254740993", "9223372036854775807", "9223372036854775808", "8796093022207.9999999999999999999m", "8e", "7.999999999999999999e", "0." + "9" * 80 + "e", "1" * 60, "1.5k", ".5kb", "3.", "x"]
+    got = [r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.parse_bytes_col(F.col("t")).alias("b")).collect()]
+    top, e = 2**63 - 1, 2**60
+    want = [2**53 + 1, top, None, 2**63 - 1, None, 8 * e - 2, e - 1, None, 1536, 512, 3, None]
+    assert got == want
+    shown = spark.createDataFrame([(n,) for n in (10**9 + 1, 9_007_201_376_147_040, top)], "n bigint").select(scalars.show_count(F.col("n")).alias("c"))
+    assert [r.c for r in shown.collect()] == ["1.000 G", "9.007 P", "9.223 E"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,19 +25,30 @@ def parse_bytes(text: str) -> int:
     number, unit = m.group(1), m.group(2).lower()
     factor = 1024 ** (SUFFIXES.index(unit) + 1) if unit else 1
     whole, _, part = number.partition(".")
-    value = int(whole or 0) * factor + int(int(part or 0) * factor / 10 ** len(part))
+    value = int(whole or 0) * factor + int(part or 0) * factor // 10 ** len(part)
     if value >= 1 << 64:
         raise ValueError(f"too large: {text!r}")
     return value
 
 
 def parse_bytes_col(text: Column) -> Column:
-    """Column form of :func:`parse_bytes`; null where the text isn't a size."""
+    """Column form of :func:`parse_bytes`, exact; null where the text isn't a size or passes bigint."""
     pattern = r"^\s*([0-9]+(?:\.[0-9]*)?|\.[0-9]+)([kKmMgGtTpPeE]?)[bB]?$"
     unit = F.lower(F.regexp_extract(text, pattern, 2))
-    factor = F.pow(F.lit(1024.0), F.when(unit == "", F.lit(0)).otherwise(F.instr(F.lit(SUFFIXES), unit)))
-    number = F.regexp_extract(text, pattern, 1).try_cast("double")
-    return F.when(text.rlike(pattern), F.floor(number * factor))
+    factor = F.lit(1)
+    for k, c in enumerate(SUFFIXES):
+        factor = F.when(unit == c, F.lit(1024 ** (k + 1))).otherwise(factor)
+    factor = factor.cast("decimal(19,0)")
+    number = F.regexp_extract(text, pattern, 1)
+    whole = F.substring_index(number, ".", 1)
+    whole = F.when(whole == "", F.lit("0")).otherwise(whole).try_cast("decimal(19,0)")
+    part = F.when(F.contains(number, F.lit(".")), F.substring_index(number, ".", -1)).otherwise(F.lit(""))
+    # multiples of a unit's 1024^-6 have 60 digits at most, so 76 decide every floor; 19 at a time, last first
+    digits, carry = F.rpad(part, 76, "0"), F.lit(0).cast("long")
+    for g in range(3, -1, -1):
+        carry = F.call_function("div", F.substring(digits, 19 * g + 1, 19).cast("decimal(19,0)") * factor + carry, F.lit(Decimal(10**19)))
+    carry = F.when(part == "", F.lit(0).cast("long")).otherwise(carry)
+    return F.when(text.rlike(pattern), (whole * factor + carry).try_cast("bigint"))
 
 
 def _scaled(value: Column, step: float, units: tuple[str, ...], early: bool) -> tuple[Column, Column]:
@@ -63,7 +75,7 @@ def scale_count(value: Column) -> tuple[Column, Column]:
 # scaled numbers are exact, so rounding halves to even prints what C prints
 def show_bytes(value: Column, per_second: bool = False) -> Column:
     number, unit = scale_bytes(value)
-    return F.concat(F.format_string("%.3f ", F.bround(number, 3)), unit, F.lit("/s" if per_second else ""))
+    return F.when(value.isNotNull(), F.concat(F.format_string("%.3f ", F.bround(number, 3)), unit, F.lit("/s" if per_second else "")))
 
 
 def show_count(value: Column) -> Column:
@@ -73,8 +85,8 @@ def show_count(value: Column) -> Column:
     for k in range(1, len(COUNT_UNITS)):
         small = 1000 ** (k - 1)
         thousandths = v - F.pmod(v, F.lit(small)) + F.when(F.pmod(v, F.lit(small)) * 2 >= small, small if k > 1 else 0).otherwise(0)
-        thousandths = (thousandths / small).cast("long")
-        shown = F.concat(((thousandths - F.pmod(thousandths, F.lit(1000))) / 1000).cast("long").cast("string"), F.lit("."), F.lpad(F.pmod(thousandths, F.lit(1000)).cast("string"), 3, "0"), F.lit(f" {COUNT_UNITS[k]}"))
+        thousandths = F.call_function("div", thousandths, F.lit(small))
+        shown = F.concat(F.call_function("div", thousandths, F.lit(1000)).cast("string"), F.lit("."), F.lpad(F.pmod(thousandths, F.lit(1000)).cast("string"), 3, "0"), F.lit(f" {COUNT_UNITS[k]}"))
         out = F.when(v > 1000**k, shown).otherwise(out)
     return out
 

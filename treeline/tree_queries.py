@@ -629,6 +629,24 @@ def scalar_parse_sizes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("size", parse("k").alias("k"), parse("b").alias("plain"), parse("kbb").alias("bad"), parse("MB").alias("m"))
 
 
+_COUNTED = "case " + " ".join(f"when size > {1000**k} then ((size + {small // 2}) // {small} // 1000) || '.' || lpad(cast((size + {small // 2}) // {small} % 1000 as varchar), 3, '0') || ' {scalars.COUNT_UNITS[k]}'" for k in range(6, 0, -1) for small in [1000 ** (k - 1)]) + " else size || '.000' end"
+
+
+@query(f"""
+select distinct size, ltrim({_SCALE.replace("|| '   B'", "|| ' B'").replace("' ' || '  B'", "' B'")}) as shown, {_COUNTED} as counted from entries""")
+def scalar_show_sizes_whole(spark: SparkSession, d: str) -> DataFrame:
+    e = entries(spark, d).select("size").distinct()
+    return e.select("size", scalars.show_bytes(F.col("size")).alias("shown"), scalars.show_count(F.col("size")).alias("counted"))
+
+
+@query("select distinct size, " + ", ".join(f"try_cast(size::hugeint * {1024**k} as bigint) as {c}" for k, c in enumerate(("plain", "k", "m", "g", "t"))) + ", null::bigint as bad from entries")
+def scalar_parse_sizes_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of every magnitude in several units; null beyond bigint."""
+    e = entries(spark, d).select("size").distinct()
+    parse = lambda suffix: scalars.parse_bytes_col(F.concat(F.col("size").cast("string"), F.lit(suffix)))
+    return e.select("size", parse("b").alias("plain"), parse("k").alias("k"), parse("MB").alias("m"), parse("g").alias("g"), parse("TB").alias("t"), parse("kbb").alias("bad"))
+
+
 @query(f"select distinct mode, {_MODE} as shown from entries where mode is not null")
 def scalar_show_modes(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("mode").filter("mode is not null").distinct().select("mode", scalars.show_mode(F.col("mode")).alias("shown"))
