@@ -1,6 +1,9 @@
 import datetime as dt
 import os
+import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,11 +67,22 @@ def test_parts_split_a_huge_directory(spark):
     assert rows(C.assign_parts(files.limit(0), 100)) == []
 
 
+def put(path, day, data):
+    """A file as another writer appends it."""
+    os.makedirs(f"{path}/day={day}", exist_ok=True)
+    v, n = zip(*data, strict=True)
+    pq.write_table(pa.table({"v": pa.array(v, pa.string()), "n": pa.array(n, pa.int32())}), f"{path}/day={day}/part-{uuid.uuid4().hex}.parquet")
+
+
 def table(spark, path, small=30, other=2):
     for i in range(small):
-        spark.createDataFrame([(f"a{i}", "hot", i)], "v string, day string, n int").coalesce(1).write.mode("append").partitionBy("day").parquet(path)
+        put(path, "hot", [(f"a{i}", i)])
     for i in range(other):
-        spark.createDataFrame([(f"b{i}", "calm", i)], "v string, day string, n int").coalesce(1).write.mode("append").partitionBy("day").parquet(path)
+        put(path, "calm", [(f"b{i}", i)])
+
+
+def append(spark, path, n, day="hot", start=1000):
+    put(path, day, [(f"late{i}", i) for i in range(start, start + n)])
 
 
 def test_compaction_rewrites_crowded_partitions_only(spark, tmp_path):
@@ -77,42 +91,114 @@ def test_compaction_rewrites_crowded_partitions_only(spark, tmp_path):
     before = rows(spark.read.parquet(path), "v", "day", "n")
     calm = sorted(os.listdir(f"{path}/day=calm"))
     t = C.CompactableTable(spark, path, "day")
-    assert set(t.crowded()) == {"day=hot"}
+    assert rows(t.crowded(), "folder") == [("day=hot",)]
     done = t.compact(1 << 20)
-    assert (done["version"], done["partitions"], done["files_before"]) == (1, 1, 30) and done["files_after"] == 1
-    assert rows(spark.read.parquet(path), "v", "day", "n") == before
-    assert sorted(os.listdir(f"{path}/day=calm")) == calm
+    assert done == {"version": 1, "partitions": 1, "files_before": 30, "files_after": 1}
+    # after cleaning, readers that don't know the log see the same
+    assert rows(spark.read.parquet(path), "v", "day", "n") == before == rows(t.read(), "v", "day", "n")
+    assert sorted(os.listdir(f"{path}/day=calm")) == calm and os.listdir(f"{path}/{t.STAGE}") == []
     assert t.compact(1 << 20)["partitions"] == 0 and t.version() == 1
 
 
-def test_compaction_conflicts_and_recovery(spark, tmp_path):
+def test_files_of_other_writers_stay(spark, tmp_path):
+    """Rows appended before the commit, after it, and while the driver is lost are all there, once."""
+    path = str(tmp_path / "t")
+    table(spark, path, small=30, other=1)
+    t = C.CompactableTable(spark, path, "day")
+    t.compact(1 << 20, before_commit=lambda: append(spark, path, 10))
+    assert t.read().count() == 41 == t.read().distinct().count()
+    for i in range(30):
+        append(spark, path, 1, start=2000 + i)
+
+    class Lost(Exception):
+        pass
+
+    def lose():
+        raise Lost
+
+    with pytest.raises(Lost):  # after the commit, before anything is deleted
+        t.compact(1 << 20, before_clean=lose)
+    append(spark, path, 10, start=3000)
+    again = C.CompactableTable(spark, path, "day")
+    assert again.version() == 2 and again.read().count() == 81 == again.read().distinct().count()
+    again.clean()
+    assert again.read().count() == 81 == spark.read.parquet(path).count()
+
+
+def test_a_rewrite_without_commit_counts_for_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     table(spark, path, small=25, other=1)
     t = C.CompactableTable(spark, path, "day")
-    late = lambda: spark.createDataFrame([("late", "hot", 1)], "v string, day string, n int").write.mode("append").partitionBy("day").parquet(path)
+    undo, t._undo = t._undo, lambda me: None  # the driver is lost: nobody takes the files away
+    with pytest.raises(RuntimeError, match="lost"):
+        t.compact(1 << 20, before_commit=lambda: (_ for _ in ()).throw(RuntimeError("lost")))
+    t._undo = undo
+    assert t.version() == 0 and t.read().count() == 26 and spark.read.parquet(path).count() == 51
+    t.clean(orphan_seconds=-60)
+    assert spark.read.parquet(path).count() == 26 and not [f for f in os.listdir(f"{path}/{t.LOG}") if f.endswith(".files")]
+
+
+def test_readers_see_whole_versions_and_disturb_nobody(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table(spark, path, small=30, other=1)
+    t, counts = C.CompactableTable(spark, path, "day"), []
+    reader = C.CompactableTable(spark, path, "day")
+    early = reader.read()
+    look = lambda: counts.append((reader.version(), reader.read().count(), early.count()))
+    assert t.compact(1 << 20, before_commit=look, before_clean=look, keep_seconds=3600)["version"] == 1
+    look()  # replaced files are kept for readers that began before
+    assert counts == [(0, 31, 31), (1, 31, 31), (1, 31, 31)]
+    t.clean()
+    assert reader.read().count() == 31 == spark.read.parquet(path).count()
+
+
+def test_two_rewrites_of_one_file_conflict(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table(spark, path, small=25, other=1)
+    t, other = C.CompactableTable(spark, path, "day"), C.CompactableTable(spark, path, "day")
+    with pytest.raises(C.ConflictError):
+        t.compact(1 << 20, before_commit=lambda: other.compact(1 << 20, keep_seconds=3600))
+    assert t.version() == 1 and t.read().count() == 26
+    t.clean()
+    assert spark.read.parquet(path).count() == 26
+    for i in range(30):
+        append(spark, path, 1, start=i)
+        append(spark, path, 1, day="calm", start=i)
+    # rewrites of other files get the next version
+    elsewhere = lambda: other._take(2, {"id": "0" * 32, "at": 0.0}) or open(f"{path}/{t.LOG}/{'0' * 32}.files", "w").close()
+    assert t.compact(1 << 20, before_commit=elsewhere)["version"] == 3
+    assert t.read().count() == 86
     with pytest.raises(C.ConflictError):
-        t.compact(1 << 20, before_commit=late)
-    assert t.version() == 0 and spark.read.parquet(path).count() == 27
-    with pytest.raises(C.ConflictError):  # another writer takes the version first
-        t.compact(1 << 20, before_commit=lambda: t._take(1, {"stage": "", "partitions": []}))
-    t._fs.delete(t._log_file(1), False)
-    # a driver lost between taking the version and the overwrite
-    read = t.crowded()
-    stage = f"{path}/{t.STAGE}/x"
-    t._write_stage(read, stage, 1 << 20)
-    t._take(1, {"stage": stage, "partitions": sorted(read)})
-    assert t.recover() and not t.recover()
-    assert spark.read.parquet(path).count() == 27 and t.partitions()["day=hot"].n_files == 1
+        t._take(3, {"id": "1" * 32, "at": 0.0})
+    for i in range(24):
+        append(spark, path, 1, start=100 + i)
+    with pytest.raises(C.ConflictError):  # a file was removed by one who doesn't know the log
+        t.compact(1 << 20, before_commit=lambda: os.remove(next(f"{path}/day=hot/{f}" for f in os.listdir(f"{path}/day=hot") if f.startswith("part-"))))
+    assert t.read().count() == 109
+
+
+def test_turns_of_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "MOST_FILES", 10)
+    path = str(tmp_path / "t")
+    table(spark, path, small=25, other=1)
+    t = C.CompactableTable(spark, path, "day")
+    assert t.compact(1 << 20) == {"version": 3, "partitions": 1, "files_before": 25, "files_after": 3}
+    assert t.read().count() == 26 == spark.read.parquet(path).count()
+
+
+def test_empty_table(spark, tmp_path):
+    t = C.CompactableTable(spark, str(tmp_path / "none"), "day")
+    assert t.version() == 0 and t.listing().count() == 0 and t.compact(1 << 20)["partitions"] == 0
 
 
 def test_partition_names_stay_as_they_are(spark, tmp_path):
     path = str(tmp_path / "t")
     for day in ("01", "1", "a/b c+d%", "ü"):
         for i in range(24):
-            spark.createDataFrame([(i, day)], "v int, day string").coalesce(1).write.mode("append").partitionBy("day").parquet(path)
+            put(path, C.escaped(day), [(str(i), i)])
     t = C.CompactableTable(spark, path, "day")
-    folders = set(t.partitions())
+    folders = rows(t.listing(), "folder")
     done = t.compact(200)
-    after = t.partitions()
-    assert done["partitions"] == 4 and set(after) == folders and all(p.n_files < 24 for p in after.values())
-    assert sorted(map(tuple, t._rows(path).groupBy("day").count().collect())) == sorted((d, 24) for d in ("01", "1", "a/b c+d%", "ü"))
+    after = t.listing().collect()
+    assert done["partitions"] == 4 and sorted((r.folder,) for r in after) == sorted(folders) and all(r.n_files < 24 for r in after)
+    assert sorted(map(tuple, t.read().groupBy("day").count().collect())) == sorted((d, 24) for d in ("01", "1", "a/b c+d%", "ü"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
+import time
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,14 +25,31 @@ from pyspark.sql import types as T
 
 from treeline.functions.paths import dirname
 from treeline.functions.times import micros
+from treeline.plans.lineage import cut
 
 SMALL_BYTES = 32_768
 CROWD = 24
 #: Files of one directory are packed in subsets of about this many, so that no task orders a whole huge directory.
 SUBSET_FILES = 4_096
-#: Crowded partitions are listed to every task up to this many (a few MB), and written by at most so many tasks.
+#: Files replaced by one version at most: their names are held by the driver and sent to every task (a few MB).
+MOST_FILES = 50_000
+#: Ids of versions are sent to every task up to this many.
 MOST_SENT = 50_000
-MOST_TASKS = 10_000
+
+
+def crowds(files: DataFrame, place: Column | str, is_file: Column, small_bytes: int = SMALL_BYTES, size: str = "bytes") -> DataFrame:
+    """``n_files``, ``n_small``, ``small_bytes`` and ``bytes`` of each ``place`` (a directory or partition) of a table of files.
+
+    Rows for which ``is_file`` doesn't hold aren't counted; neither is a null size small. Counts
+    are combined before they are shuffled, so a place that holds a third of all files is no
+    more work than any.
+    """
+    b = F.col(size)
+    small = is_file & (b >= 0) & (b < small_bytes)
+    return files.groupBy(place).agg(
+        F.count(F.when(is_file, 1)).alias("n_files"), F.count(F.when(small, 1)).alias("n_small"),
+        F.coalesce(F.sum(F.when(small, b)), F.lit(0)).alias("small_bytes"), F.coalesce(F.sum(F.when(is_file, b.cast("decimal(20,0)"))), F.lit(0)).alias("bytes"),
+    )
 
 
 def crowded_directories(
@@ -42,18 +61,18 @@ def crowded_directories(
     is its current one, and counts if its type is FILE and its size isn't null and is below
     ``small_bytes``. Listings are combined by path before and after one shuffle on the path, so
     neither a hot directory nor a path listed often holds up a task; directories are then
-    counted from partial counts. Rows without name or version are left out. If current rows of
-    a path contradict each other, a small one stands.
+    counted by :func:`crowds`, as those of a table to be compacted are. Rows without name or
+    version are left out. If current rows of a path contradict each other, a small one stands.
     """
     small = (F.col("type") == "FILE") & (F.col("size") >= 0) & (F.col("size") < small_bytes)
     # newest first, then small before other, in one long: both sides of the shuffle aggregate in place
     state = micros(entries, version) * 2 + F.coalesce(small, F.lit(False)).cast("long")
     listed = entries.filter(F.col(name).isNotNull() & F.col(version).isNotNull()).select(
-        F.col(name).alias("p"), state.alias("s"), F.when(small, F.col("size")).alias("b")
+        F.col(name).alias("p"), state.alias("s"), F.when(small, F.col("size")).alias("bytes")
     )
-    current = listed.groupBy("p").agg(F.max("s").alias("s"), F.max_by("b", "s").alias("b")).filter(F.col("s") % 2 != 0)
-    totals = current.groupBy(dirname("p").alias("dir")).agg(F.count(F.lit(1)).alias("n_small"), F.sum("b").alias("small_bytes"))
-    return totals.filter(F.col("n_small") >= crowd)
+    current = listed.groupBy("p").agg(F.max("s").alias("s"), F.max_by("bytes", "s").alias("bytes")).filter(F.col("s") % 2 != 0)
+    totals = crowds(current, dirname("p").alias("dir"), F.lit(True), small_bytes)
+    return totals.filter(F.col("n_small") >= crowd).select("dir", "n_small", "small_bytes")
 
 
 def stored_files(lists: DataFrame) -> DataFrame:
@@ -121,34 +140,42 @@ def compact_lists(lists: DataFrame, target_bytes: int, crowd: int = CROWD, small
 def write_each(files: DataFrame, path: str, column: str = "dir") -> None:
     """A Parquet file of its records for each stored file, in the folder of its directory below ``path``.
 
-    A file without records becomes one without rows. Names follow from the stored file's name,
-    so that a task run again writes the same.
+    A file without records becomes one without rows. Names and contents follow from the stored
+    file, so that a task run again writes the same.
     """
-    found = records(files).groupBy("file").agg(F.collect_list(F.struct("line", "path", "type")).alias("r"))
-    each = files.select("dir", F.col("name").alias("file")).join(found, "file", "left").select("dir", "file", "r")
+    # records by stored file lie in one array each, made from the body where it is read
+    lines = F.transform(F.split(F.coalesce("body", F.lit("")), "\n", -1), lambda t, i: F.struct(i.alias("line"), t.alias("body")))
+    each = files.select("dir", F.col("name").alias("file"), lines.alias("r"))
     # time goes by files, not bytes: a fixed number of tasks isn't joined into a few
-    each = each.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    each = each.repartition(4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("file", pa.string()), ("line", pa.int32()), ("path", pa.string()), ("type", pa.string())])
         fs, root = pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
         made = set()
         for batch in batches:
-            for r in batch.to_pylist():
-                folder = f"{root}/{column}={escaped(r['dir'])}"
+            for folder, file, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                folder = f"{root}/{column}={escaped(folder)}"
                 if folder not in made:
                     fs.create_dir(folder, recursive=True)
                     made.add(folder)
-                lines = [{"file": r["file"], **x} for x in r["r"] or []]
-                name = hashlib.sha256(r["file"].encode()).hexdigest()
+                rows = [(file, x["line"], *_record(x["body"])) for x in lines if x["body"].removesuffix("\r")]
+                table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds.types, strict=True)], schema=kinds)
+                name = hashlib.sha256(file.encode()).hexdigest()
                 draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
-                pq.write_table(pa.Table.from_pylist(lines, kinds), draft, filesystem=fs)
+                pq.write_table(table, draft, filesystem=fs, use_dictionary=False, write_statistics=False, compression="none", store_schema=False)
                 fs.move(draft, f"{folder}/{name}.parquet")
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     each.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
 
 
+def _record(line: str) -> tuple[str, str | None]:
+    """Path and type letter of a line, as in :func:`records`."""
+    path, bar, letter = line.removesuffix("\r").rpartition("|")
+    return (path, letter) if bar else (letter, None)
+
+
 def escaped(value: str | None) -> str:
     """A partition's value as Spark writes it into the folder's name."""
     if not value:
@@ -157,166 +184,342 @@ def escaped(value: str | None) -> str:
 
 
 class ConflictError(RuntimeError):
-    """Another writer changed a partition between its reading and the commit."""
-
+    """Another writer replaced or removed a file between its reading and the commit."""
 
-@dataclass(frozen=True)
-class PartitionFiles:
-    """A partition's files: how many, how many small ones, their bytes, and a checksum of names and lengths."""
 
-    n_files: int
-    n_small: int
-    bytes: int
-    checksum: int
+FILE = "folder string, file string, bytes bigint"
 
 
 class CompactableTable:
-    """A Parquet table partitioned by one column, with a log of snapshot versions.
-
-    ``compact`` finds the partitions with too many small files and rewrites only these. The
-    new files are first written and counted beside the table. The commit takes the next
-    version number by creating its log file, which only one writer can; before that, the
-    partitions read must hold exactly the files that were read. Then a dynamic overwrite
-    replaces only these partitions. The log file names the finished copy, so an overwrite
-    cut short by a lost driver is repeated by ``recover`` (it gives the same result however
-    often it runs), and no record is lost or doubled.
+    """A Parquet table partitioned by one string column, with a log of versions that says which files are live.
+
+    ``compact`` finds the partitions that :func:`crowded` names and rewrites their small files
+    only. New files are written and counted aside, moved into their partitions under names
+    that carry the id of the rewrite, and count for nothing until the commit: one log file
+    for the next version, which only one writer can create. It names the id and the list of
+    files replaced. From then on the new files are live and the replaced ones aren't, all at
+    once, and nothing moves any more; replaced files are deleted later, by ``clean``.
+
+    So nothing that happens between can lose or double a record: files that others append, at
+    whatever moment, under names of their own, are on no list and stay live; a driver lost
+    before the commit leaves files that count for nothing, and one lost after it leaves files
+    to delete. ``read`` writes nothing. Who removes files must do so by ``compact``; that two
+    rewrites replace one file is refused. A reader that doesn't know the log sees replaced files
+    beside new ones until ``clean``. A dynamic overwrite of whole partitions, which deletes
+    what it finds before its own files come, gives none of this.
     """
 
     LOG = "_versions"
     STAGE = "_staged"
+    NEW = "compacted-"
 
     def __init__(self, spark: SparkSession, path: str, column: str, schema: T.StructType | None = None) -> None:
-        """``schema`` saves reading the footers of all files of crowded partitions; the column must be a string in it."""
+        """``schema`` saves reading the footers of files; the column must be a string in it."""
         self.spark, self.path, self.column, self.schema = spark, path.rstrip("/"), column, schema
-        jvm = spark._jvm
-        self._jpath = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._uri = self.path if ":/" in self.path else f"file://{self.path}"
+        self._fs, self._root = pafs.FileSystem.from_uri(self._uri)
 
     # -- the log
+    def _log(self) -> list[str]:
+        found = self._fs.get_file_info(pafs.FileSelector(f"{self._root}/{self.LOG}", allow_not_found=True))
+        return sorted(f.base_name for f in found)
+
     def version(self) -> int:
         """The greatest version in the log, 0 without one."""
-        root = self._jpath(f"{self.path}/{self.LOG}")
-        if not self._fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return max([int(n.split(".")[0]) for n in names if n.endswith(".json")], default=0)
-
-    def _log_file(self, version: int):
-        return self._jpath(f"{self.path}/{self.LOG}/{version:020d}.json")
-
-    def _done_file(self, version: int):
-        return self._jpath(f"{self.path}/{self.LOG}/{version:020d}.done")
+        return max((int(n.split(".")[0]) for n in self._log() if n.endswith(".json")), default=0)
+
+    def _entries(self) -> list[dict]:
+        """Every version's id, and whether its replaced files are deleted already."""
+        names = self._log()
+        out = []
+        for n in names:
+            if n.endswith(".json"):
+                with self._fs.open_input_stream(f"{self._root}/{self.LOG}/{n}") as f:
+                    entry = json.loads(f.read())
+                out.append({**entry, "version": int(n[:-5]), "clean": f"{n[:-5]}.clean" in names})
+        return out
 
     def _take(self, version: int, entry: dict) -> None:
+        """Create the log file of a version, whole, unless it is there."""
+        name = f"{self._root}/{self.LOG}/{version:020d}.json"
+        draft = f"{self._root}/{self.LOG}/.{uuid.uuid4().hex}"
+        self._fs.create_dir(f"{self._root}/{self.LOG}", recursive=True)
+        with self._fs.open_output_stream(draft) as f:
+            f.write(json.dumps(entry).encode())
         try:
-            out = self._fs.create(self._log_file(version), False)
-        except Exception as e:  # the file is there: another writer was first
+            if isinstance(self._fs, pafs.LocalFileSystem):
+                os.link(draft, name)
+            else:  # a rename that doesn't replace, which file systems of clusters do in one step
+                jvm = self.spark._jvm
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(self._uri), self.spark._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                place = lambda p: jvm.org.apache.hadoop.fs.Path(self._uri + p[len(self._root) :])
+                context.rename(place(draft), place(name), none)
+        except Exception as e:
+            if self._fs.get_file_info(name).type == pafs.FileType.NotFound:
+                raise
             raise ConflictError(f"version {version} is taken") from e
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-
-    def _entry(self, version: int) -> dict:
-        stream = self._fs.open(self._log_file(version))
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
         finally:
-            stream.close()
+            if self._fs.get_file_info(draft).type != pafs.FileType.NotFound:
+                self._fs.delete_file(draft)
 
     # -- files
+    def files(self) -> DataFrame:
+        """``folder``, ``file``, ``bytes`` of every data file, live or not; folders are listed by tasks, names only."""
+        uri, column = self._uri, self.column
+
+        def visible(name: str) -> bool:
+            return not name.startswith(("_", "."))
+
+        def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                fs, root = pafs.FileSystem.from_uri(uri)
+                found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+                names = [f.base_name for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith(f"{column}=")]
+                for at in range(0, len(names), 10_000):
+                    yield pa.record_batch([pa.array(names[at : at + 10_000], pa.string())], names=["folder"])
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = pafs.FileSystem.from_uri(uri)
+            for batch in batches:
+                for folder in batch.column(0).to_pylist():
+                    found = [f for f in fs.get_file_info(pafs.FileSelector(f"{root}/{folder}")) if f.type == pafs.FileType.File and visible(f.base_name)]
+                    for at in range(0, len(found), 10_000):
+                        part = found[at : at + 10_000]
+                        cols = [pa.array([folder] * len(part), pa.string()), pa.array([f.base_name for f in part], pa.string()), pa.array([f.size for f in part], pa.int64())]
+                        yield pa.record_batch(cols, names=["folder", "file", "bytes"])
+
+        each = self.spark.range(0, 1, 1, 1).mapInArrow(folders, "folder string")
+        return each.repartition(self._tasks(), "folder").mapInArrow(listed, FILE)
+
+    def _tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _live(self, rows: DataFrame, folder: Column, file: Column) -> DataFrame:
+        """The rows of live files: new files count once their id is committed, replaced ones no more."""
+        log = self._entries()
+        rows = rows.withColumns({"__folder": folder, "__file": file})
+        ids = self.spark.createDataFrame([(e["id"],) for e in log], "__id string")
+        few = F.broadcast if len(log) <= MOST_SENT else (lambda t: t)
+        theirs = F.when(F.startswith("__file", F.lit(self.NEW)), F.substring("__file", len(self.NEW) + 1, 32))
+        known = rows.withColumn("__id", theirs).join(few(ids.withColumn("__known", F.lit(True))), "__id", "left").filter("__id is null or __known").drop("__id", "__known")
+        lists = [f"{self.path}/{self.LOG}/{e['id']}.files" for e in log if not e["clean"]]
+        if lists:
+            gone = self.spark.read.schema("f string, n string").json(lists).select(F.col("f").alias("__folder"), F.col("n").alias("__file"))
+            # each list has at most MOST_FILES names
+            gone = F.broadcast(gone) if len(lists) * MOST_FILES <= 4 * MOST_FILES else gone
+            known = known.join(gone, ["__folder", "__file"], "left_anti")
+        return known.drop("__folder", "__file")
+
+    def live_files(self) -> DataFrame:
+        """``folder``, ``file``, ``bytes`` of the files that make up the table."""
+        return self._live(self.files(), F.col("folder"), F.col("file"))
+
     def listing(self, small_bytes: int = SMALL_BYTES) -> DataFrame:
-        """The files of each partition folder, listed by the executors; only names and lengths are looked at."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path).select("path", "length")
-        parts = files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.xxhash64("path", "length").alias("h"), "length")
-        return parts.filter(F.startswith("folder", F.lit(f"{self.column}="))).groupBy("folder").agg(
-            F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("length") < small_bytes, 1)).alias("n_small"), F.sum("length").alias("bytes"), F.bit_xor("h").alias("checksum")
-        )
+        """``folder``, ``n_files``, ``n_small``, ``small_bytes`` and ``bytes`` of each partition."""
+        return crowds(self.live_files(), "folder", F.lit(True), small_bytes)
 
-    def partitions(self, small_bytes: int = SMALL_BYTES, crowd: int = 0) -> dict[str, PartitionFiles]:
-        """Partition folders with at least ``crowd`` small files; a row for each comes to the driver, none for files."""
-        found = self.listing(small_bytes).filter(F.col("n_small") >= crowd).collect()
-        return {r.folder: PartitionFiles(r.n_files, r.n_small, r.bytes, r.checksum) for r in found}
+    def crowded(self, small_bytes: int = SMALL_BYTES, crowd: int = CROWD) -> DataFrame:
+        """The partitions with at least ``crowd`` small files."""
+        return self.listing(small_bytes).filter(F.col("n_small") >= crowd)
 
-    def crowded(self, small_bytes: int = SMALL_BYTES, crowd: int = CROWD) -> dict[str, PartitionFiles]:
-        return self.partitions(small_bytes, crowd)
+    def read(self) -> DataFrame:
+        """The rows of the live files as of now; nothing is written, and nothing it reads moves before ``clean``."""
+        rows = self._rows([self.path]).select("*", "_metadata.file_path")
+        path = F.split(_plain_path("file_path"), "/")
+        return self._live(rows, F.element_at(path, -2), F.element_at(path, -1)).drop("file_path")
+
+    def _rows(self, paths: list[str], base: str | None = None) -> DataFrame:
+        """Rows below ``paths``, the partition column as the text that its folders carry (never a number read from it)."""
+        reader = self.spark.read.option("basePath", base or self.path)
+        if self.schema is None:
+            found = reader.option("mergeSchema", "true").parquet(*paths).schema
+            self.schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == self.column else f.dataType) for f in found])
+        return reader.schema(self.schema).parquet(*paths)
 
     # -- the work
-    def compact(self, target_bytes: int, small_bytes: int = SMALL_BYTES, crowd: int = CROWD, *, before_commit=None) -> dict:
-        """Rewrite the crowded partitions; what was done, with files before and after.
-
-        Raises :class:`ConflictError`, leaving the table as it was, when another writer took the
-        version or changed one of these partitions meanwhile; call again then. Partitions that
-        others changed and this call didn't read are no conflict.
+    def compact(self, target_bytes: int, small_bytes: int = SMALL_BYTES, crowd: int = CROWD, *, keep_seconds: float = 0, before_commit=None, before_clean=None) -> dict:
+        """Rewrite the small files of crowded partitions; what was done, with live files before and after.
+
+        Files are taken in turns of at most ``MOST_FILES``, each a version of its own, so that no
+        list that the driver or a task holds grows with the table. Raises :class:`ConflictError`
+        when another rewrite replaced one of the same files meanwhile: the turn is left undone,
+        call again. Rewrites of other files aren't in the way. Replaced files are deleted after
+        ``keep_seconds``, which gives readers that began before time to end.
         """
-        self.recover()
-        version, read = self.version(), self.crowded(small_bytes, crowd)
-        if not read:
-            return {"version": version, "partitions": 0, "files_before": 0, "files_after": 0}
-        stage = f"{self.path}/{self.STAGE}/{uuid.uuid4().hex}"
-        self._write_stage(read, stage, target_bytes)
-        if before_commit:
-            before_commit()
-        now = self.partitions(small_bytes)
-        changed = [k for k, p in read.items() if k not in now or now[k] != p]
+        read_at = self.version()
+        crowded = self.crowded(small_bytes, crowd).select("folder")
+        inputs = cut(self.live_files().filter(F.col("bytes") < small_bytes).join(crowded, "folder", "left_semi"))
+        last, did = None, {"version": read_at, "partitions": 0, "files_before": 0, "files_after": 0}
+        while True:
+            rest = inputs if last is None else inputs.filter((F.col("folder") > last[0]) | ((F.col("folder") == last[0]) & (F.col("file") > last[1])))
+            turn = rest.orderBy("folder", "file").limit(MOST_FILES).collect()
+            if not turn:
+                break
+            did["partitions"] += len({r.folder for r in turn} - {last and last[0]})
+            last = (turn[-1].folder, turn[-1].file)
+            did["version"], written = self._rewrite(turn, target_bytes, read_at, before_commit)
+            did["files_before"] += len(turn)
+            did["files_after"] += written
+        if before_clean:
+            before_clean()
+        self.clean(keep_seconds)
+        return did
+
+    def _rewrite(self, turn: list, target_bytes: int, read_at: int, before_commit=None) -> tuple[int, int]:
+        """Replace the files of a turn by few; the version and the number of new files."""
+        me = uuid.uuid4().hex
+        stage = f"{self.path}/{self.STAGE}/{me}"
         try:
-            if changed:
-                raise ConflictError(f"changed since they were read: {sorted(changed)[:5]}")
-            self._take(version + 1, {"stage": stage, "partitions": sorted(read)})
-        except ConflictError:
-            self._fs.delete(self._jpath(stage), True)
+            self._write_stage(turn, stage, target_bytes)
+            written = self._move_in(me, stage)
+            self._fs.create_dir(f"{self._root}/{self.LOG}", recursive=True)
+            with self._fs.open_output_stream(f"{self._root}/{self.LOG}/{me}.files") as f:
+                f.write("".join(json.dumps({"f": r.folder, "n": r.file}) + "\n" for r in turn).encode())
+            if before_commit:
+                before_commit()
+            version = self._commit(me, {(r.folder, r.file) for r in turn}, read_at)
+        except BaseException:
+            self._undo(me)
             raise
-        self._overwrite(version + 1, stage)
-        after = self.partitions(small_bytes)
-        return {
-            "version": version + 1,
-            "partitions": len(read),
-            "files_before": sum(p.n_files for p in read.values()),
-            "files_after": sum(after[k].n_files for k in read),
-        }
-
-    def read(self) -> DataFrame:
-        """The table's rows; a commit that was cut short is finished first."""
-        self.recover()
-        return self._rows(self.path)
-
-    def _rows(self, base: str, folders: list[str] | None = None) -> DataFrame:
-        """Rows below ``base``, the partition column as the text that its folders carry (never a number read from it)."""
-        paths = [f"{base}/{k}" for k in folders] if folders else [base]
-        if self.schema is None:
-            found = self.spark.read.option("basePath", base).option("mergeSchema", "true").parquet(*paths).schema
-            self.schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == self.column else f.dataType) for f in found])
-        return self.spark.read.option("basePath", base).schema(self.schema).parquet(*paths)
-
-    def _write_stage(self, read: dict[str, PartitionFiles], stage: str, target_bytes: int) -> None:
-        rows = self._rows(self.path, sorted(read))
-        parts = [(k, max(1, math.ceil(p.bytes / target_bytes))) for k, p in read.items()]
-        # a partition's share of output files follows its bytes; a salt from the rows spreads a huge one over as many
-        # tasks, and depends on the rows only, so that a task run again writes the same
-        file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-        hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-        salted = rows.select("*", F.element_at(F.split(file, "/"), -2).alias("__folder"), F.xxhash64(*hashable).alias("__salt"))
-        share = self.spark.createDataFrame(parts, "__folder string, __parts int")
-        if len(parts) <= MOST_SENT:
-            share = F.broadcast(share)
-        placed = salted.join(share, "__folder", "left").repartition(
-            max(1, min(sum(n for _, n in parts), MOST_TASKS)), "__folder", F.pmod("__salt", F.coalesce("__parts", F.lit(1)))
-        )
-        placed.select(*rows.columns).write.partitionBy(self.column).parquet(stage)
-        want, got = rows.count(), self._rows(stage).count()
+        return version, written
+
+    def _commit(self, me: str, replaced: set[tuple[str, str]], read_at: int) -> int:
+        while True:
+            log = self._entries()
+            for e in log:
+                if e["version"] > read_at and replaced & self._replaced(e["id"]):
+                    raise ConflictError(f"version {e['version']} replaced files that this rewrite read")
+            missing = self._missing(replaced)
+            if missing:
+                raise ConflictError(f"removed since they were read: {missing[:5]}")
+            version = max((e["version"] for e in log), default=0) + 1
+            try:
+                self._take(version, {"id": me, "at": time.time()})
+                return version
+            except ConflictError:  # another rewrite came first; it may be of other files
+                continue
+
+    def _replaced(self, me: str) -> set[tuple[str, str]]:
+        with self._fs.open_input_stream(f"{self._root}/{self.LOG}/{me}.files") as f:
+            return {(r["f"], r["n"]) for r in map(json.loads, f.read().decode().splitlines())}
+
+    def _missing(self, files: set[tuple[str, str]]) -> list[str]:
+        by_folder = defaultdict(set)
+        for folder, name in files:
+            by_folder[folder].add(name)
+        found = []
+        for folder, names in by_folder.items():
+            there = {x.base_name for x in self._fs.get_file_info(pafs.FileSelector(f"{self._root}/{folder}", allow_not_found=True))}
+            found += [f"{folder}/{n}" for n in sorted(names - there)]
+        return found
+
+    def _write_stage(self, turn: list, stage: str, target_bytes: int) -> None:
+        """The rows of the turn's files, each partition in as many new files as its bytes call for."""
+        total = defaultdict(lambda: [0, 0])
+        for r in turn:
+            total[r.folder][0] += 1
+            total[r.folder][1] += r.bytes
+        # never more new files than half the old ones
+        parts = {k: max(1, min(math.ceil(b / target_bytes), n // 2)) for k, (n, b) in total.items()}
+        first, n_parts = {}, 0
+        for k in sorted(parts):
+            first[k], n_parts = n_parts, n_parts + parts[k]
+        # whole folders are listed, which takes one request for each, and other files dropped before they are opened
+        rows = self._rows([f"{self.path}/{k}" for k in sorted(parts)]).select("*", "_metadata.file_path")
+        path = F.split(_plain_path("file_path"), "/")
+        named = rows.withColumns({"__folder": F.element_at(path, -2), "__file": F.element_at(path, -1)}).drop("file_path")
+        wanted = self.spark.createDataFrame([(r.folder, r.file, first[r.folder], parts[r.folder]) for r in turn], "__folder string, __file string, __first int, __parts int")
+        chosen = named.join(F.broadcast(wanted), ["__folder", "__file"])
+        # the place of a row follows from the row, so that a task run again writes the same
+        hashable = [f.name for f in self.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        placed = chosen.withColumn("__p", (F.col("__first") + F.pmod(F.xxhash64(*hashable), F.col("__parts"))).cast("int"))
+        out = placed.repartitionById(n_parts, "__p").select(*self.schema.names)
+        out.write.partitionBy(self.column).parquet(stage)
+        want, got = chosen.count(), self._rows([stage], stage).count() if self._exists(stage, self.column) else 0
         if want != got:
-            self._fs.delete(self._jpath(stage), True)
             raise RuntimeError(f"{got} rows were written of {want}")
 
-    def _overwrite(self, version: int, stage: str) -> None:
-        # one task for each staged file's partition again, so that files stay as few
-        rows = self._rows(stage)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.column).parquet(self.path)
-        self._fs.create(self._done_file(version), True).close()
-        self._fs.delete(self._jpath(stage), True)
-
-    def recover(self) -> bool:
-        """Finish a commit whose overwrite was cut short; whether there was one."""
-        version = self.version()
-        if not version or self._fs.exists(self._done_file(version)):
-            return False
-        self._overwrite(version, self._entry(version)["stage"])
-        return True
+    def _exists(self, stage: str, column: str) -> bool:
+        root = self._root + stage[len(self.path) :]
+        return any(f.base_name.startswith(f"{column}=") for f in self._fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)))
+
+    def _move_in(self, me: str, stage: str) -> int:
+        """Move staged files into their partitions, named by the id; how many there are now. May run again."""
+        uri, new = self._uri, self.NEW
+        staged = f"{self._root}{stage[len(self.path) :]}"
+        moves = [
+            (f"{staged}/{d.base_name}/{f.base_name}", f"{self._root}/{d.base_name}", f"{new}{me}-{f.base_name}")
+            for d in self._fs.get_file_info(pafs.FileSelector(staged, allow_not_found=True))
+            if d.type == pafs.FileType.Directory
+            for f in self._fs.get_file_info(pafs.FileSelector(d.path))
+            if f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", "."))
+        ]
+        if not moves:
+            return 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, _ = pafs.FileSystem.from_uri(uri)
+            for batch in batches:
+                for a, folder, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if fs.get_file_info(a).type == pafs.FileType.NotFound and fs.get_file_info(f"{folder}/{name}").type == pafs.FileType.File:
+                        continue  # an earlier run of this task moved it
+                    fs.move(a, f"{folder}/{name}")
+                yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        plan = self.spark.createDataFrame(moves, "a string, folder string, name string").repartition(self._tasks(), "a")
+        plan.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+        self._fs.delete_dir(staged)
+        return len(moves)
+
+    def _undo(self, me: str) -> None:
+        """Take away what a rewrite that wasn't committed has written."""
+        if any(e["id"] == me for e in self._entries()):
+            return
+        self._delete(self.files().filter(F.startswith("file", F.lit(f"{self.NEW}{me}-"))))
+        for name in (f"{self._root}/{self.STAGE}/{me}", f"{self._root}/{self.LOG}/{me}.files"):
+            kind = self._fs.get_file_info(name).type
+            if kind == pafs.FileType.Directory:
+                self._fs.delete_dir(name)
+            elif kind == pafs.FileType.File:
+                self._fs.delete_file(name)
+
+    def _delete(self, files: DataFrame) -> None:
+        uri = self._uri
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = pafs.FileSystem.from_uri(uri)
+            for batch in batches:
+                for folder, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if fs.get_file_info(f"{root}/{folder}/{name}").type == pafs.FileType.File:
+                        fs.delete_file(f"{root}/{folder}/{name}")
+                yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        files.select("folder", "file").mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+    def clean(self, keep_seconds: float = 0, orphan_seconds: float = 7 * 86_400) -> None:
+        """Delete files replaced at least ``keep_seconds`` ago, and what rewrites left that ended ``orphan_seconds`` ago without a commit.
+
+        May run at any time, by anybody, and again: only files that a committed version lists, or
+        whose id no version has, are touched.
+        """
+        now, log = time.time(), self._entries()
+        for e in log:
+            if not e["clean"] and e["at"] <= now - keep_seconds:
+                gone = self.spark.read.schema("f string, n string").json(f"{self.path}/{self.LOG}/{e['id']}.files")
+                self._delete(gone.select(F.col("f").alias("folder"), F.col("n").alias("file")).repartition(self._tasks(), "file"))
+                with self._fs.open_output_stream(f"{self._root}/{self.LOG}/{e['version']:020d}.clean"):
+                    pass
+        known = {e["id"] for e in log}
+        lists = self._fs.get_file_info(pafs.FileSelector(f"{self._root}/{self.LOG}", allow_not_found=True))
+        stages = self._fs.get_file_info(pafs.FileSelector(f"{self._root}/{self.STAGE}", allow_not_found=True))
+        for f in [*stages, *(f for f in lists if f.base_name.endswith(".files"))]:
+            me = f.base_name.removesuffix(".files")
+            if me not in known and f.mtime is not None and f.mtime.timestamp() <= now - orphan_seconds:
+                self._undo(me)
+
+
+def _plain_path(column: str) -> Column:
+    """A file's path as it is on disk, from the escaped form that Spark reports."""
+    return F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="treeline-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -34,3 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(path: str, spark: SparkSession) -> None:
+    """Delete a folder that this library wrote below the shared one."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} isn't below the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

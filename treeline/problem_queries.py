@@ -47,18 +47,22 @@ def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     """The records after a table of them, written by many writers, is compacted in place."""
     table = _lists_table(spark, d)
     table.compact(LIST_BYTES)
-    return table.read().select("dir", "file", F.col("line").cast("long").alias("line"), "path", "type")
+    rows = lineage.cut(table.read().select("dir", "file", F.col("line").cast("long").alias("line"), "path", "type"))
+    lineage.drop(table.path, spark)
+    return rows
 
 
 def p1_compacted_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of each directory before that compaction, and whether the directory is still crowded after it."""
+    """Live files of each directory before that compaction, whether they became fewer, and whether the directory is still crowded."""
     table = _lists_table(spark, d)
-    before = table.listing().select("folder", F.col("n_files").alias("files_before"))
-    before = lineage.cut(before)
+    before = lineage.cut(table.listing().select("folder", F.col("n_files").alias("files_before")))
     table.compact(LIST_BYTES)
-    after = table.listing().select("folder", (F.col("n_small") >= compaction.CROWD).alias("crowded_after"))
+    after = lineage.cut(table.listing().select("folder", F.col("n_files").alias("files_after"), "n_small"))
+    lineage.drop(table.path, spark)
+    name = F.url_decode(F.replace(F.substring_index("folder", "=", -1), F.lit("+"), F.lit("%2B")))
+    fewer, crowded = F.col("files_after") < F.col("files_before"), F.col("n_small") >= compaction.CROWD
     joined = before.join(after, "folder", "left")
-    return joined.select(F.url_decode(F.replace(F.substring_index("folder", "=", -1), F.lit("+"), F.lit("%2B"))).alias("dir"), "files_before", F.coalesce("crowded_after", F.lit(False)).alias("crowded_after"))
+    return joined.select(name.alias("dir"), "files_before", F.coalesce(fewer, F.lit(False)).alias("rewritten"), F.coalesce(crowded, F.lit(False)).alias("crowded_after"))
 
 
 def p1_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +161,7 @@ select dir, file, cast(line as bigint) as line,
 from clean where t <> ''""",
     "p1_compacted_files": f"""
 with {_FILES}
-select dir, count(*) as files_before, false as crowded_after from files group by dir""",
+select dir, count(*) as files_before, count(*) >= 24 as rewritten, false as crowded_after from files group by dir""",
     "p2_found": f"""
 with {_KEYS}
 select key_name, key_value from keyed group by 1, 2 having count(*) * 100 >= 3 * (select count(*) from entries)""",
