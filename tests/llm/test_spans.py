@@ -1,10 +1,13 @@
+import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from tests.conftest import rows
 from treeline.llm import spans as S
+from treeline.llm import suffixes as T
 
 L, W = 60, 15  # short stretches for small texts; the shortest seed still fits
 
@@ -55,6 +58,13 @@ def test_pairs_and_amounts_against_brute_force(spark, seed, most):
     assert sorted(rows(S.sharing_pairs(df, length=L, window=W, most_in_group=most))) == pairs
     got = {r.doc_id: r.shared_chars for r in S.shared_amounts(frame(spark, data), length=L, window=W, most_in_group=most).collect()}
     assert got == cover
+    spans = S.shared_spans(frame(spark, data), length=L, window=W, most_in_group=most).collect()
+    runs = {}
+    for r in spans:
+        assert r.end - r.start >= L
+        runs.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {i: sum(e - s for s, e in x) for i, x in runs.items()} == {i: n for i, n in cover.items() if n}
+    assert all(a[1] < b[0] for x in runs.values() for a, b in itertools.pairwise(sorted(x)))
 
 
 def test_at_the_border_of_the_length(spark):
@@ -72,30 +82,62 @@ def test_once_in_one_document_only_is_none(spark):
     assert S.sharing_pairs(frame(spark, []).limit(0)).count() == 0
 
 
-def test_large_groups_in_memory_match_pairwise():
-    r = np.random.default_rng(1)
-    n, left, length = 60, 20, 50
-    base = r.integers(97, 100, (4, 2 * left))
-    chars = base[r.integers(0, 4, n)].astype(np.uint32)
-    noise = r.random((n, 2 * left)) < 0.03
-    chars[noise] = 120
-    c = {"chars": chars, "key": np.zeros(n, np.int64), "check": np.zeros(n, np.int64), "doc": r.integers(0, 50, n), "first": np.full(n, 100), "last": np.full(n, 100),
-         "before": r.integers(0, left + 1, n), "after": r.integers(0, left + 1, n)}
-    a, b = S.Group(c, length, left + 1), S.Group(c, length, left + 1)
-    i, j = np.triu_indices(n, 1)
-    a.pairwise(i, j)
-    b.by_depth(np.arange(n))
-    sets = [{tuple(x) for p in g.pairs for x in p.tolist()} for g in (a, b)]
-    assert sets[0] == sets[1] and sets[0]
-
-    def covered(g):
-        out = {}
-        for part in g.spans:
-            for d, s, e in part.tolist():
-                out.setdefault(d, set()).update(range(s, e))
-        return out
-
-    assert covered(a) == covered(b)
+def suffixes(seed, n, left=20):
+    r = np.random.default_rng(seed)
+    chars = r.integers(97, 100, (4, 2 * left))[r.integers(0, 4, n)].astype(np.uint32)
+    chars[r.random((n, 2 * left)) < 0.03] = 120
+    return r.integers(0, 3, n).cumsum() // 40, r.integers(0, n, n), r.integers(0, left + 1, n), r.integers(0, left + 1, n), chars
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_find_what_each_pair_of_suffixes_shares(seed, monkeypatch):
+    left = 20
+    group, doc, before, after, chars = suffixes(seed, 150, left)
+    if seed > 2:  # many that end where their text does
+        before[::2], after[1::2] = left, left
+    monkeypatch.setattr(T, "MEMBERS", 200 if seed % 2 else 1 << 19)
+    pairs, cover = set(), {}
+    for x, y in itertools.combinations(range(len(doc)), 2):
+        if group[x] != group[y] or doc[x] == doc[y]:
+            continue
+        reach = lambda a, b, most: next((i for i in range(most) if a[i] != b[i]), most)
+        l = reach(chars[x, :left][::-1], chars[y, :left][::-1], min(before[x], before[y]))
+        r = reach(chars[x, left:], chars[y, left:], min(after[x], after[y]))
+        if l + r >= left:
+            pairs.add((min(doc[x], doc[y]), max(doc[x], doc[y])))
+            for i in (x, y):
+                cover[i] = [max(p, q) for p, q in zip(cover.get(i, (0, 0)), (l, r), strict=True)]
+    forest = T.Forest(group, doc, before, after, chars)
+    monkeypatch.setattr(S, "PAIRED", 3)
+    got = {(int(a[i, j]), int(b[i, k])) for rep, d in forest.repeats() for a, b in S._blocks_of(rep, d) for i in range(len(a)) for j in range(a.shape[1]) for k in range(b.shape[1]) if a[i, j] < b[i, k]}
+    assert got == pairs and pairs
+    rows_, l, r = forest.extents()
+    assert {int(i): [int(x), int(y)] for i, x, y in zip(rows_, l, r, strict=True)} == {i: [int(x), int(y)] for i, (x, y) in cover.items()}
+
+
+def test_a_large_group_of_copies_needs_little_memory():
+    n, left = 8192, 200
+    r = np.random.default_rng(7)
+    chars = np.repeat(r.integers(97, 123, (1, 2 * left)), n, 0).astype(np.uint32)
+    chars[: n // 2, -3:] = r.integers(97, 123, (n // 2, 3))
+    full = np.full(n, left)
+    tracemalloc.start()
+    forest = T.Forest(np.zeros(n, np.int64), np.arange(n), full, full, chars)
+    ids, most = 0, 0
+    for rep, d in forest.repeats():
+        for a, b in S._blocks_of(rep, d):
+            ids, most = ids + a.size + b.size, max(most, a.shape[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids >= n and most <= S.PAIRED and peak < 300 << 20
+
+
+def test_groups_of_any_size_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRED", 4)
+    data = [(1, i) for i in range(30)] + [(2, 5), (2, 90), (3, 7)]
+    blocks = S.block_pairs(spark.createDataFrame(data, "g int, doc bigint"), ["g"])
+    assert blocks.selectExpr("max(size(docs_a))").first()[0] < 15
+    assert rows(S._pairs(blocks)) == sorted([(5, 90), *((a, b) for a in range(30) for b in range(a + 1, 30))], key=repr)
 
 
 def test_anchors_do_not_depend_on_what_surrounds_a_stretch():

@@ -44,7 +44,12 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of each document that stand in others, their places counted from 0."""
+    return spans.shared_spans(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared, p8_spans)}
 
 _WINDOWS = """
 w as (select doc_id, i, md5(substr(text, i, 400)) as h
@@ -57,6 +62,11 @@ SQL = {
 with {_WINDOWS},
 s as (select distinct h, doc_id from w where h in (select h from n))
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from s a join s b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p8_spans": f"""
+with {_WINDOWS},
+s as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end as fresh from w where h in (select h from n)),
+r as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from s)
+select doc_id, min(i) - 1 as start, max(i) + 399 as "end" from r group by doc_id, run""",
     "p8_shared": f"""
 with {_WINDOWS},
 c as (select doc_id, count(*) as shared from (select distinct doc_id, unnest(range(i, i + 400)) as c from w where h in (select h from n)) group by 1)

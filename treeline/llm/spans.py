@@ -1,14 +1,14 @@
-"""Long stretches that stand verbatim in more than one document.
-
-A tree of all suffixes would be many times the corpus. It isn't needed: only suffixes that
-begin at *anchors* are kept. Among the ``window`` seeds (32 characters) that begin a stretch
-of ``length`` characters the one with the least hash is an anchor; the choice looks at the
-stretch only, so every document that holds the stretch has an anchor at the same place of it.
-From there at least ``length - window + 1`` characters are equal to the right: that prefix
-splits the suffixes into groups, the subtrees. Within a group suffixes are matched to their
-depth on the right, and on the left up to the window. Prefixes that many suffixes share are
-replaced by longer ones, up to the full length, at which a group is a node of the tree whose
-members all share a stretch.
+"""Long stretches that stand verbatim in more than one document, by suffix trees partitioned by prefixes.
+
+A tree of all suffixes to a depth of ``length`` would shuffle each character ``length`` times.
+It isn't needed: only suffixes that begin at *anchors* are kept. Among the ``window`` seeds
+(32 characters) that begin a stretch of ``length`` characters the one with the least hash is
+an anchor; the choice looks at the stretch only, so every document that holds the stretch
+has an anchor at the same place of it, with at least ``length - window + 1`` equal characters
+to the right. Suffixes are partitioned by that prefix, and where more begin with it than a
+worker should hold, by longer ones, up to the full length (:func:`longer_prefixes`). Each
+group's suffix tree is built by a worker (:mod:`treeline.llm.suffixes`); its deep internal nodes
+give the maximal repeats.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.llm.suffixes import Forest
 from treeline.plans.lineage import cut
 
 LENGTH = 400
 SEED = 32
 WINDOW = 201
-#: Suffixes of a group up to this many are matched in a worker's memory (about 4 kB each).
-MOST_IN_GROUP = 16_384
-#: Groups up to this size are matched pair by pair.
-PAIRWISE = 12
+#: Suffixes of a group up to this many are one tree in a worker's memory (about 5 kB each); more are split by longer prefixes.
+MOST_IN_GROUP = 8_192
+#: Documents of one repeat are paired in blocks of this many, so that no row and no task holds the pairs of a large repeat.
+PAIRED = 256
 #: Characters hashed at a time, so that arrays stay in the processor's cache.
 SEGMENT = 1 << 17
 #: Characters of texts taken together.
@@ -124,7 +125,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def anchor_keys(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """``doc``, ``key``: the distinct prefixes of anchors of each text."""
+    """``doc``, ``key``, ``n``: the distinct prefixes of anchors of each text, and how many anchors have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +136,11 @@ def anchor_keys(texts: DataFrame, length: int, window: int) -> DataFrame:
                 t, k = b.text[order], b.key[order]
                 new = np.ones(len(t), bool)
                 new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-                yield pa.record_batch([pa.array(docs[at + t[new]]), pa.array(k[new])], names=["doc", "key"])
+                heads = np.flatnonzero(new)
+                n = np.diff(np.append(heads, len(t)))
+                yield pa.record_batch([pa.array(docs[at + t[heads]]), pa.array(k[heads]), pa.array(n)], names=["doc", "key", "n"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc bigint, key bigint")
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, key bigint, n bigint")
 
 
 CONTEXT = "key bigint, check bigint, doc bigint, first bigint, last bigint, before int, after int, context string"
@@ -205,97 +208,57 @@ def contexts(texts: DataFrame, length: int, window: int) -> DataFrame:
     return texts.select("doc", "text", "keys").mapInArrow(run, CONTEXT)
 
 
-class Group:
-    """Suffixes of one worker's stretch of sorted keys; finds what those of one key share."""
-
-    def __init__(self, columns: dict[str, np.ndarray], length: int, window: int) -> None:
-        self.c, self.left, self.prefix = columns, window - 1, length - window + 1
-        self.pairs: list[np.ndarray] = []
-        self.spans: list[np.ndarray] = []
-
-    def note(self, a: np.ndarray, b: np.ndarray, l: np.ndarray, r: np.ndarray) -> None:
-        doc, first, last = self.c["doc"], self.c["first"], self.c["last"]
-        self.pairs.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])], 1))
-        for i in (a, b):
-            self.spans.append(np.stack([doc[i], first[i] - l, last[i] + r], 1))
-
-    def pairwise(self, a: np.ndarray, b: np.ndarray) -> None:
-        chars, before, after, doc = self.c["chars"], self.c["before"], self.c["after"], self.c["doc"]
-        use = doc[a] != doc[b]
-        a, b = a[use], b[use]
-        for at in range(0, len(a), 2048):
-            x, y = a[at : at + 2048], b[at : at + 2048]
-            unlike = chars[x] != chars[y]
-            back, on = unlike[:, : self.left][:, ::-1], unlike[:, self.left :]
-            l = np.where(back.any(1), back.argmax(1), self.left)
-            r = np.where(on.any(1), on.argmax(1), self.left)
-            l, r = np.minimum(l, np.minimum(before[x], before[y])), np.minimum(r, np.minimum(after[x], after[y]))
-            ok = l + r >= self.left
-            self.note(x[ok], y[ok], l[ok], self.prefix + r[ok])
-
-    def by_depth(self, rows: np.ndarray) -> None:
-        """Larger groups: equal stretches of full length at each offset, so the time follows the rows and the pairs found.
-
-        With the prefix equal, a stretch is equal where ``left`` characters around it are.
-        """
-        chars, before, after, doc = self.c["chars"][rows], self.c["before"][rows], self.c["after"][rows], self.c["doc"][rows]
-        h = np.concatenate([rolling(chars[i : i + 512], (self.left,))[self.left] for i in range(0, len(rows), 512)])
-        low, high = np.full(len(rows), self.left + 1), np.full(len(rows), -1)
-        seen: set[bytes] = set()
-        for o in range(self.left + 1):
-            t = self.left - o
-            real = np.flatnonzero((before >= t) & (after >= o))
-            if len(real) < 2:
-                continue
-            order = real[np.argsort(h[real, o], kind="stable")]
-            v = h[order, o]
-            heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-            tails = np.append(heads[1:], len(v))
-            large = tails - heads > 1
-            for s, e in zip(heads[large], tails[large], strict=True):
-                node = order[s:e]
-                if (doc[node] == doc[node[0]]).all():
-                    continue
-                low[node], high[node] = np.minimum(low[node], o), np.maximum(high[node], o)
-                members = np.unique(doc[node])
-                mark = members.tobytes()
-                if mark not in seen:
-                    seen.add(mark)
-                    i, j = np.triu_indices(len(members), 1)
-                    self.pairs.append(np.stack([members[i], members[j]], 1))
-        found = np.flatnonzero(high >= 0)
-        first, last = self.c["first"][rows[found]], self.c["last"][rows[found]]
-        self.spans.append(np.stack([doc[found], first - self.left + low[found], last + self.prefix + high[found]], 1))
-
-    def run(self) -> None:
-        key, check = self.c["key"], self.c["check"]
-        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(heads, len(key)))
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRWISE)]):
-            at = heads[sizes == size]
-            i, j = np.triu_indices(size, 1)
-            self.pairwise((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
-        for at, size in zip(heads[sizes > PAIRWISE], sizes[sizes > PAIRWISE], strict=True):
-            self.by_depth(np.arange(at, at + size))
+def _blocks_of(repeat: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents of repeats as matrices ``a`` and ``b``: the pairs are ``a[i, j] < b[i, k]``. Repeats of the same documents count once."""
+    heads = np.flatnonzero(np.append(True, repeat[1:] != repeat[:-1]))
+    sizes = np.diff(np.append(heads, len(repeat)))
+    for n in np.unique(sizes):
+        sets = np.unique(doc[heads[sizes == n][:, None] + np.arange(n)], axis=0)
+        if n <= PAIRED:
+            yield sets[:, :-1], sets[:, 1:]
+            continue
+        for i in range(0, n, PAIRED):
+            for j in range(i, n, PAIRED):
+                yield sets[:, i : i + PAIRED], sets[:, j : j + PAIRED]
 
 
 def match_groups(suffixes: DataFrame, length: int, window: int, spans: bool) -> DataFrame:
-    """Pairs (``doc_a``, ``doc_b``), or the shared stretch of each member (``doc``, ``start``, ``end``), of sorted groups."""
-    names = ["doc", "start", "end"] if spans else ["doc_a", "doc_b"]
+    """Builds the trees of groups (``key``, ``check``) of suffixes, each in one task.
+
+    With ``spans``, the shared stretch around each suffix (``doc``, ``start``, ``end``); else
+    the documents of each maximal repeat, in blocks to be paired (``docs_a``, ``docs_b``).
+    """
+    prefix, left = length - window + 1, window - 1
+    numbers = ("key", "check", "doc", "first", "last", "before", "after")
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "check", "doc", "first", "last", "before", "after")}
+        out = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in numbers}
         text = "".join(batch.column("context").to_pylist())
-        out["chars"] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(batch.num_rows, -1)
+        out["chars"] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(batch.num_rows, 2 * left)
         return out
 
     def results(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g = Group(c, length, window)
-        g.run()
-        rows = g.spans if spans else g.pairs
-        if rows and sum(map(len, rows)):
-            r = np.unique(np.concatenate(rows), axis=0)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(r[:, i])) for i in range(len(names))], names=names)
+        if not len(c["key"]):
+            return
+        group = np.cumsum(np.append(False, (c["key"][1:] != c["key"][:-1]) | (c["check"][1:] != c["check"][:-1])))
+        # most suffixes are alone with their prefix
+        many = np.bincount(group)[group] > 1
+        c, group = {k: v[many] for k, v in c.items()}, group[many]
+        if not len(group):
+            return
+        forest = Forest(group, c["doc"], c["before"], c["after"], c["chars"])
+        if spans:
+            rows, l, r = forest.extents()
+            found = np.stack([c["doc"][rows], c["first"][rows] - l, c["last"][rows] + prefix + r], 1)
+            found = np.unique(found, axis=0)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)], names=["doc", "start", "end"])
+            return
+        for repeat, doc in forest.repeats():
+            for a, b in _blocks_of(repeat, doc):
+                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
+                step = max(1, (1 << 20) // a.shape[1])
+                for at in range(0, len(a), step):
+                    yield pa.record_batch([lists(a[at : at + step]), lists(b[at : at + step])], names=["docs_a", "docs_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []  # rows of the key that may go on in the next batch
@@ -312,11 +275,32 @@ def match_groups(suffixes: DataFrame, length: int, window: int, spans: bool) ->
             yield from results({k: np.concatenate([x[k] for x in held]) for k in held[0]})
 
     # partitioned by an expression of its own: a repartition that repeats a join's may be left out, and the join changed later
-    grouped = suffixes.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key", "check")
-    return grouped.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    grouped = suffixes.select(*numbers, "context").repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key", "check")
+    return grouped.mapInArrow(run, "doc bigint, start bigint, `end` bigint" if spans else "docs_a array<bigint>, docs_b array<bigint>")
 
 
-NODE = "n1 bigint, n2 bigint, key bigint, doc bigint, first bigint, start bigint, `end` bigint"
+def block_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs_a``, ``docs_b`` of groups of documents (``keys``, ``doc``, each once), however large: the pairs are all of a with all of b.
+
+    A group is dealt out by a hash of the document into blocks of about ``PAIRED``; each two
+    blocks of it meet in a row of their own, so no task gets a whole group.
+    """
+    blocks = F.ceil(F.count(F.lit(1)) / PAIRED).cast("long")
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), blocks.alias("k")).filter("n > 1").select(*keys, "k")
+    placed = members.join(sizes, keys).withColumn("b", F.pmod(F.xxhash64("doc"), F.col("k")))
+    lists = placed.groupBy(*keys, "k", "b").agg(F.collect_list("doc").alias("docs"))
+    a = lists.select(*keys, F.col("b").alias("i"), F.explode(F.expr("sequence(b, k - 1)")).alias("j"), F.col("docs").alias("docs_a"))
+    b = lists.select(*keys, F.explode(F.expr("sequence(0L, b)")).alias("i"), F.col("b").alias("j"), F.col("docs").alias("docs_b"))
+    return a.join(b, [*keys, "i", "j"]).select("docs_a", "docs_b")
+
+
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """``doc_a < doc_b``, each once. Neighbouring repeats mostly have the same documents, and fall together before they are paired."""
+    apart = blocks.distinct().select(F.explode("docs_a").alias("a"), "docs_b").select("a", F.explode("docs_b").alias("b")).filter("a <> b")
+    return apart.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+
+
+NODE = "n1 bigint, n2 bigint, key bigint, check bigint, doc bigint, first bigint, start bigint, `end` bigint"
 
 
 def longer_prefixes(suffixes: DataFrame, length: int, window: int, step: int) -> DataFrame:
@@ -346,34 +330,40 @@ def longer_prefixes(suffixes: DataFrame, length: int, window: int, step: int) ->
                 mark = _mix(places[o].astype(np.uint64) * _A + np.uint64(3))
                 node = [_mix(one[i, o] * _A + mark) ^ key[i].view(np.uint64), _mix(two[i, o] * _A + mark) ^ check[i].view(np.uint64)]
                 t = left - begin[o]
-                cols = [*[x.view(np.int64) for x in node], key[i], doc[i], first[i], first[i] - t, last[i] - t + length]
-                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in cols], names=["n1", "n2", "key", "doc", "first", "start", "end"])
+                cols = [*[x.view(np.int64) for x in node], key[i], check[i], doc[i], first[i], first[i] - t, last[i] - t + length]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in cols], names=["n1", "n2", "key", "check", "doc", "first", "start", "end"])
 
     return suffixes.mapInArrow(run, NODE)
 
 
 def _shared_nodes(nodes: DataFrame) -> DataFrame:
-    many = nodes.groupBy("n1", "n2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("n1", "n2")
-    return nodes.join(many, ["n1", "n2"], "left_semi")
+    """Nodes of more than one document, with the number ``total`` of their suffixes."""
+    many = nodes.groupBy("n1", "n2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("total")).filter("lo <> hi")
+    return nodes.join(many.select("n1", "n2", "total"), ["n1", "n2"])
 
 
-def _hot_suffixes(suffixes: DataFrame, length: int, window: int) -> DataFrame:
-    """Nodes of full length of suffixes whose prefix is hot. Most are told apart by a longer prefix and drop out before."""
-    kept = cut(suffixes)
-    alive = _shared_nodes(longer_prefixes(kept, length, window, max(1, (window - 1) // 4))).select("key", "doc", "first").distinct()
-    return longer_prefixes(kept.join(alive, ["key", "doc", "first"], "left_semi"), length, window, 1)
-
+def _split_groups(suffixes: DataFrame, length: int, window: int, spans: bool, most: int) -> DataFrame:
+    """What suffixes of prefixes too frequent for one tree share, by longer prefixes; as :func:`match_groups`.
 
-def _hot(nodes: DataFrame, spans: bool) -> DataFrame:
+    Prefixes are first lengthened to all but a quarter of the window, which tells most suffixes
+    apart and leaves groups for a tree each. Suffixes that still share such a prefix with too
+    many get prefixes of the full length: their nodes are deep as they are, and no tree is needed.
+    """
+    at = ["key", "check", "doc", "first"]
+    kept = cut(suffixes)
+    nodes = cut(_shared_nodes(longer_prefixes(kept, length, window, max(1, (window - 1) // 4))).select("n1", "n2", *at, "total"))
+    fits = nodes.filter(F.col("total") <= most).join(kept, at)
+    again = fits.select(F.col("n1").alias("key"), F.col("n2").alias("check"), "doc", "first", "last", "before", "after", "context")
+    out = match_groups(again, length, window, spans)
+    large = nodes.filter(F.col("total") > most).select(*at).distinct()
+    full = _shared_nodes(longer_prefixes(kept.join(large, at, "left_semi"), length, window, 1))
     if spans:
-        return _shared_nodes(nodes).select("doc", "start", "end")
-    members = nodes.select("n1", "n2", "doc").distinct()
+        return out.unionByName(full.select("doc", "start", "end"))
+    members = full.select("n1", "n2", "doc").distinct()
     # nodes of neighbouring offsets have the same members: one of each set is enough
     sets = members.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("y"))
     one = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("n1", "n2")).alias("s")).select("s.n1", "s.n2")
-    kept = members.join(one, ["n1", "n2"], "left_semi")
-    a, b = kept.withColumnRenamed("doc", "doc_a"), kept.withColumnRenamed("doc", "doc_b")
-    return a.join(b, ["n1", "n2"]).filter("doc_a < doc_b").select("doc_a", "doc_b")
+    return out.unionByName(block_pairs(cut(members.join(one, ["n1", "n2"], "left_semi")), ["n1", "n2"]))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -405,21 +395,21 @@ def shared_stretches(
     """
     window = window or min(WINDOW, length - SEED + 1, length // 2 + 1)
     texts = _texts(docs, id_col, text_col, length)
-    by_key = Window.partitionBy("key")
-    keys = anchor_keys(texts, length, window).join(copies.filter("doc <> rep").select("doc"), "doc", "left_anti")
-    keys = keys.withColumns({"lo": F.min("doc").over(by_key), "hi": F.max("doc").over(by_key), "n": F.count(F.lit(1)).over(by_key)})
-    shared = cut(keys.filter("lo <> hi").select("doc", "key", "n"))
+    keys = cut(anchor_keys(texts, length, window).join(copies.filter("doc <> rep").select("doc"), "doc", "left_anti"))
+    # states of keys are combined before the shuffle, and a join can split a frequent key: no task gets all of its rows
+    many = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("total")).filter("lo <> hi")
+    shared = cut(keys.join(many.select("key", "total"), "key").select("doc", "key", "total"))
 
     def suffixes(rows: DataFrame) -> DataFrame:
         # the lists of prefixes are the smaller side, but grow with the data: never broadcast
         wanted = rows.groupBy("doc").agg(F.collect_list("key").alias("keys")).hint("shuffle_hash")
         return contexts(texts.join(wanted, "doc"), length, window)
 
-    out = match_groups(suffixes(shared.filter(F.col("n") <= most_in_group)), length, window, spans)
-    hot = shared.filter(F.col("n") > most_in_group)
+    out = match_groups(suffixes(shared.filter(F.col("total") <= most_in_group)), length, window, spans)
+    hot = shared.filter(F.col("total") > most_in_group)
     if not hot.isEmpty():
-        out = out.unionByName(_hot(_hot_suffixes(suffixes(hot), length, window), spans))
-    return out.distinct()
+        out = out.unionByName(_split_groups(suffixes(hot), length, window, spans, most_in_group))
+    return out.distinct() if spans else _pairs(out)
 
 
 def sharing_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, **options) -> DataFrame:
@@ -433,11 +423,31 @@ def sharing_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = shared_stretches(docs, copies, id_col, text_col, length=length, **options)
     spread = lambda t, c: t.join(copies.select(F.col("rep").alias(c), F.col("doc").alias("x")), c, "left").withColumn(c, F.coalesce("x", c)).drop("x")
     across = spread(spread(pairs, "doc_a"), "doc_b")
-    within = copies.alias("p").join(copies.alias("q"), "rep").filter("p.doc < q.doc").select(F.col("p.doc").alias("doc_a"), F.col("q.doc").alias("doc_b"))
+    within = _pairs(block_pairs(copies.select("rep", "doc").distinct(), ["rep"]))
     both = across.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).filter("doc_a <> doc_b")
     return both.unionByName(within).distinct()
 
 
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, **options) -> DataFrame:
+    """``doc_id``, ``start``, ``end`` of the longest runs of characters that all lie in a stretch shared with another document.
+
+    Places count from 0, ``end`` is the first place behind. A run may be put together of
+    stretches shared with different documents. A document of which another holds the whole
+    text (of at least ``length``) is one run; documents that share nothing have none.
+    """
+    copies = cut(copies_of(docs, id_col, text_col, length))
+    found = shared_stretches(docs, copies, id_col, text_col, length=length, spans=True, **options)
+    # what is found of a class stands in each of its documents, but there the whole text is shared anyway
+    found = found.join(copies.select("doc"), "doc", "left_anti")
+    w = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    runs = opened.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc", "start", "end")
+    whole = copies.select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    return merged.unionByName(whole).select(F.col("doc").alias(id_col), "start", "end")
+
+
 def shared_amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, **options) -> DataFrame:
     """``doc_id``, ``n_chars``, ``shared_chars`` of every document with an id.
 
@@ -445,14 +455,7 @@ def shared_amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stands verbatim in another document; all of them, where a copy of the whole text exists.
     Null texts have null ``n_chars`` and 0 shared.
     """
-    copies = cut(copies_of(docs, id_col, text_col, length))
-    found = shared_stretches(docs, copies, id_col, text_col, length=length, spans=True, **options)
-    w = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max("end").over(w), F.lit(0))
-    covered = found.select("doc", F.greatest(F.col("end") - F.greatest("start", reach), F.lit(0)).alias("new"))
-    amounts = covered.groupBy("doc").agg(F.sum("new").alias("shared"))
-    copied = copies.select("doc", F.col("n").alias("whole"))
+    spans = shared_spans(docs, id_col, text_col, length=length, **options)
+    amounts = spans.groupBy(F.col(id_col).alias("doc")).agg(F.sum(F.col("end") - F.col("start")).alias("shared"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.length(text_col).cast("long").alias("n_chars"))
-    return base.join(amounts, "doc", "left").join(copied, "doc", "left").select(
-        F.col("doc").alias(id_col), "n_chars", F.coalesce("whole", "shared", F.lit(0)).cast("long").alias("shared_chars")
-    )
+    return base.join(amounts, "doc", "left").select(F.col("doc").alias(id_col), "n_chars", F.coalesce("shared", F.lit(0)).cast("long").alias("shared_chars"))
