@@ -21,11 +21,11 @@ def run(spark, targets, **kw):
 
 
 def test_shares_and_caps(spark):
-    _, drawn, got = run(spark, [("m", "big", 1.0, 4), ("m", "small", 1.0, 4), ("m", "none", 2.0, None), ("m", "zero", 0.0, 3), ("n", "big", 3.0, None), ("n", "small", 1.0, None)])
+    _, drawn, got = run(spark, [("m", "big", 1.0, 4), ("m", "small", 1.0, 4), ("m", "none", 2.0, None), ("m", "zero", 0.0, 3), ("n", "big", 3.0, None), ("n", "small", 1.0, None)], keep_shares=True)
     assert got["m", "small"].most_copies == 4 and got["m", "small"].copies == 80
     assert abs(got["m", "big"].actual_share - 0.5) < 0.02 and got["m", "none"].tokens == 0 and got["m", "none"].target_share == 0.5
     assert abs(got["n", "big"].actual_share - 0.75) < 0.02 and got["n", "small"].most_copies > 4
-    assert rows(drawn) == rows(run(spark, [("m", "big", 1.0, 4), ("m", "small", 1.0, 4), ("m", "none", 2.0, None), ("m", "zero", 0.0, 3), ("n", "big", 3.0, None), ("n", "small", 1.0, None)])[1])
+    assert rows(drawn) == rows(run(spark, [("m", "big", 1.0, 4), ("m", "small", 1.0, 4), ("m", "none", 2.0, None), ("m", "zero", 0.0, 3), ("n", "big", 3.0, None), ("n", "small", 1.0, None)], keep_shares=True)[1])
 
 
 def test_rows_of_the_mix(spark):
@@ -55,8 +55,27 @@ def test_null_texts_and_sources(spark):
 
 
 def test_cuts_are_the_poisson_distribution():
-    cuts = M.poisson_cuts(2.0, None)
-    assert np.allclose(cuts[:3], [np.exp(-2), 3 * np.exp(-2), 5 * np.exp(-2)])
+    base, cuts = M.poisson_cuts(2.0, None)
+    assert base == 0 and np.allclose(cuts[:3], [np.exp(-2), 3 * np.exp(-2), 5 * np.exp(-2)])
     u = (np.arange(200_000) + 0.5) / 200_000
-    assert abs(np.searchsorted(cuts, u, side="right").mean() - 2.0) < 1e-3
-    assert len(M.poisson_cuts(2.0, 3)) == 3
+    for rate in (0.01, 2.0, 255.0, 257.0, 400.0, 90_000.0):  # one law at every rate: mean and variance are the rate
+        base, cuts = M.poisson_cuts(rate, None)
+        k = base + np.searchsorted(cuts, u, side="right")
+        assert abs(k.mean() - rate) < 1e-3 * max(1, rate**0.5) and abs(k.var() / rate - 1) < 0.01
+    assert len(M.poisson_cuts(2.0, 3)[1]) == 3 and M.poisson_cuts(1000.0, 5)[0] == 5 and M.poisson_cuts(0.0, None)[0] == 0
+
+
+def test_a_capped_source_falls_short_and_holds_nobody_back(spark):
+    _, _, got = run(spark, [("m", "big", 1.0, None), ("m", "small", 1.0, 2)])
+    total = got["m", "big"].source_tokens + got["m", "small"].source_tokens
+    assert abs(got["m", "big"].tokens - total / 2) < 0.02 * total and got["m", "small"].tokens == 2 * got["m", "small"].source_tokens
+    assert got["m", "small"].actual_share < got["m", "small"].target_share == 0.5 and got["m", "small"].most_copies == 2
+
+
+def test_texts_of_the_mix(spark):
+    docs = sizes(spark).withColumn("text", F.concat(F.lit("t"), "doc_id"))
+    plan = M.mix_plan(sizes(spark), spark.createDataFrame([("m", "big", 1.0, 3, 1), ("m", "small", 1.0, 3, 1)], TARGETS))
+    out = M.mixed(M.draw(docs.select("doc_id", "source", "text"), M.draw_rates(sizes(spark), plan)))
+    ids = M.mixed(M.copies(sizes(spark), plan))
+    assert rows(out, "mix_name", "doc_id", "copy_no", "place") == rows(ids, "mix_name", "doc_id", "copy_no", "place")
+    assert out.filter("text <> concat('t', doc_id)").count() == 0

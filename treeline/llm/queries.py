@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeline.llm import mixing, spans, tokens
 
@@ -22,18 +23,42 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text").join(back, "doc_id").filter("coalesce(text, '') <> decoded").select("doc_id")
 
 
-def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.document_sizes(read(spark, d, "documents"))
-    plan = mixing.mix_plan(sizes, read(spark, d, "mix_targets"))
-    return mixing.copies(sizes, plan), plan
+    return sizes, mixing.mix_plan(sizes, read(spark, d, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed(_drawn(spark, d)[0])
+    """The mixes: an id for each copy, in the order of the collection."""
+    return mixing.mixed(mixing.copies(*_plan(spark, d)))
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The mixes with their texts, globally shuffled."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(mixing.draw(docs, mixing.draw_rates(*_plan(spark, d))))
+
+
+def p7_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached shares of each source of each mix, in tokens."""
+    sizes, plan = _plan(spark, d)
+    return mixing.shares(mixing.copies(sizes, plan), plan)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(*_drawn(spark, d))
+    """Of each source of each mix, its target share, and whether caps are kept and the tokens drawn are those wanted.
+
+    Those wanted are the share of the mix's total, or as many as the cap allows. Documents are
+    whole, so what is drawn is within 1 % of it, and three times the source's largest document.
+    """
+    sizes, plan = _plan(spark, d)
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    got = mixing.shares(mixing.copies(sizes, plan), plan).join(largest, "source", "left")
+    near = F.abs(F.col("tokens") - F.col("want")) <= F.col("want") * 0.01 + 3 * F.coalesce("largest", F.lit(0))
+    return got.select(
+        "mix_name", "source", F.round("target_share", 9).alias("target_share"), "max_repeats", "source_docs",
+        (F.coalesce("most_copies", F.lit(0)) <= F.coalesce("max_repeats", F.lit(2**31 - 1))).alias("cap_kept"), near.alias("as_wanted"),
+    )
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +74,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared, p8_spans)}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_mix, p7_documents, p7_reached, p7_shares, p8_found, p8_shared, p8_spans)}
 
 _WINDOWS = """
 w as (select doc_id, i, md5(substr(text, i, 400)) as h
@@ -58,6 +83,12 @@ n as (select h from w group by h having count(distinct doc_id) > 1)"""
 
 SQL = {
     "p6_round_trip": "select doc_id from documents where false",
+    "p7_shares": """
+with t as (select mix_name, source, sum(greatest(coalesce(weight, 0), 0)) as weight, min(max_repeats) as max_repeats from mix_targets
+  where mix_name is not null and source is not null group by all),
+n as (select source, count(*) as source_docs from documents where source is not null group by 1)
+select mix_name, source, round(coalesce(weight / nullif(sum(weight) over (partition by mix_name), 0), 0), 9) as target_share, max_repeats,
+  coalesce(source_docs, 0) as source_docs, true as cap_kept, true as as_wanted from t left join n using (source)""",
     "p8_found": f"""
 with {_WINDOWS},
 s as (select distinct h, doc_id from w where h in (select h from n))
