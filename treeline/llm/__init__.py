@@ -1 +1 @@
-"""Operators on document texts for training data. Nothing outside this folder imports it."""
+"""Operators for training data: percentiles, token ids, mixes, shared stretches. Nothing outside this folder imports it."""

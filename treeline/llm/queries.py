@@ -1,17 +1,50 @@
-"""Queries pN_ of the problems on document texts."""
+"""Queries pN_ of the problems of this folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import mixing, spans, tokens
+from treeline.llm import mixing, percentiles, spans, tokens
+from treeline.operators import heavy_keys
+
+SHARES = (0.5, 0.9, 0.99)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "entries").filter("type = 'FILE' and gid is not null")
+    medians = percentiles.percentile_buckets(percentiles.sketch(rows, ["gid"], "size"), ["gid"], [0.5])
+    return medians.filter(percentiles.at_least(F.col("b0"), 1_048_576)).select("gid")
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each gid and uid, from sketches of the days of walks added together."""
+    keys = ["key_name", "key_value"]
+    rows = read(spark, d, "entries").select(
+        F.to_date("walked_at").alias("day"),
+        F.explode(F.array(F.struct(F.lit("gid").alias("key_name"), F.col("gid").alias("key_value")), F.struct(F.lit("uid").alias("key_name"), F.col("uid").alias("key_value")))).alias("k"), "size"
+    )
+    daily = percentiles.sketch(rows.select("k.*", "day", "size").filter("key_value is not null"), [*keys, "day"], "size")
+    counts = percentiles.merge([daily], keys)
+    found = percentiles.percentiles(counts, keys, SHARES)
+    return found.select(*keys, "n", *[F.round(f"p{i}").cast("long").alias(f"p{round(100 * p)}") for i, p in enumerate(SHARES)])
+
+
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of each gid, and whether those of the sketch are within the promised error of them."""
+    rows = read(spark, d, "entries").filter("gid is not null and size is not null").select("gid", "size")
+    ranked = heavy_keys.running_totals(rows, ["gid"], ["size"], "size").select("gid", "size", "row_no")
+    found = percentiles.percentiles(percentiles.sketch(rows, ["gid"], "size"), ["gid"], SHARES)
+    want = found.select("gid", F.posexplode(F.array(*[F.struct(F.lit(round(100 * p)).alias("percent"), F.expr(f"(n * {round(p * 100)} + 99) div 100").alias("row_no"), F.col(f"p{i}").alias("p")) for i, p in enumerate(SHARES)])).alias("i", "w"))
+    exact = want.select("gid", "w.*").join(ranked, ["gid", "row_no"])
+    near = F.abs(F.col("p") - F.col("size")) <= F.col("size") * (percentiles.relative_error() + 1e-12)
+    return exact.select("gid", "percent", "size", near.alias("within"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, d, "documents"), "doc_id", "text")
 
@@ -74,14 +107,33 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_mix, p7_documents, p7_reached, p7_shares, p8_found, p8_shared, p8_spans)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_bounds, p6_ids, p6_round_trip, p7_mix, p7_documents, p7_reached, p7_shares, p8_found, p8_shared, p8_spans)}
 
 _WINDOWS = """
 w as (select doc_id, i, md5(substr(text, i, 400)) as h
   from (select doc_id, text, unnest(range(1, length(text) - 398)) as i from documents where length(text) >= 400)),
 n as (select h from w group by h having count(distinct doc_id) > 1)"""
 
+#: The bucket of a positive size: its exponent, and the step of its mantissa, as in percentiles.bucket_of.
+_BUCKET = "case when size = 0 then 0 else (e + 1100) * 64 + cast(floor(64 * log2(size / (1::bigint << e))) as bigint) end"
+
 SQL = {
+    "p5_found": """
+with r as (select gid, size, row_number() over (partition by gid order by size) as i, count(*) over (partition by gid) as n
+  from entries where type = 'FILE' and size is not null and gid is not null)
+select gid from r where i = (n + 1) // 2 and size >= 1048576""",
+    "p5_percentiles": f"""
+with k as (select 'gid' as key_name, gid as key_value, size from entries where gid is not null and size is not null
+  union all select 'uid', uid, size from entries where uid is not null and size is not null),
+x as (select *, case when size > 0 then length(ltrim(cast(size::bit as varchar), '0')) - 1 else 0 end as e from k),
+c as (select key_name, key_value, {_BUCKET} as bucket, count(*) as n from x group by all),
+r as (select *, sum(n) over (partition by key_name, key_value order by bucket) as upto, sum(n) over (partition by key_name, key_value) as total from c),
+q as (select key_name, key_value, cast(any_value(total) as bigint) as n, {", ".join(f"min(bucket) filter (where upto >= (total * {round(p * 1e6)} + 999999) // 1000000) as b{i}" for i, p in enumerate(SHARES))} from r group by all)
+select key_name, key_value, n, {", ".join(f"cast(round(case when b{i} = 0 then 0 else pow(2, b{i} / 64.0 - 1100) * {2 * 2 ** (1 / 64) / (1 + 2 ** (1 / 64))!r} end) as bigint) as p{round(100 * p)}" for i, p in enumerate(SHARES))} from q""",
+    "p5_bounds": """
+with r as (select gid, size, row_number() over (partition by gid order by size) as i, count(*) over (partition by gid) as n
+  from entries where size is not null and gid is not null)
+select gid, cast(p as integer) as percent, size, true as within from r, (values (50), (90), (99)) v(p) where i = (n * p + 99) // 100""",
     "p6_round_trip": "select doc_id from documents where false",
     "p7_shares": """
 with t as (select mix_name, source, sum(greatest(coalesce(weight, 0), 0)) as weight, min(max_repeats) as max_repeats from mix_targets
