@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions.paths import strip_root
-from treeline.operators import compaction, heavy_keys, percentiles, snapshot_changes, table_diff
+from treeline.operators import compaction, heavy_keys, snapshot_changes, table_diff
 from treeline.plans import lineage
 
 #: Bytes of a compacted list file.
 LIST_BYTES = 65_536
-SHARES = (0.5, 0.9, 0.99)
 DIFF_FIELDS = (
     table_diff.Field("SIZE", ("size",), unless=("type", "DIR")),
     table_diff.Field("MTIME", ("mtime", "mtime_nsec")),
@@ -103,26 +102,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes.snapshot_changes(read(spark, d, "snapshots"), "snap_no", "name", CHANGE_FIELDS)
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "entries").filter("type = 'FILE' and gid is not null")
-    medians = percentiles.percentile_buckets(percentiles.sketch(rows, ["gid"], "size"), ["gid"], [0.5])
-    return medians.filter(percentiles.at_least(F.col("b0"), 1_048_576)).select("gid")
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each gid and uid, from sketches of the days of walks added together."""
-    keys = ["key_name", "key_value"]
-    rows = read(spark, d, "entries").select(
-        F.to_date("walked_at").alias("day"),
-        F.explode(F.array(F.struct(F.lit("gid").alias("key_name"), F.col("gid").alias("key_value")), F.struct(F.lit("uid").alias("key_name"), F.col("uid").alias("key_value")))).alias("k"), "size"
-    )
-    daily = percentiles.sketch(rows.select("k.*", "day", "size").filter("key_value is not null"), [*keys, "day"], "size")
-    counts = percentiles.merge([daily], keys)
-    found = percentiles.percentiles(counts, keys, SHARES)
-    return found.select(*keys, "n", *[F.round(f"p{i}").cast("long").alias(f"p{round(100 * p)}") for i, p in enumerate(SHARES)])
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_compacted_files, p1_parts, p2_found, p2_totals, p2_running, p3_found, p4_found, p5_found, p5_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_compacted, p1_compacted_files, p1_parts, p2_found, p2_totals, p2_running, p3_found, p4_found)}
 
 _DIR = "regexp_replace(name, '/[^/]*$', '')"
 _KEYS = f"""
@@ -132,9 +112,6 @@ _FILES = f"""
 files as (select name, {_DIR} as dir, strlen(coalesce(any_value(body), '')) as bytes, any_value(body) as body from saved_lists group by name)"""
 _DIFF = " or ".join(f"a.{c} is distinct from b.{c}" for c in CHANGE_FIELDS)
 
-#: The bucket of a positive size: its exponent, and the step of its mantissa, as in percentiles.bucket_of.
-_BUCKET = "case when size = 0 then 0 else (e + 1100) * 64 + cast(floor(64 * log2(size / (1::bigint << e))) as bigint) end"
-
 SQL = {
     "p1_found": f"""
 with newest as (select name, max(walked_at) as w from entries group by name),
@@ -193,16 +170,4 @@ select b.snap_no, b.name, case when a.name is null then 'added' else 'changed' e
 from b left join p a on a.nxt = b.snap_no and a.name = b.name where a.name is null or {_DIFF}
 union all
 select a.nxt, a.name, 'removed' from p a left join b on a.nxt = b.snap_no and a.name = b.name where a.nxt is not null and b.name is null""",
-    "p5_found": """
-with r as (select gid, size, row_number() over (partition by gid order by size) as i, count(*) over (partition by gid) as n
-  from entries where type = 'FILE' and size is not null and gid is not null)
-select gid from r where i = (n + 1) // 2 and size >= 1048576""",
-    "p5_percentiles": f"""
-with k as (select 'gid' as key_name, gid as key_value, size from entries where gid is not null and size is not null
-  union all select 'uid', uid, size from entries where uid is not null and size is not null),
-x as (select *, case when size > 0 then length(ltrim(cast(size::bit as varchar), '0')) - 1 else 0 end as e from k),
-c as (select key_name, key_value, {_BUCKET} as bucket, count(*) as n from x group by all),
-r as (select *, sum(n) over (partition by key_name, key_value order by bucket) as upto, sum(n) over (partition by key_name, key_value) as total from c),
-q as (select key_name, key_value, cast(any_value(total) as bigint) as n, {", ".join(f"min(bucket) filter (where upto >= (total * {round(p * 1e6)} + 999999) // 1000000) as b{i}" for i, p in enumerate(SHARES))} from r group by all)
-select key_name, key_value, n, {", ".join(f"cast(round(case when b{i} = 0 then 0 else pow(2, b{i} / 64.0 - 1100) * {2 * 2 ** (1 / 64) / (1 + 2 ** (1 / 64))!r} end) as bigint) as p{round(100 * p)}" for i, p in enumerate(SHARES))} from q""",
 }
