@@ -36,3 +36,9 @@ def test_many_rows_at_any_leaf_size(spark):
     want = sorted([(f"/{i}", "EXIST", "ONLY_SRC") for i in range(0, 3000, 100)] + [(f"/{i}", "SIZE", "DIFFER") for i in range(0, 3000, 77) if i % 100])
     for leaf in (1, 8, 10**6):
         assert rows(table_diff(a, b, "k", "k", FIELDS, leaf_rows=leaf)) == want
+
+
+def test_columns_of_any_name_and_a_row_repeated_often(spark):
+    a = spark.createDataFrame([("a", 1), ("b", 2)] + [("hot", 3)] * 3000, "x string, k int")
+    b = spark.createDataFrame([("a", 1), ("b", 5), ("hot", 3)], "y string, k int")
+    assert rows(table_diff(a, b, "x", "y", [Field("K", ("k",))], leaf_rows=1)) == [("b", "K", "DIFFER")]
