@@ -10,21 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def n_chunks(size: Column, chunk: int) -> Column:
+#: Sections of a file are made from runs of runs, each of two to this power.
+RUN_BITS = 16
+
+
+def n_chunks(size: Column, chunk: int | Column) -> Column:
     """Sections of a file; an empty one has one."""
-    return F.greatest((size + (chunk - 1) - F.pmod(size + (chunk - 1), F.lit(chunk))) / chunk, F.lit(1)).cast("long")
+    each = chunk if isinstance(chunk, Column) else F.lit(chunk)
+    each = each.cast("long")
+    whole = F.call_function("div", size, each)
+    return F.greatest(whole + F.when(F.pmod(size, each) > 0, 1).otherwise(0), F.lit(1).cast("long"))
 
 
-def explode_chunks(df: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+def explode_chunks(df: DataFrame, chunk: int | Column = 1 << 20) -> DataFrame:
     """``name``, ``offset``, ``length``, ``file_size`` of every section of every file; the last one is short.
 
-    Sections are made where the file's row is; a ``repartition`` spreads those of huge files.
-    Files of null size give none.
+    ``chunk`` is the length of sections, or a Column that follows the file. A file of any size can
+    be cut: of files with more than 65,536 sections, runs of runs are made first and dealt out to
+    all tasks at each step, so neither a row nor a task ever holds more than that many
+    sections of a file. Other files are cut where they are. Files of null size give none.
     """
-    files = df.filter("type = 'FILE' and size is not null")
-    index = F.explode(F.sequence(F.lit(0).cast("long"), n_chunks(F.col("size"), chunk) - 1))
-    rows = files.select("name", F.col("size").alias("file_size"), index.alias("i"))
-    return rows.select("name", (F.col("i") * chunk).alias("offset"), F.least(F.lit(chunk).cast("long"), F.col("file_size") - F.col("i") * chunk).alias("length"), "file_size")
+    each = chunk if isinstance(chunk, Column) else F.lit(chunk)
+    rows = df.filter("type = 'FILE' and size is not null").select("name", F.col("size").alias("file_size"), each.cast("long").alias("chunk"), (n_chunks(F.col("size"), each) - 1).alias("last"))
+    numbers = lambda low, high: F.explode(F.sequence(low, high))
+    zero, run = F.lit(0).cast("long"), 1 << RUN_BITS
+    few = rows.filter(F.col("last") < run).withColumn("i", numbers(zero, F.col("last")))
+    many = rows.filter(F.col("last") >= run).withColumn("i", zero)
+    for bits in range(48, -1, -RUN_BITS):
+        # the numbers of this level below the one above: the last of the file's, or all of the run's
+        upto = F.least(F.shiftright("last", bits), F.col("i") * run + (run - 1))
+        many = many.withColumn("i", numbers(F.col("i") * run, upto))
+        many = many.repartition("name", "i") if bits else many
+    offset = F.col("i") * F.col("chunk")
+    return few.unionByName(many).select("name", offset.alias("offset"), F.least(F.col("chunk"), F.col("file_size") - offset).alias("length"), "file_size")
 
 
 def chunk_rank(index: Column, total: int, parts: int) -> Column:

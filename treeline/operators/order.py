@@ -101,8 +101,9 @@ def by_parent(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def remap(df: DataFrame, partition: Column, partitions: int) -> DataFrame:
-    """Rows moved to the partition that a Column names."""
-    return df.repartition(partitions, F.pmod(partition, F.lit(partitions)))
+    """Rows moved to the very partition that a Column names, counted around; a null names the first."""
+    to = F.coalesce(F.pmod(partition, F.lit(partitions)), F.lit(0)).cast("int")
+    return df.repartitionById(partitions, to)
 
 
 def at_depth(df: DataFrame, level: int) -> DataFrame:

@@ -55,13 +55,14 @@ def write_lite(df: DataFrame, path: str) -> None:
 
 
 def text_lines(df: DataFrame, detail: bool = True) -> DataFrame:
-    """``value``: the line people read. With detail the columns ``user`` and ``group`` are needed."""
+    """``value``: the line people read. With detail the columns ``user`` and ``group`` are needed; a null detail is a minus."""
     if not detail:
         short = F.when(F.col("type") == "DIR", F.lit("DIR")).when(F.col("type") == "FILE", F.lit("REG")).when(F.col("type") == "LINK", F.lit("LNK")).otherwise(F.lit("UNK"))
         return df.select(F.concat(F.lit("Type="), short, F.lit(" File="), F.col("name")).alias("value"))
     number, unit = scale_bytes(F.col("size"))
-    parts = [show_mode(F.col("mode")), F.col("user"), F.col("group"), F.format_string("%7.3f", F.bround(number, 3)), F.lpad(unit, 3, " "), show_time(F.col("mtime")), F.col("name")]
-    return df.select(F.concat_ws(" ", *parts).alias("value"))
+    size = F.concat(F.format_string("%7.3f", F.bround(number, 3)), F.lit(" "), F.lpad(unit, 3, " "))
+    parts = [F.when(F.col("mode").isNotNull(), show_mode(F.col("mode"))), F.col("user"), F.col("group"), F.when(F.col("size").isNotNull(), size), show_time(F.col("mtime"))]
+    return df.select(F.concat_ws(" ", *[F.coalesce(p, F.lit("-")) for p in parts], F.col("name")).alias("value"))
 
 
 def write_text(df: DataFrame, path: str, detail: bool = True) -> None:

@@ -1,15 +1,14 @@
 """Queries of the tree operators over the test tables, each with the SQL that states the same.
 
 Names begin with the kind of operator: scan, sink, get, find, join, agg, window, sort, set,
-scalar, dist, stream, udf. Where the SQL of a query limits its rows (README names them), a second
-query, whose name ends in _whole, runs the operator over all of them.
+scalar, dist, stream, udf. Every query runs over its whole tables; a filter is the operator's own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline import entries as E
@@ -17,6 +16,7 @@ from treeline.functions import paths, scalars
 from treeline.functions.modes import new_mode
 from treeline.functions.times import show_time, show_time_iso
 from treeline.operators import aggregate, archive, blockzip, chunks, compare, duplicates, order, plans, predicates, relink, sync, textsearch
+from treeline.plans import lineage
 from treeline.sources import generate, lists, walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,11 +117,11 @@ def named(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_NAMES}
-select {_MODE} || ' ' || "user" || ' ' || "group" || ' ' || {_SCALE} || ' ' || strftime(to_timestamp(mtime) at time zone 'UTC', '%b ') || lpad(cast(day(to_timestamp(mtime) at time zone 'UTC') as varchar), 2, ' ')
-  || strftime(to_timestamp(mtime) at time zone 'UTC', ' %Y %H:%M') || ' ' || name as value
-from named where mode is not null and size is not null and mtime is not null and uid is not null and gid is not null""")
+select case when mode is null then '-' else {_MODE} end || ' ' || coalesce("user", '-') || ' ' || coalesce("group", '-') || ' ' || case when size is null then '-' else {_SCALE} end || ' '
+  || coalesce(strftime(to_timestamp(mtime) at time zone 'UTC', '%b ') || lpad(cast(day(to_timestamp(mtime) at time zone 'UTC') as varchar), 2, ' ') || strftime(to_timestamp(mtime) at time zone 'UTC', ' %Y %H:%M'), '-') || ' ' || name as value
+from named""")
 def sink_text_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lists.text_lines(named(spark, d).filter("mode is not null and size is not null and mtime is not null and uid is not null and gid is not null"))
+    return lists.text_lines(named(spark, d))
 
 
 @query("select 'Type=' || case type when 'DIR' then 'DIR' when 'FILE' then 'REG' when 'LINK' then 'LNK' else 'UNK' end || ' File=' || name as value from entries")
@@ -253,11 +253,28 @@ _find("find_anewer", "atime > 1750000000 or atime = 1750000000 and atime_nsec >
 _find("find_cnewer", "ctime > 1750000000 or ctime = 1750000000 and ctime_nsec > 5", lambda: _P.newer("ctime", 1_750_000_000, 5))
 _find("find_maxdepth", "depth <= 5", lambda: _P.max_depth(4, 1))
 _find("find_conjunction", "mode & 61440 = 32768 and size > 1048576 and uid = 43283 and depth <= 6", lambda: _P.type_is("f"), lambda: _P.size("+1M"), lambda: _P.uid(43283), lambda: _P.max_depth(6))
-_find("find_user", "\"user\" = (select min(\"user\") from named where uid = 10128)", lambda: F.col("uid") == 10128, table=unique)
-SQL["find_user"] = f"with {_NAMES} select distinct name, walked_at from named where \"user\" like 'k%'"
-QUERIES["find_user"] = lambda spark, d: named_unique(spark, d).filter(F.col("user").startswith("k")).select("name", "walked_at")
-SQL["find_group"] = f"with {_NAMES} select distinct name, walked_at from named where \"group\" = '5505' or \"group\" like '%a%'"
-QUERIES["find_group"] = lambda spark, d: named_unique(spark, d).filter(predicates.group("5505") | F.col("group").contains("a")).select("name", "walked_at")
+_OWNER = """(select n from {} where id = (select {} from entries where {} in (select id from {}) group by 1 order by count(*) desc, 1 limit 1))"""
+SQL["find_user"] = f"with {_NAMES} select distinct name, walked_at from named where \"user\" = {_OWNER.format('u', 'uid', 'uid', 'u')}"
+SQL["find_group"] = f"with {_NAMES} select distinct name, walked_at from named where \"group\" = {_OWNER.format('g', 'gid', 'gid', 'g')}"
+
+
+def _commonest(rows: DataFrame, key: str, name: str) -> str:
+    """The name of the id that most rows have, of those with a name."""
+    known = rows.filter(F.col(name) != F.col(key).cast("string"))
+    found = known.groupBy(key, name).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).first()
+    return found[name] if found else ""
+
+
+def _find_owner(key: str, name: str, test: Callable[[str], Column]) -> Callable:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = named(spark, d)
+        return rows.filter(test(_commonest(rows, key, name))).select("name", "walked_at").distinct()
+
+    return run
+
+
+QUERIES["find_user"] = _find_owner("uid", "user", predicates.user)
+QUERIES["find_group"] = _find_owner("gid", "group", predicates.group)
 
 
 @query("select name, walked_at from (select distinct name, walked_at from entries) where not regexp_matches(name, 'logs_[0-9]')")
@@ -414,18 +431,9 @@ def _chunk_digests(docs: DataFrame, change: int, to: Callable[[Column], Column]
     return parts.select(F.col("name").alias("rel"), "offset", F.sha2(chunks.text_chunk(F.col("content"), F.col("offset"), F.col("length")), 256).alias("digest"))
 
 
-@query("""
-select '/corpus/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id as rel,
-  strlen(text) % 7 = 3 and regexp_matches(text, '[a-z]') as differs from documents where text is not null and not regexp_matches(text, '[^\\x00-\\x7f]')""")
-def join_content_by_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII texts compared chunk by chunk with a copy in which every seventh is in capitals."""
-    docs = read(spark, d, "documents").filter("text is not null and not text rlike '[^\\\\x00-\\\\x7f]'")
-    return compare.content_by_chunks(_chunk_digests(docs, -1), _chunk_digests(docs, 3))
-
-
 @query("""
 select '/corpus/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id as rel, strlen(text) % 7 = 3 as differs from documents where text is not null""")
-def join_content_by_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
+def join_content_by_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All texts compared chunk by chunk with a copy in which every seventh has one character more."""
     docs = read(spark, d, "documents")
     return compare.content_by_chunks(_chunk_digests(docs, -1), _chunk_digests(docs, 3, lambda c: F.concat(c, F.lit("~"))))
@@ -435,13 +443,8 @@ def join_content_by_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 select count(*) as n_items, count(*) filter (where type = 'DIR') as n_dirs, count(*) filter (where type = 'FILE') as n_files, count(*) filter (where type = 'LINK') as n_links,
   count(*) filter (where type not in ('DIR', 'FILE', 'LINK') or type is null) as n_unknown, cast(coalesce(sum(size) filter (where type = 'FILE'), 0) as bigint) as bytes,
-  cast(coalesce(sum(size) filter (where type = 'FILE'), 0) // greatest(count(*) filter (where type = 'FILE'), 1) as bigint) as mean_bytes from tree_src where size < 1000000000000""")
+  cast(coalesce(sum(size) filter (where type = 'FILE'), 0) // greatest(count(*) filter (where type = 'FILE'), 1) as bigint) as mean_bytes from tree_src""")
 def agg_summary(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.summary(read(spark, d, "tree_src").filter("size < 1000000000000"))
-
-
-@query(SQL["agg_summary"].replace(" where size < 1000000000000", ""))
-def agg_summary_whole(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.summary(read(spark, d, "tree_src"))
 
 
@@ -462,9 +465,11 @@ def agg_histogram_default(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.histogram(entries(spark, d))
 
 
-@query("select split_part(name, '/', 3) as child, count(*) as n, cast(coalesce(sum(size), 0) as bigint) as bytes from entries where starts_with(name, '/tank/') group by 1")
+@query("""
+with c as (select split_part(name, '/', 3) as child, count(*) as n, cast(coalesce(sum(size), 0) as bigint) as bytes from entries where starts_with(name, '/tank/') group by 1)
+select *, row_number() over (order by bytes desc, child) as rank from c""")
 def agg_children(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.children(entries(spark, d), "/tank")
+    return ranked(aggregate.children(entries(spark, d), "/tank"))
 
 
 @query("""
@@ -503,18 +508,10 @@ def agg_distinct_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- windows
-@query("""
-with t as (select distinct name, size from tree_src)
-select name, row_number() over (order by name) - 1 as position, cast(coalesce(sum(size) over (order by name rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from t where size < 1000000000000""")
-def window_positions(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "tree_src").filter("size < 1000000000000").select("name", "size").distinct()
-    return order.positions(t, [F.asc("name")], F.col("size")).select("name", "position", "offset")
-
-
 @query("""
 with t as (select distinct name, size from tree_src)
 select name, row_number() over w - 1 as position, cast(coalesce(sum(size) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from t window w as (order by name nulls first, size nulls first)""")
-def window_positions_whole(spark: SparkSession, d: str) -> DataFrame:
+def window_positions(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "tree_src").select("name", "size").distinct()
     return order.positions(t, [F.asc("name"), F.asc("size")], F.col("size")).select("name", "position", "offset")
 
@@ -539,14 +536,24 @@ def sort_head_and_tail(spark: SparkSession, d: str) -> DataFrame:
     return order.head_and_tail(t, "-size,mtime").select("name", "size", "part")
 
 
-@query("select distinct name, size from tree_src")
+def ranked(df: DataFrame) -> DataFrame:
+    """``df`` with ``rank``, the place at which a row lies as the rows follow each other, whatever order that is."""
+    laid = lineage.cut(df.withColumn("__at", F.monotonically_increasing_id()))
+    part, own = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = laid.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__p", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("__s"))
+    return laid.join(F.broadcast(starts), part == F.col("__p")).withColumn("rank", F.col("__s") + own + 1).drop("__at", "__p", "__s")
+
+
+@query("select name, size, row_number() over (order by size nulls first, name) as rank from (select distinct name, size from tree_src)")
 def sort_by_size(spark: SparkSession, d: str) -> DataFrame:
-    return order.sort_entries(read(spark, d, "tree_src").select("name", "size").distinct(), "size")
+    return ranked(order.sort_entries(read(spark, d, "tree_src").select("name", "size").distinct(), "size"))
 
 
-@query(f"with {_NAMES} select \"user\", \"group\", name, walked_at from named")
+@query(f"with {_NAMES} select \"user\", \"group\", name, row_number() over (order by \"user\" desc nulls last, \"group\" nulls first, name) as rank from named")
 def sort_by_owner_names(spark: SparkSession, d: str) -> DataFrame:
-    return order.sort_entries(named(spark, d).select("user", "group", "name", "walked_at"), "-user,group")
+    return ranked(order.sort_entries(named(spark, d).select("user", "group", "name"), "-user,group"))
 
 
 # -- sets
@@ -598,10 +605,11 @@ def scalar_path_parts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("select distinct name, name as reduced, '../../' || substr(name, 7) as up from entries where starts_with(name, '/tank/')")
+@query("""
+select distinct name, name as reduced, case when name = '/tank' then '../..' when starts_with(name, '/tank/') then '../../' || substr(name, 7) else '../../..' || name end as up from entries""")
 def scalar_path_reduce(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).select("name").filter("startswith(name, '/tank/')").distinct()
-    messy = F.concat(F.lit("/../."), F.regexp_replace("name", "/tank/", "/tank//x/../"), F.lit("/./y/../"))
+    e = entries(spark, d).select("name").distinct()
+    messy = F.concat(F.lit("/../."), F.regexp_replace("name", "^/([^/]*)", "/$1//x/../"), F.lit("/./y/../"))
     return e.select("name", paths.reduce(messy).alias("reduced"), paths.relative(F.col("name"), F.lit("/tank/no/where")).alias("up"))
 
 
@@ -611,36 +619,18 @@ def scalar_path_relation(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("name").distinct().select("name", paths.relation("name", F.lit("/tank/sim")).alias("relation"))
 
 
-@query(f"""
-select distinct size, ltrim({_SCALE.replace("|| '   B'", "|| ' B'").replace("' ' || '  B'", "' B'")}) as shown,
-  case when size > 1000000 then ((size + 500) // 1000 // 1000) || '.' || lpad(cast((size + 500) // 1000 % 1000 as varchar), 3, '0') || ' M'
-    when size > 1000 then (size // 1000) || '.' || lpad(cast(size % 1000 as varchar), 3, '0') || ' k' else size || '.000' end as counted
-from entries where size < 1000000000 and size is not null""")
-def scalar_show_sizes(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).select("size").filter("size < 1000000000").distinct()
-    return e.select("size", scalars.show_bytes(F.col("size")).alias("shown"), scalars.show_count(F.col("size")).alias("counted"))
-
-
-@query("select distinct size, size * 1024 as k, size as plain, null::bigint as bad, cast(floor(size * 1048576.0 * 1.0) as bigint) as m from entries where size < 1000000")
-def scalar_parse_sizes(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).select("size").filter("size < 1000000").distinct()
-    text = F.col("size").cast("string")
-    parse = lambda suffix: scalars.parse_bytes_col(F.concat(text, F.lit(suffix)))
-    return e.select("size", parse("k").alias("k"), parse("b").alias("plain"), parse("kbb").alias("bad"), parse("MB").alias("m"))
-
-
 _COUNTED = "case " + " ".join(f"when size > {1000**k} then ((size + {small // 2}) // {small} // 1000) || '.' || lpad(cast((size + {small // 2}) // {small} % 1000 as varchar), 3, '0') || ' {scalars.COUNT_UNITS[k]}'" for k in range(6, 0, -1) for small in [1000 ** (k - 1)]) + " else size || '.000' end"
 
 
 @query(f"""
 select distinct size, ltrim({_SCALE.replace("|| '   B'", "|| ' B'").replace("' ' || '  B'", "' B'")}) as shown, {_COUNTED} as counted from entries""")
-def scalar_show_sizes_whole(spark: SparkSession, d: str) -> DataFrame:
+def scalar_show_sizes(spark: SparkSession, d: str) -> DataFrame:
     e = entries(spark, d).select("size").distinct()
     return e.select("size", scalars.show_bytes(F.col("size")).alias("shown"), scalars.show_count(F.col("size")).alias("counted"))
 
 
 @query("select distinct size, " + ", ".join(f"try_cast(size::hugeint * {1024**k} as bigint) as {c}" for k, c in enumerate(("plain", "k", "m", "g", "t"))) + ", null::bigint as bad from entries")
-def scalar_parse_sizes_whole(spark: SparkSession, d: str) -> DataFrame:
+def scalar_parse_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of every magnitude in several units; null beyond bigint."""
     e = entries(spark, d).select("size").distinct()
     parse = lambda suffix: scalars.parse_bytes_col(F.concat(F.col("size").cast("string"), F.lit(suffix)))
@@ -675,17 +665,19 @@ def scalar_show_times(spark: SparkSession, d: str) -> DataFrame:
 with l as (select distinct name, replace(name, '/tank/', '/old/') as target from entries where type = 'LINK' and starts_with(name, '/tank/'))
 select name, target, '/new/root' || substr(target, 5) as new_target from l""")
 def scalar_relink(spark: SparkSession, d: str) -> DataFrame:
-    links = entries(spark, d).filter("type = 'LINK' and startswith(name, '/tank/')").select("name", "type").distinct()
+    links = entries(spark, d).filter("type = 'LINK'").select("name", "type").distinct()
     return relink.relink_plan(links.withColumn("target", F.regexp_replace("name", "^/tank/", "/old/")), "/old/", "/new//root/")
 
 
 # -- distribution
 @query("""
-with f as (select distinct name, size from tree_src where type = 'FILE' and size is not null and size < 10000000000),
-c as (select name, size, unnest(range(0, greatest((size + 1048575) // 1048576, 1))) as i from f)
-select name, i * 1048576 as "offset", least(1048576, size - i * 1048576) as length, size as file_size from c""")
+with f as (select distinct name, size, case when size < 10000000000 then 1048576 else 68719476736 end as chunk from tree_src where type = 'FILE' and size is not null),
+c as (select *, unnest(range(0, greatest((size + chunk - 1) // chunk, 1))) as i from f)
+select name, i * chunk as "offset", least(chunk, size - i * chunk) as length, size as file_size from c""")
 def dist_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.explode_chunks(read(spark, d, "tree_src").filter("size < 10000000000").select("name", "type", "size").distinct())
+    """Sections of 1 MiB, of huge files of 64 GiB."""
+    files = read(spark, d, "tree_src").select("name", "type", "size").distinct()
+    return chunks.explode_chunks(files, F.when(F.col("size") < 10_000_000_000, F.lit(1 << 20)).otherwise(F.lit(1 << 36)))
 
 
 @query("""
@@ -696,15 +688,26 @@ def dist_grep(spark: SparkSession, d: str) -> DataFrame:
     return textsearch.grep(E.documents_as_entries(read(spark, d, "documents")), "section\\|cite")
 
 
-@query("select type, count(*) as n from tree_src group by type")
+@query(f"select {DIR} as dir, count(*) as n, true as together from tree_src group by 1")
 def dist_by_parent(spark: SparkSession, d: str) -> DataFrame:
-    """Rows spread by directory, each still there once."""
-    return order.by_parent(read(spark, d, "tree_src")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    """Rows spread by directory: each is there, and a directory's lie in at most 16 partitions, alike names in one."""
+    moved = order.by_parent(read(spark, d, "tree_src"), 64).withColumn("p", F.spark_partition_id())
+    alike = moved.groupBy(paths.dirname("name").alias("dir"), "name").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"), F.max("p").alias("q"))
+    return alike.groupBy("dir").agg(F.sum("n").alias("n"), (F.bool_and(F.col("p") == F.col("q")) & (F.count_distinct("p") <= 16)).alias("together"))
 
 
-@query("select count(*) as n from tree_dst")
+@query("select coalesce(depth, 0) % 4 as place, count(*) as n from tree_dst group by 1")
 def dist_remap(spark: SparkSession, d: str) -> DataFrame:
-    return order.remap(order.spread(read(spark, d, "tree_dst"), 5), F.col("depth"), 4).agg(F.count(F.lit(1)).alias("n"))
+    """Rows dealt out evenly, then moved to the partition that they name."""
+    moved = order.remap(order.spread(read(spark, d, "tree_dst"), 5), F.coalesce("depth", F.lit(0)), 4)
+    return moved.groupBy(F.spark_partition_id().alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 5 as parts, true as even, count(*) as n from tree_dst")
+def dist_spread(spark: SparkSession, d: str) -> DataFrame:
+    parts = order.spread(read(spark, d, "tree_dst"), 5).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    tasks = F.lit(64)  # each task that deals rows out may give one more to some
+    return parts.agg(F.count(F.lit(1)).cast("int").alias("parts"), (F.max("n") - F.min("n") <= tasks).alias("even"), F.sum("n").alias("n"))
 
 
 # -- streams (an extension) and functions of the user
