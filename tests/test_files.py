@@ -1,5 +1,6 @@
 """Walks, copies, removals, archives and lists on real temporary folders."""
 
+import io
 import os
 import struct
 import tarfile
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from treeline import entries as E
-from treeline.operators import apply, archive, blockzip, chunks, duplicates, order, plans, relink, sync, textsearch
+from treeline.operators import apply, archive, blockzip, chunks, compare, duplicates, order, plans, relink, sync, textsearch
 from treeline.operators.progress import Progress
 from treeline.sources import generate, lists, owners, walk
 
@@ -239,3 +240,104 @@ def test_repartitioning_keeps_rows(spark, tmp_path):
     df = walk.walk(spark, tree(tmp_path / "r")).select("name", "depth")
     for moved in (order.by_parent(df, 3), order.spread(df, 3), order.remap(df, F.col("depth"), 2)):
         assert rows(moved) == rows(df)
+
+
+def test_a_flat_and_a_deep_tree_are_dealt_out_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "FIRST_ROUND", 3)
+    (tmp_path / "flat").mkdir()
+    for i in range(50):
+        (tmp_path / "flat" / str(i)).write_text("x")
+    os.makedirs(tmp_path / "/".join(["deep", *map(str, range(30))]))
+    got = walk.walk(spark, [str(tmp_path)], partitions=4)
+    assert got.count() == got.select("name").distinct().count() == 1 + 51 + 31
+    first = rows(got, "name")
+    (tmp_path / "late").write_text("x")
+    assert rows(got, "name") == first  # the walk happened once
+
+
+def test_mounts_are_rows(spark):
+    with open("/proc/mounts") as f:
+        assert walk.mounts(spark).count() == len(f.readlines()) > 0
+
+
+def test_bytes_are_compared_and_only_unlike_sections_written(spark, tmp_path, capsys):
+    from treeline.cli import main
+
+    a, b = tmp_path / "a", tmp_path / "b"
+    for d in (a, b):
+        d.mkdir()
+        (d / "same").write_bytes(b"q" * 3_000_000)
+        (d / "byte").write_bytes(b"q" * 3_000_000)
+        os.utime(d / "byte", (10**9, 10**9))
+    with open(b / "byte", "r+b") as f:
+        f.seek(2_500_000)
+        f.write(b"Q")
+    os.utime(b / "byte", (10**9, 10**9))
+    os.utime(b / "same", (1, 1))  # equal bytes, other time
+    common, differ = "EXIST=COMMON@CONTENT=COMMON", "EXIST=COMMON@CONTENT=DIFFER"
+    main(["cmp", "-o", common, "-o", differ, str(a), str(b)], spark)
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].split("\t") == [common, "1", "2"] and out[1].split("\t") == [differ, "1", "1"]
+    main(["cmp", "--lite", "-o", differ, str(a), str(b)], spark)
+    assert capsys.readouterr().out.splitlines()[0].split("\t")[2] == "1"  # the one of other time
+    pairs = compare.file_pairs(compare.sides(walk.walk(spark, str(a)), walk.walk(spark, str(b)), str(a), str(b)))
+    assert rows(chunks.unlike_sections(pairs)) == [("/byte", 2 << 20, 3_000_000 - (2 << 20))]
+    inode = os.stat(b / "byte").st_ino
+    main(["sync", "--contents", str(a), str(b)], spark)
+    assert (b / "byte").read_bytes() == (a / "byte").read_bytes() and os.stat(b / "byte").st_ino == inode
+    assert os.stat(b / "same").st_mtime_ns == os.stat(a / "same").st_mtime_ns
+
+
+def test_an_archive_is_indexed_by_many_tasks(spark, tmp_path):
+    inner, src, out = tmp_path / "inner.tar", tmp_path / "s", str(tmp_path / "o.tar")
+    src.mkdir()
+    with tarfile.open(inner, "w") as t:
+        for i in range(40):
+            (tmp_path / "x").write_bytes(bytes([i]) * 700)
+            t.add(tmp_path / "x", arcname=f"in/{i}")
+    for i in range(30):
+        (src / f"f{i}").write_bytes(b"y" * (i * 300))
+    (src / "nested").write_bytes(inner.read_bytes())  # headers that aren't entries
+    (src / ("long" * 40)).write_text("z")
+    with tarfile.open(out, "w") as t:
+        t.add(src, arcname="s")
+    with tarfile.open(out) as t:
+        want = sorted((m.name, m.offset, m.offset_data) for m in t)
+    for stretch in (512, 4096, 1 << 20):
+        assert rows(archive.read_index(spark, out, stretch), "name", "entry_offset", "data_offset") == sorted(want, key=repr)
+
+
+def test_nothing_is_extracted_outside(spark, tmp_path):
+    out, dest, other = str(tmp_path / "e.tar"), tmp_path / "dest", tmp_path / "other"
+    other.mkdir()
+    with tarfile.open(out, "w") as t:
+        link = tarfile.TarInfo("l")
+        link.type, link.linkname = tarfile.SYMTYPE, str(other)
+        t.addfile(link)
+        for name in ("l/evil", "../evil", "ok"):
+            info = tarfile.TarInfo(name)
+            info.size = 3
+            t.addfile(info, io.BytesIO(b"abc"))
+    archive.extract(archive.read_index(spark, out), out, str(dest))
+    os.path.isdir(dest / "l") and not os.path.islink(dest / "l") or (dest / "l").unlink()
+    (dest / "l2").symlink_to(other)
+    assert os.listdir(other) == [] and (dest / "ok").read_bytes() == b"abc" and not (tmp_path / "evil").exists()
+
+
+def test_times_of_parents_stay_in_a_traceless_removal(spark, tmp_path):
+    root = tree(tmp_path / "r")
+    os.utime(root, ns=(5 * 10**9 + 7, 6 * 10**9 + 8))
+    gone = walk.walk(spark, root).filter(f"name = '{root}/f0'")
+    assert apply.run_remove(plans.remove_plan(gone), traceless=True) == 1
+    # the walk has read the directory, which may change its time of access
+    assert not os.path.exists(f"{root}/f0") and os.stat(root).st_mtime_ns == 6 * 10**9 + 8
+
+
+def test_files_filled_at_random_are_the_same_each_time(spark, tmp_path):
+    found = []
+    for d in ("a", "b"):
+        name = str(tmp_path / "f")
+        files = spark.createDataFrame([(name, "FILE", 5000)], "name string, type string, size bigint")
+        apply.fill_files(chunks.explode_chunks(files, 1024), "random", 3)
+        found.append(open(name, "rb").read())
+    assert found[0] == found[1] and len(found[0]) == 5000 and len(set(found[0])) > 200

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from treeline import entries as E
 from treeline.functions.scalars import parse_bytes, show_bytes, show_count
-from treeline.operators import aggregate, apply, archive, blockzip, compare, duplicates, order, plans, predicates as P, relink, sync, textsearch
+from treeline.operators import aggregate, apply, archive, blockzip, chunks, compare, duplicates, exprs, order, plans, predicates as P, relink, sync, textsearch
 from treeline.operators.progress import Progress
 from treeline.sources import generate, lists, owners, walk
 
@@ -29,7 +30,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         df = lists.read_list(spark, a.input)
     else:
         df = walk.walk(spark, a.paths, lite=getattr(a, "lite", False), dereference=getattr(a, "dereference", False))
-        for r in walk.errors(df).limit(20).collect():
+        for r in walk.errors(df).limit(20).collect():  # the walk itself was written down
             print(f"{r.name}: {r.error}", file=sys.stderr)
     return df
 
@@ -94,20 +95,28 @@ def do_find(spark: SparkSession, a: argparse.Namespace) -> None:
     save(spark, df, a)
 
 
+def unlike_bytes(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str) -> DataFrame:
+    """Sections in which files of the same path and size differ, read once and written down."""
+    pairs = compare.file_pairs(compare.sides(src, dst, src_root, dst_root, ["name", "type", "size"]))
+    return fixed(chunks.unlike_sections(pairs))
+
+
 def do_cmp(spark: SparkSession, a: argparse.Namespace) -> None:
     outputs = a.output or list(compare.DEFAULT_OUTPUTS)
     src, dst = walk.walk(spark, a.src), walk.walk(spark, a.dest)
     began = time.time()
-    exprs = [o.partition(":")[0] for o in outputs]
-    out = fixed(compare.compare(src, dst, a.src, a.dest, exprs, target="target"))
-    for r in compare.counts(out, exprs).collect():
+    exprs_ = [o.partition(":")[0] for o in outputs]
+    need = set().union(*[exprs.needed(exprs.parse(e)) for e in exprs_])
+    unlike = unlike_bytes(src, dst, a.src, a.dest) if "CONTENT" in need and not a.lite else None
+    out = fixed(compare.compare(src, dst, a.src, a.dest, exprs_, target="target", unlike=unlike))
+    for r in compare.counts(out, exprs_).collect():
         print(r.output, r.clause, r.n_src if r.n_src == r.n_dest else f"N/A (Src: {r.n_src} Dest: {r.n_dest})", sep="\t")
     for o in outputs:
         expr, _, file = o.partition(":")
         if file:
             hit = compare.matching(out, expr).select("name")
             both = src.unionByName(dst).join(hit, "name", "left_semi")
-            save(spark, both, argparse.Namespace(output=file, text=a.text))
+            save(spark, both, argparse.Namespace(output=os.path.join(a.base or "", file), text=a.text))
     n = out.count()
     print(aggregate.rates(n, 0, time.time() - began))
 
@@ -124,18 +133,15 @@ def do_sync(spark: SparkSession, a: argparse.Namespace) -> None:
     if not owners.PathArgument.of(a.dest).exists:
         dst = dst.limit(0)
     link = walk.walk(spark, a.link_dest) if a.link_dest else None
-    content = None
-    if a.contents:
-        digest = lambda t: t.join(duplicates.read_digests(t.filter("type = 'FILE'")).select("name", "sha256"), "name", "left")
-        src, dst, content = digest(src), digest(dst), "sha256"
-        link = digest(link) if link is not None else None
+    unlike = unlike_bytes(src, dst, a.src, a.dest) if a.contents else None
+    unlike_link = unlike_bytes(src, link, a.src, a.link_dest) if a.contents and link is not None else None
     plan = fixed(
-        sync.sync_plan(src, dst, a.src, a.dest, delete=a.delete, contents=a.contents, content=content, target="target", link_dest=link, link_root=a.link_dest, walk_errors=not bad.isEmpty())
+        sync.sync_plan(src, dst, a.src, a.dest, delete=a.delete, contents=a.contents, target="target", link_dest=link, link_root=a.link_dest, walk_errors=not bad.isEmpty(), unlike=unlike, unlike_link=unlike_link)
     )
     if a.dryrun:
         say(plan.orderBy("step", "rel"))
     else:
-        print(apply.run_sync(plan, a.src, a.dest, link_root=a.link_dest))
+        print(apply.run_sync(plan, a.src, a.dest, link_root=a.link_dest, sections=unlike, sparse=a.sparse, attributes=a.xattrs, batch=a.batch_files))
 
 
 def do_dup(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -161,7 +167,7 @@ def do_rm(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.dryrun:
         say(plan.orderBy("step", "name").select("action", "name"))
     else:
-        print(apply.run_remove(plan))
+        print(apply.run_remove(plan, traceless=a.traceless))
     save(spark, items, a)
 
 
@@ -184,7 +190,7 @@ def do_tar(spark: SparkSession, a: argparse.Namespace) -> None:
         print(archive.create_archive(walk.walk(spark, paths), root, a.file).count())
         archive.save_index(archive.read_index(spark, a.file), a.file)
     else:
-        print(archive.extract(archive.load_index(spark, a.file), a.file, a.chdir or "."))
+        print(archive.extract(archive.load_index(spark, a.file), a.file, a.chdir or ".", owner=a.preserve_owner, times=not a.no_times, modes=not a.no_modes))
 
 
 def do_bz2(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -200,12 +206,10 @@ def do_bcast(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def do_make(spark: SparkSession, a: argparse.Namespace) -> None:
-    from treeline.operators import chunks
-
     df = generate.random_tree(spark, owners.PathArgument.of(a.paths[0]).path, items=a.nitems, levels=a.depth, max_size=parse_bytes(a.size), seed=a.seed)
     apply.make_directories(df)
     apply.make_files(df)
-    apply.fill_files(chunks.explode_chunks(df), {"true": 255, "false": 0, "alternate": 170, "random": a.seed % 256}[a.fill])
+    apply.fill_files(chunks.explode_chunks(df), a.fill, a.seed)
     apply.make_links(df.filter("type = 'LINK'").withColumn("target", F.lit("nowhere")))
     say(aggregate.summary(df))
 
@@ -230,10 +234,12 @@ def do_run(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def do_stripe(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Layouts are asked of the file system's attributes; where it has none, every file counts as one stripe."""
-    files = load(spark, a).withColumns({"stripe_count": F.lit(1), "stripe_size": F.col("size")})
+    """Reports layouts that the file system tells; refuses where it tells none."""
+    files = fixed(walk.stripes(load(spark, a)).filter("type = 'FILE'"))
+    if files.filter("stripe_count is not null").isEmpty():
+        raise SystemExit("no file here has a layout: the file system isn't striped")
     hit = files if a.report else plans.restripe_report(files, a.count, parse_bytes(a.size), parse_bytes(a.minsize))
-    say(hit.filter("type = 'FILE'").select("size", "stripe_count", "stripe_size", "name"))
+    say(hit.select("size", "stripe_count", "stripe_size", "name"))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -259,12 +265,15 @@ def parser() -> argparse.ArgumentParser:
     for f in "output amin anewer atime cmin cnewer ctime mmin newer mtime gid group uid user name path regex size type exec".split():
         t.add_argument(f"--{f}")
     t.add_argument("--maxdepth", type=int)
-    t = tool("cmp", do_cmp, "text", io=False, paths=None)
+    t = tool("cmp", do_cmp, "text", "lite", io=False, paths=None)
+    t.add_argument("--base")
     t.add_argument("--output", "-o", action="append")
     t.add_argument("src")
     t.add_argument("dest")
-    t = tool("sync", do_sync, "dryrun", "contents", "delete", "dereference", io=False, paths=None)
+    t = tool("sync", do_sync, "dryrun", "contents", "delete", "dereference", "sparse", io=False, paths=None)
     t.add_argument("--link-dest")
+    t.add_argument("--batch-files", type=int)
+    t.add_argument("--xattrs", default="none")
     t.add_argument("src")
     t.add_argument("dest")
     tool("dup", do_dup)
@@ -272,7 +281,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--batch-files", type=int)
     t.add_argument("--xattrs", default="none")
     for name, run in (("rm", do_rm), ("chmod", do_chmod)):
-        t = tool(name, run, "name", *(["dryrun", "lite"] if name == "rm" else ["force"]))
+        t = tool(name, run, "name", *(["dryrun", "lite", "traceless"] if name == "rm" else ["force"]))
         for f in ("match", "exclude", *(["output"] if name == "rm" else ["mode", "owner", "group"])):
             t.add_argument(f"--{f}")
     tool("reln", do_reln, "preserve", "relative")
@@ -280,7 +289,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--count", type=int, default=1)
     t.add_argument("--size", default="1MB")
     t.add_argument("--minsize", default="0")
-    t = tool("tar", do_tar, "create", "extract", io=False)
+    t = tool("tar", do_tar, "create", "extract", "preserve-owner", "no-times", "no-modes", io=False)
     t.add_argument("--file", "-f", required=True)
     t.add_argument("--chdir", "-C")
     t = tool("bz2", do_bz2, "compress", "decompress", "keep", "force", io=False)

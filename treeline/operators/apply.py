@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -11,6 +13,12 @@ from pyspark.sql import functions as F
 
 from treeline.operators.order import depths
 from treeline.operators.progress import Progress
+from treeline.plans.lineage import cut
+
+
+def draft_of(path: str) -> str:
+    """A name beside ``path`` that no other attempt of a task, on whatever machine, writes to."""
+    return f"{path}.part-{uuid.uuid4().hex}"
 
 
 def _each(df: DataFrame, act: Callable) -> None:
@@ -41,7 +49,7 @@ def make_links(df: DataFrame) -> None:
     """Create symbolic links ``name`` to ``target``, replacing what is there."""
 
     def act(r) -> None:
-        tmp = f"{r['name']}.part-{os.getpid()}"
+        tmp = draft_of(r['name'])
         os.symlink(r["target"], tmp)
         os.replace(tmp, r["name"])
 
@@ -61,13 +69,19 @@ def make_hard_links(df: DataFrame) -> None:
     _each(df, act)
 
 
-def fill_files(chunks: DataFrame, byte: int = 0) -> None:
-    """Fill sections of files with one byte."""
+def fill_files(chunks: DataFrame, fill: int | str = 0, seed: int = 1) -> None:
+    """Fill sections of files with one byte, or by a pattern of :data:`treeline.sources.generate.FILL`.
+
+    Random bytes follow from the seed, the file and the place, so a task run again writes the same.
+    """
+    from treeline.sources.generate import fill_bytes
 
     def act(r) -> None:
         fd = os.open(r["name"], os.O_RDWR | os.O_CREAT, 0o644)
         try:
-            os.pwrite(fd, bytes([byte]) * r["length"], r["offset"])
+            own = zlib.crc32(f"{seed} {r['offset']} {r['name']}".encode("utf-8", "surrogateescape"))
+            data = bytes([fill]) * r["length"] if isinstance(fill, int) else fill_bytes(fill, r["length"], own)
+            os.pwrite(fd, data, r["offset"])
         finally:
             os.close(fd)
 
@@ -76,7 +90,7 @@ def fill_files(chunks: DataFrame, byte: int = 0) -> None:
 
 def copy_one(source: str, dest: str, *, sparse: bool = False) -> int:
     """Copy a file's data under another name and rename it; holes stay holes with ``sparse``. Bytes written."""
-    tmp, written = f"{dest}.part-{os.getpid()}", 0
+    tmp, written = draft_of(dest), 0
     with open(source, "rb") as f, open(tmp, "wb") as g:
         size = os.fstat(f.fileno()).st_size
         if not sparse:
@@ -119,15 +133,17 @@ def run_copy(plan: DataFrame, *, preserve: bool = True, owner: bool = False, spa
     """Carry out a copy plan (:func:`treeline.operators.plans.copy_plan`); number of items.
 
     Directories first, level by level, then links and files, then directories' metadata from
-    the deepest. With ``batch``, files go in runs of that many, a job to each.
+    the deepest. With ``batch``, files go in runs of that many, a job to each. The plan is
+    written down first, so that what is done can't change it.
     """
+    plan = cut(plan)
     for step in sorted(r[0] for r in plan.filter("action = 'mkdir'").select("step").distinct().collect()):
         _each(plan.filter((F.col("action") == "mkdir") & (F.col("step") == step)), lambda r: os.makedirs(r["dest"], exist_ok=True))
 
     def item(r) -> int:
         size = 0
         if r["action"] == "symlink":
-            tmp = f"{r['dest']}.part-{os.getpid()}"
+            tmp = draft_of(r['dest'])
             os.symlink(os.readlink(r["name"]), tmp)
             os.replace(tmp, r["dest"])
         else:
@@ -166,8 +182,19 @@ def dealt(plan: DataFrame, strategy: str, partitions: int | None = None) -> Data
     raise ValueError(f"not a strategy: {strategy!r}")
 
 
-def run_remove(plan: DataFrame, strategy: str = "spread") -> int:
-    """Carry out a removal plan: everything but directories at once, then directories from the deepest. Gone items are no error."""
+def run_remove(plan: DataFrame, strategy: str = "spread", *, traceless: bool = False) -> int:
+    """Carry out a removal plan: everything but directories at once, then directories from the deepest. Gone items are no error.
+
+    With ``traceless``, directories that stay get back the times they had.
+    """
+    plan = cut(plan)
+    parents = None
+    if traceless:
+        from treeline.operators.plans import traceless_parents
+        from treeline.sources.walk import restat
+
+        stay = traceless_parents(plan).withColumn("mode", F.lit(None).cast("long"))
+        parents = cut(restat(stay).select("name", "atime", "atime_nsec", "mtime", "mtime_nsec"))
 
     def act(r) -> None:
         try:
@@ -175,13 +202,19 @@ def run_remove(plan: DataFrame, strategy: str = "spread") -> int:
         except FileNotFoundError:
             pass
 
+    def restore(r) -> None:
+        os.utime(r["name"], ns=(r["atime"] * 10**9 + r["atime_nsec"], r["mtime"] * 10**9 + r["mtime_nsec"]))
+
     for step in sorted(r[0] for r in plan.select("step").distinct().collect()):
         _each(dealt(plan.filter(F.col("step") == step), strategy), act)
+    if parents is not None:
+        _each(parents, restore)
     return plan.count()
 
 
 def run_chmod(plan: DataFrame) -> dict[str, int]:
     """Carry out a plan of modes and owners; how many items changed and were skipped."""
+    plan = cut(plan)
 
     def act(r) -> None:
         s = os.stat(r["name"])
@@ -195,10 +228,11 @@ def run_chmod(plan: DataFrame) -> dict[str, int]:
 
 def run_relink(plan: DataFrame, *, preserve: bool = True) -> int:
     """Point links to their ``new_target``; with ``preserve`` their times stay."""
+    plan = cut(plan)
 
     def act(r) -> None:
         s = os.lstat(r["name"])
-        tmp = f"{r['name']}.part-{os.getpid()}"
+        tmp = draft_of(r['name'])
         os.symlink(r["new_target"], tmp)
         if preserve:
             os.utime(tmp, ns=(s.st_atime_ns, s.st_mtime_ns), follow_symlinks=False)
@@ -208,10 +242,19 @@ def run_relink(plan: DataFrame, *, preserve: bool = True) -> int:
     return plan.count()
 
 
-def run_sync(plan: DataFrame, src_root: str, dst_root: str, *, link_root: str | None = None) -> dict[str, int]:
-    """Carry out a synchronization plan in order: remove, copy, overwrite, link, refresh. Items by action."""
+def run_sync(
+    plan: DataFrame, src_root: str, dst_root: str, *, link_root: str | None = None, sections: DataFrame | None = None, owner: bool = False, sparse: bool = False, attributes: str = "none", batch: int | None = None
+) -> dict[str, int]:
+    """Carry out a synchronization plan in order: remove, copy, overwrite, link, refresh. Items by action.
+
+    ``sections`` (``rel``, ``offset``, ``length``) are the parts in which files to be overwritten
+    differ: only these are written, at their places, by as many tasks as there are. Without it
+    such files are copied whole. With ``batch``, files to be copied go in runs of that many.
+    """
+    plan = cut(plan)
     join = lambda root: F.concat(F.lit(root.rstrip("/")), F.col("rel"))
     rows = plan.select("rel", "action", join(src_root).alias("src"), join(dst_root).alias("dst"), F.length(F.regexp_replace("rel", "[^/]", "")).alias("depth"))
+    meta = {"owner": owner, "attributes": attributes}
 
     def remove(r) -> None:
         if os.path.isdir(r["dst"]) and not os.path.islink(r["dst"]):
@@ -221,15 +264,22 @@ def run_sync(plan: DataFrame, src_root: str, dst_root: str, *, link_root: str |
 
     def copy(r) -> None:
         if os.path.islink(r["src"]):
-            tmp = f"{r['dst']}.part-{os.getpid()}"
+            tmp = draft_of(r['dst'])
             os.symlink(os.readlink(r["src"]), tmp)
             os.replace(tmp, r["dst"])
         elif os.path.isdir(r["src"]):
             os.makedirs(r["dst"], exist_ok=True)
             return
         else:
-            copy_one(r["src"], r["dst"])
-        copy_metadata(r["src"], r["dst"])
+            copy_one(r["src"], r["dst"], sparse=sparse)
+        copy_metadata(r["src"], r["dst"], **meta)
+
+    def patch(r) -> None:
+        with open(r["src"], "rb") as f, open(r["dst"], "r+b") as g:
+            at, left = r["offset"], r["length"]
+            while left and (data := os.pread(f.fileno(), min(left, 1 << 20), at)):
+                os.pwrite(g.fileno(), data, at)
+                at, left = at + len(data), left - len(data)
 
     def link(r) -> None:
         if os.path.lexists(r["dst"]):
@@ -237,10 +287,23 @@ def run_sync(plan: DataFrame, src_root: str, dst_root: str, *, link_root: str |
         os.link(link_root.rstrip("/") + r["rel"], r["dst"])
 
     _levels(rows.filter("action = 'remove'"), remove, deepest_first=True)
-    _levels(rows.filter("action = 'copy'"), copy)
-    _each(rows.filter("action = 'overwrite'"), copy)
+    copied = rows.filter("action = 'copy'")
+    if batch:
+        from treeline.operators.order import batches
+
+        made = batches(copied, [F.asc("depth"), F.asc("rel")], batch)
+        for b in sorted(r[0] for r in made.select("batch").distinct().collect()):
+            _levels(made.filter(F.col("batch") == b), copy)
+    else:
+        _levels(copied, copy)
+    changed = rows.filter("action = 'overwrite'")
+    if sections is None:
+        _each(changed, copy)
+    else:
+        _each(changed.join(sections, "rel").repartition(F.xxhash64("rel", "offset")), patch)
+        _each(changed, lambda r: copy_metadata(r["src"], r["dst"], **meta))
     _each(rows.filter("action = 'link'"), link)
-    _levels(rows.filter("action in ('refresh', 'copy')"), lambda r: copy_metadata(r["src"], r["dst"]), deepest_first=True)
+    _levels(rows.filter("action in ('refresh', 'copy')"), lambda r: copy_metadata(r["src"], r["dst"], **meta), deepest_first=True)
     return {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions.scalars import round_up
+from treeline.operators.apply import draft_of
 from treeline.operators.order import positions
+from treeline.plans.lineage import cut
 
 BLOCK = 512
 LAYOUT = "name string, header_size bigint, entry_size bigint, entry_offset bigint, data_offset bigint"
@@ -81,7 +83,8 @@ def create_archive(df: DataFrame, root: str, out: str) -> DataFrame:
     may be repeated. Two empty blocks end the archive.
     """
     root = root.rstrip("/")
-    sized = real_sizes(df.filter(F.col("name") != root), root)
+    # places and length must come from one and the same walk
+    sized = cut(real_sizes(df.filter(F.col("name") != root), root))
     placed = positions(sized, [F.asc("name")], F.col("entry_size"))
     end = sized.agg(F.coalesce(F.sum("entry_size"), F.lit(0))).first()[0]
     with open(out, "wb") as f:
@@ -113,23 +116,110 @@ INDEX = "name string, type string, size bigint, mode bigint, uid bigint, gid big
 _KINDS = {tarfile.DIRTYPE: "DIR", tarfile.SYMTYPE: "LINK", tarfile.REGTYPE: "FILE", tarfile.AREGTYPE: "FILE"}
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a tar file with their offsets, found by one task that jumps from header to header."""
+#: An archive is looked through in stretches of at least so many bytes, and in at most so many stretches.
+STRETCH = 64 << 20
+MOST_STRETCHES = 4_096
+
+
+def _first_header(f, low: int, high: int) -> int | None:
+    """The first place from ``low`` on that looks like a header: its mark, and a checksum that holds."""
+    for at in range(low, high, 1 << 20):
+        f.seek(at)
+        data = f.read(min(1 << 20, high - at))
+        for k in range(0, len(data) - BLOCK + 1, BLOCK):
+            block = data[k : k + BLOCK]
+            if block[257:262] == b"ustar":
+                try:
+                    if tarfile.nti(block[148:156]) in tarfile.calc_chksums(block):
+                        return at + k
+                except tarfile.HeaderError:
+                    continue
+    return None
+
+
+def _chain(f, start: int, high: int) -> Iterator[tarfile.TarInfo | int]:
+    """The entries that begin in ``[start, high)``, one after the other, then the place of the first that begins beyond."""
+    f.seek(start)
+    end = os.fstat(f.fileno()).st_size
+    try:
+        with tarfile.open(fileobj=f, mode="r:") as t:
+            for m in t:
+                if m.offset >= high:
+                    end = m.offset
+                    break
+                yield m
+                t.members = []
+    except tarfile.ReadError:
+        pass  # nothing but the empty blocks at the end
+    yield end
+
+
+def read_index(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
+    """Entries of a tar file with their offsets, found by many tasks.
+
+    Each looks through a stretch: finds the first header there by its checksum and jumps from
+    one to the next. A stretch's find is believed only if the chain of the stretch before ends
+    at it (a file may hold an archive itself); else that stretch is begun anew from where the
+    chain ends. So it is exactly the list that one task from header to header would find.
+    """
+    size = os.path.getsize(path)
+    stretch = max(stretch, -(-size // MOST_STRETCHES))
+    stretch += -stretch % BLOCK
+    lows = list(range(0, size, stretch)) or [0]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ks, starts, ends = [], [], []
+            with open(path, "rb") as f:
+                for k, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    low, high = k * stretch, min((k + 1) * stretch, size)
+                    start = known if known is not None else 0 if k == 0 else _first_header(f, low, high)
+                    ks.append(k)
+                    starts.append(start)
+                    *_, end = _chain(f, start, high) if start is not None else (None,)
+                    ends.append(end)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (ks, starts, ends)], names=["k", "start", "end"])
+
+    def look(work: list[tuple[int, int | None]]) -> dict[int, tuple[int | None, int | None]]:
+        rows = spark.createDataFrame(work, "k bigint, known bigint").repartitionById(min(len(work), 256), F.pmod("k", F.lit(min(len(work), 256))).cast("int"))
+        return {r.k: (r.start, r.end) for r in rows.mapInArrow(probe, "k bigint, start bigint, `end` bigint").collect()}
+
+    found = look([(k, None) for k in range(len(lows))])
+    while True:
+        at, anew, true = 0, [], []
+        for k, low in enumerate(lows):
+            high = min(low + stretch, size)
+            if at >= high and size:
+                continue  # within an entry that began before
+            if found[k][0] != at:
+                anew.append((k, at))
+                # later finds are checked once this one is known, unless they meet what it is likely to come to
+                at = found[k][1] if found[k][1] is not None else high
+                if found[k][1] is None:
+                    break
+            else:
+                true.append((k, at))
+                at = found[k][1]
+        if not anew:
+            break
+        found.update(look(anew))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in batch.column(0).to_pylist():
-                rows: list[tuple] = []
-                with tarfile.open(p, "r:") as t:
-                    for m in t:
+            with open(path, "rb") as f:
+                for k, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    rows: list[tuple] = []
+                    for m in _chain(f, start, min((k + 1) * stretch, size)):
+                        if isinstance(m, int):
+                            continue
                         rows.append((m.name, _KINDS.get(m.type, "UNKNOWN"), m.size, m.mode, m.uid, m.gid, int(m.mtime), m.linkname or None, m.offset, m.offset_data))
-                        t.members = []
                         if len(rows) == 4096:
                             yield _index_batch(rows)
                             rows = []
-                yield _index_batch(rows)
+                    yield _index_batch(rows)
 
-    return spark.createDataFrame([(path,)], "path string").mapInArrow(run, INDEX)
+    work = spark.createDataFrame(true, "k bigint, start bigint")
+    return work.repartitionById(max(1, min(len(true), 256)), F.pmod("k", F.lit(256)).cast("int") % max(1, min(len(true), 256))).mapInArrow(run, INDEX)
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -149,43 +239,68 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}.index") if os.path.isdir(f"{path}.index") else read_index(spark, path)
 
 
-def extract(index: DataFrame, path: str, dest: str) -> int:
-    """Put the entries of an index below ``dest``: directories first, then files and links, then directories' modes. Number of items.
+def extract(index: DataFrame, path: str, dest: str, *, owner: bool = False, times: bool = True, modes: bool = True) -> int:
+    """Put the entries of an index below ``dest``: directories, then files, then links, then directories' details. Number of items.
 
-    Files are written under other names and renamed, so a task may be repeated.
+    Files are written under other names and renamed, so a task may be repeated. Absolute names,
+    names with ``..`` and names that lead through a link are left out: nothing is written
+    outside of ``dest``, and links are made when no file is to come any more.
     """
-    safe = index.filter(~F.col("name").startswith("/") & ~F.array_contains(F.split("name", "/"), ".."))
+    index = cut(index.filter(~F.col("name").startswith("/") & ~F.array_contains(F.split("name", "/"), "..") & (F.col("type") != "UNKNOWN")))
+    root = os.path.realpath(dest)
+
+    def place(name: str) -> str | None:
+        to = os.path.join(root, name.rstrip("/"))
+        above = os.path.realpath(os.path.dirname(to))
+        return to if above == root or above.startswith(root + "/") else None
 
     def dirs(rows: Iterator) -> None:
         for r in rows:
-            os.makedirs(os.path.join(dest, r["name"]), exist_ok=True)
+            if (to := place(r["name"])) and not os.path.islink(to):
+                os.makedirs(to, exist_ok=True)
 
-    def items(rows: Iterator) -> None:
+    def finish(r, to: str) -> None:
+        if owner:
+            os.chown(to, r["uid"], r["gid"], follow_symlinks=False)
+        if modes:
+            os.chmod(to, r["mode"])
+        if times:
+            os.utime(to, (r["mtime"], r["mtime"]))
+
+    def files(rows: Iterator) -> None:
         with open(path, "rb") as f:
             for r in rows:
-                to = os.path.join(dest, r["name"])
+                if not (to := place(r["name"])):
+                    continue
                 os.makedirs(os.path.dirname(to), exist_ok=True)
-                tmp = f"{to}.part-{os.getpid()}"
-                if r["type"] == "LINK":
-                    os.symlink(r["target"], tmp)
-                else:
-                    f.seek(r["data_offset"])
-                    with open(tmp, "wb") as g:
-                        left = r["size"]
-                        while left and (data := f.read(min(1 << 20, left))):
-                            g.write(data)
-                            left -= len(data)
-                    os.chmod(tmp, r["mode"])
-                    os.utime(tmp, (r["mtime"], r["mtime"]))
+                tmp = draft_of(to)
+                f.seek(r["data_offset"])
+                with open(tmp, "wb") as g:
+                    left = r["size"]
+                    while left and (data := f.read(min(1 << 20, left))):
+                        g.write(data)
+                        left -= len(data)
+                finish(r, tmp)
                 os.replace(tmp, to)
 
-    def modes(rows: Iterator) -> None:
+    def links(rows: Iterator) -> None:
         for r in rows:
-            to = os.path.join(dest, r["name"])
-            os.chmod(to, r["mode"])
-            os.utime(to, (r["mtime"], r["mtime"]))
-
-    safe.filter("type = 'DIR'").foreachPartition(dirs)
-    safe.filter("type in ('FILE', 'LINK')").foreachPartition(items)
-    safe.filter("type = 'DIR'").foreachPartition(modes)
-    return safe.filter("type <> 'UNKNOWN'").count()
+            to = place(r["name"])
+            if not to or os.path.isdir(to) and not os.path.islink(to):
+                continue
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            tmp = draft_of(to)
+            os.symlink(r["target"], tmp)
+            os.replace(tmp, to)
+
+    def details(rows: Iterator) -> None:
+        for r in rows:
+            if (to := place(r["name"])) and os.path.isdir(to) and not os.path.islink(to):
+                finish(r, to)
+
+    os.makedirs(root, exist_ok=True)
+    index.filter("type = 'DIR'").foreachPartition(dirs)
+    index.filter("type = 'FILE'").foreachPartition(files)
+    index.filter("type = 'LINK'").foreachPartition(links)
+    index.filter("type = 'DIR'").foreachPartition(details)
+    return index.count()

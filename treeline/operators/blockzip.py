@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.operators.apply import draft_of
+
 from treeline.operators.order import positions
 
 # The footer holds six numbers of 64 bits, most significant byte first: start of the
@@ -59,9 +61,10 @@ def compress_file(spark: SparkSession, source: str, dest: str, *, blocksize: int
                 for k in numbers:
                     f.seek(k * block)
                     packed = bz2.compress(f.read(block), blocksize)
-                    with open(f"{parts}/{k}.part-{os.getpid()}", "wb") as g:
+                    draft = draft_of(f"{parts}/{k}")
+                    with open(draft, "wb") as g:
                         g.write(packed)
-                    os.replace(f"{parts}/{k}.part-{os.getpid()}", f"{parts}/{k}")
+                    os.replace(draft, f"{parts}/{k}")
                     lengths.append(len(packed))
                 yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(lengths, pa.int64())], names=["block", "length"])
 

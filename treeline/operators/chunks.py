@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,6 +83,35 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("name", "offset", "length").mapInArrow(run, "name string, offset bigint, digest string")
 
 
+def unlike_sections(pairs: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """``rel``, ``offset``, ``length`` of the sections in which two real files differ, byte by byte.
+
+    ``pairs`` holds ``rel``, the paths ``a`` and ``b`` and their common ``size``. Sections of all
+    files are dealt out to all tasks, so one huge file is compared by many. A section that can't
+    be read whole on either side counts as different.
+    """
+    sections = explode_chunks(pairs.select(F.struct("rel", "a", "b").alias("name"), F.lit("FILE").alias("type"), "size"), chunk)
+
+    def read(path: str, offset: int, length: int) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                return os.pread(f.fileno(), length, offset)
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unlike = []
+            for r in batch.to_pylist():
+                x, y = read(r["a"], r["offset"], r["length"]), read(r["b"], r["offset"], r["length"])
+                unlike.append(x is None or x != y or len(x) != r["length"])
+            found = batch.filter(pa.array(unlike, pa.bool_()))
+            yield pa.record_batch([found.column(k) for k in ("rel", "offset", "length")], names=["rel", "offset", "length"])
+
+    rows = sections.select("name.rel", "name.a", "name.b", "offset", "length")
+    return rows.repartition(F.xxhash64("rel", "offset")).mapInArrow(run, "rel string, offset bigint, length bigint")
+
+
 def is_all_zero(data: Column) -> Column:
     """Whether a binary holds only zero bytes (a hole); true for an empty one."""
     return F.length(F.replace(F.hex(data), F.lit("00"), F.lit(""))) == 0

@@ -52,7 +52,8 @@ def states(joined: DataFrame, fields: Iterable[str] = exprs.FIELDS, *, lite: boo
     the type by the type bits; where it differs so does the content. Items neither regular nor
     links have common content; links are compared by their whole ``target`` column; regular
     items of other size differ; of the same size they are compared by mtime and nanosecond
-    (``lite``), else by the column ``content``. The size of directories is always common.
+    (``lite``), else by the column ``content``, or by the column ``unlike`` of :func:`with_unlike`
+    if the join has one. The size of directories is always common.
     Only the fields asked for, and what they need, are computed.
     """
     fields = set(fields)
@@ -76,7 +77,7 @@ def states(joined: DataFrame, fields: Iterable[str] = exprs.FIELDS, *, lite: boo
     if fields & {"TYPE", "CONTENT"}:
         out["TYPE"] = F.when(common, _state(type_same))
     if "CONTENT" in fields:
-        by_bytes = time("mtime") if lite or content is None else same(content)
+        by_bytes = F.col("unlike").isNull() if "unlike" in joined.columns else time("mtime") if lite or content is None else same(content)
         link = same(target) if target else time("mtime")
         regular, is_link = s["type"] == "FILE", s["type"] == "LINK"
         equal = type_same & F.when(is_link, link).when(regular, same("size") & by_bytes).otherwise(F.lit(True))
@@ -84,11 +85,26 @@ def states(joined: DataFrame, fields: Iterable[str] = exprs.FIELDS, *, lite: boo
     return joined.select("rel", "s", "d", *[out.get(f, F.lit(None).cast("string")).alias(f) for f in exprs.FIELDS])
 
 
-def compare(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str, expressions: Iterable[str] = DEFAULT_OUTPUTS, **options) -> DataFrame:
-    """States of every path of either tree; only fields that the expressions need are compared."""
+def file_pairs(joined: DataFrame) -> DataFrame:
+    """``rel``, ``a``, ``b``, ``size`` of regular files on both sides of the same size, the only ones whose bytes need reading."""
+    both = joined.filter("s.type = 'FILE' and d.type = 'FILE' and s.size = d.size and s.size > 0")
+    return both.select("rel", F.col("s.name").alias("a"), F.col("d.name").alias("b"), F.col("s.size").alias("size"))
+
+
+def with_unlike(joined: DataFrame, unlike: DataFrame | None) -> DataFrame:
+    """A join with the mark ``unlike`` at paths of which a section differs (``rel`` of :func:`treeline.operators.chunks.unlike_sections`)."""
+    return joined if unlike is None else joined.join(unlike.select("rel").distinct().withColumn("unlike", F.lit(True)), "rel", "left")
+
+
+def compare(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str, expressions: Iterable[str] = DEFAULT_OUTPUTS, *, unlike: DataFrame | None = None, **options) -> DataFrame:
+    """States of every path of either tree; only fields that the expressions need are compared.
+
+    ``unlike`` names the paths whose bytes were found to differ; without it contents of files
+    are compared by time or by a column, as :func:`states` tells.
+    """
     need = set().union(*[exprs.needed(exprs.parse(e)) for e in expressions])
     columns = columns_for(need, *(options.get(k) for k in ("content", "target", "acl")))
-    return states(sides(src, dst, src_root, dst_root, columns), need, **options)
+    return states(with_unlike(sides(src, dst, src_root, dst_root, columns), unlike), need, **options)
 
 
 def matching(compared: DataFrame, expression: str) -> DataFrame:

@@ -21,7 +21,7 @@ class EmptySourceError(ValueError):
 
 def sync_plan(
     src: DataFrame, dst: DataFrame, src_root: str, dst_root: str, *, delete: bool = False, contents: bool = False, content: str | None = None,
-    target: str | None = None, link_dest: DataFrame | None = None, link_root: str | None = None, nanoseconds: bool = True, walk_errors: bool = False,
+    target: str | None = None, link_dest: DataFrame | None = None, link_root: str | None = None, nanoseconds: bool = True, walk_errors: bool = False, unlike: DataFrame | None = None, unlike_link: DataFrame | None = None,
 ) -> DataFrame:
     """``rel``, ``action``, ``step``: what to do with each path; nothing for paths that agree.
 
@@ -30,10 +30,12 @@ def sync_plan(
     copy. With ``contents``, the same size and other ``content``: overwrite, or remove and copy
     when a ``link_dest`` tree is given. Any of uid, gid, permissions, atime, mtime other
     (times in whole seconds): refresh. A file to be copied that has the same content in
-    ``link_dest`` (size and mtime, or content with ``contents``) is linked instead.
+    ``link_dest`` (size and mtime, or content with ``contents``) is linked instead. With
+    ``contents``, ``unlike`` (and ``unlike_link``) give the paths whose bytes differ, in place
+    of a column ``content``.
     """
     columns = compare.columns_for(FIELDS, content, target)
-    both = compare.states(compare.sides(src, dst, src_root, dst_root, columns), FIELDS, lite=not contents, content=content, target=target, nanoseconds=nanoseconds)
+    both = compare.states(compare.with_unlike(compare.sides(src, dst, src_root, dst_root, columns), unlike), FIELDS, lite=not contents, content=content, target=target, nanoseconds=nanoseconds)
     s, d = F.col("s"), F.col("d")
     common = F.col("EXIST") == "COMMON"
     type_same = F.coalesce(F.col("TYPE") == "COMMON", F.lit(False))
@@ -53,7 +55,7 @@ def sync_plan(
     actions = F.array_compact(F.array(act(gone | replace, "remove"), act(copied, "copy"), act(in_place, "overwrite"), act(meta, "refresh")))
     plan = both.select("rel", F.col("s.type").alias("kind"), F.explode(actions).alias("action"))
     if link_dest is not None:
-        linked = link_candidates(src, link_dest, src_root, link_root, contents=contents, content=content, nanoseconds=nanoseconds)
+        linked = link_candidates(src, link_dest, src_root, link_root, contents=contents, content=content, nanoseconds=nanoseconds, unlike=unlike_link)
         plan = plan.join(linked.select("rel", F.lit(True).alias("same")), "rel", "left").withColumn(
             "action", F.when((F.col("action") == "copy") & (F.col("kind") == "FILE") & F.col("same"), F.lit("link")).otherwise(F.col("action"))
         )
@@ -62,11 +64,11 @@ def sync_plan(
 
 
 def link_candidates(
-    src: DataFrame, link_dest: DataFrame, src_root: str, link_root: str, *, contents: bool = False, content: str | None = None, nanoseconds: bool = True
+    src: DataFrame, link_dest: DataFrame, src_root: str, link_root: str, *, contents: bool = False, content: str | None = None, nanoseconds: bool = True, unlike: DataFrame | None = None
 ) -> DataFrame:
     """``rel`` of source files with the same content in a third tree."""
     fields = ["EXIST", "TYPE", "CONTENT"]
-    pairs = compare.states(compare.sides(src, link_dest, src_root, link_root, compare.columns_for(fields, content)), fields, lite=not contents, content=content, nanoseconds=nanoseconds)
+    pairs = compare.states(compare.with_unlike(compare.sides(src, link_dest, src_root, link_root, compare.columns_for(fields, content)), unlike), fields, lite=not contents, content=content, nanoseconds=nanoseconds)
     return pairs.filter("EXIST = 'COMMON' and TYPE = 'COMMON' and CONTENT = 'COMMON' and s.type = 'FILE'").select("rel")
 
 

@@ -159,7 +159,10 @@ def write_binary(df: DataFrame, path: str, users: list[tuple[int, str]] = (), gr
     Offsets follow from the position in order of names, so tasks write their records at once.
     """
     from treeline.operators.order import positions
+    from treeline.plans.lineage import cut
 
+    # width, count and places must come from one and the same list
+    df = cut(df.select("name", *NUMBERS))
     width = df.agg(F.coalesce(F.max(F.octet_length("name")), F.lit(0))).first()[0] + 1
     width += -width % 8
     tables = b""
@@ -183,5 +186,5 @@ def write_binary(df: DataFrame, path: str, users: list[tuple[int, str]] = (), gr
                 f.seek(begin + r["position"] * size)
                 f.write(r["name"].encode().ljust(width, b"\0") + struct.pack(RECORD, *[(r[c] or 0) & (1 << 64) - 1 for c in NUMBERS]))
 
-    positions(df.select("name", *NUMBERS), [F.asc("name")]).foreachPartition(place)
+    positions(df, [F.asc("name")]).foreachPartition(place)
     return count

@@ -1,21 +1,23 @@
-"""Parallel walks of real trees, as a Python data source."""
+"""Parallel walks of real trees."""
 
 from __future__ import annotations
 
+import itertools
 import os
 import stat
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from treeline.entries import SCHEMA
 from treeline.functions.paths import reduce_text
+from treeline.plans.lineage import cut
 
-WALK_SCHEMA = T.StructType([*SCHEMA.fields, T.StructField("target", T.StringType()), T.StructField("error", T.StringType())])
+WALK_SCHEMA = T.StructType([*[T.StructField(f.name, f.dataType) for f in SCHEMA.fields], T.StructField("target", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def kind_of(mode: int) -> str:
@@ -44,94 +46,48 @@ def lite_row(path: str, kind: str) -> tuple:
     return (name, name.count("/"), kind, *[None] * 10, None, None)
 
 
-class _Part(InputPartition):
-    def __init__(self, items: list[tuple[str, str]], trees: list[str]) -> None:
-        self.items, self.trees = items, trees
+#: Items a task lists before it hands the directories it hasn't got to back to be dealt out; each round as many again.
+FIRST_ROUND = 2_000
 
 
-class WalkReader(DataSourceReader):
-    """Levels near the roots are listed by the driver until there are enough directories to deal out."""
-
-    def __init__(self, options: dict) -> None:
-        self.roots = options["paths"].split("\n")
-        self.lite = options.get("lite", "false") == "true"
-        self.dereference = options.get("dereference", "false") == "true"
-        self.parts = int(options.get("partitions", 64))
-
-    def _children(self, path: str) -> list[tuple[str, str]]:
-        out = []
-        with os.scandir(path) as it:
-            for e in it:
-                follow = self.dereference
-                try:
-                    kind = "DIR" if e.is_dir(follow_symlinks=follow) else "LINK" if e.is_symlink() and not follow else "FILE" if e.is_file(follow_symlinks=follow) else "UNKNOWN"
-                except OSError:
-                    kind = "UNKNOWN"
-                out.append((e.path, kind))
-        return out
-
-    def partitions(self) -> list[_Part]:
-        items: list[tuple[str, str]] = []
-        level = []
-        for r in self.roots:
+def _listing(path: str, dereference: bool) -> Iterator[tuple[str, str]]:
+    """Path and type of each child, as they are read: a huge directory is never a list."""
+    with os.scandir(path) as it:
+        for e in it:
             try:
-                kind = kind_of((os.stat(r) if self.dereference else os.lstat(r)).st_mode)
+                kind = "DIR" if e.is_dir(follow_symlinks=dereference) else "LINK" if e.is_symlink() and not dereference else "FILE" if e.is_file(follow_symlinks=dereference) else "UNKNOWN"
             except OSError:
                 kind = "UNKNOWN"
-            (level if kind == "DIR" else items).append(r if kind == "DIR" else (r, kind))
-        while level and len(level) < 4 * self.parts:
-            below = []
-            for d in level:
-                items.append((d, "DIR"))
-                try:
-                    found = self._children(d)
-                except OSError:
-                    continue
-                below += [p for p, k in found if k == "DIR"]
-                items += [(p, k) for p, k in found if k != "DIR"]
-            level = below
-        n = max(1, min(self.parts, len(items) + len(level)))
-        return [_Part(items[i::n], level[i::n]) for i in range(n)]
-
-    def read(self, part: _Part) -> Iterator[tuple]:
-        row = (lambda p, k: lite_row(p, k)) if self.lite else (lambda p, _: stat_row(p, self.dereference))
-        for p, k in part.items:
-            yield row(p, k)
-        stack = list(part.trees)
-        seen: set[tuple[int, int]] = set()
-        while stack:
-            d = stack.pop()
-            if self.dereference:  # links may lead back to a directory above
-                s = os.stat(d)
-                if (s.st_dev, s.st_ino) in seen:
-                    continue
-                seen.add((s.st_dev, s.st_ino))
-            mine = row(d, "DIR")
-            try:
-                found = self._children(d)
-            except OSError as e:
-                yield (*mine[:-1], e.strerror or str(e))
-                continue
-            yield mine
-            for p, k in found:
-                if k == "DIR":
+            yield e.path, kind
+
+
+def _loops(path: str, parent: str) -> bool:
+    """Whether a followed link leads back to a directory above it."""
+    real, above = os.path.realpath(path), os.path.realpath(parent)
+    return above == real or above.startswith(real.rstrip("/") + "/")
+
+
+def _expand(paths: Iterable[str], lite: bool, dereference: bool, budget: int) -> Iterator[tuple[tuple | None, bytes | None]]:
+    """Rows of the items below ``paths`` until the budget is spent, then the directories that are left."""
+    row = (lambda p, k: lite_row(p, k)) if lite else (lambda p, _: stat_row(p, dereference))
+    stack, done = list(paths), 0
+    while stack:
+        if done >= budget:
+            yield from ((None, os.fsencode(p)) for p in stack)
+            return
+        d = stack.pop()
+        mine, error = row(d, "DIR"), None
+        try:
+            for p, k in _listing(d, dereference):
+                if k == "DIR" and not (dereference and _loops(p, d)):
                     stack.append(p)
                 else:
-                    yield row(p, k)
-
-
-class WalkSource(DataSource):
-    """``spark.read.format("treeline_walk").option("paths", ...)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "treeline_walk"
-
-    def schema(self):
-        return WALK_SCHEMA
-
-    def reader(self, schema) -> WalkReader:
-        return WalkReader(dict(self.options))
+                    done += 1
+                    yield row(p, k), None
+        except OSError as e:
+            error = e.strerror or str(e)
+        done += 1
+        yield (mine if error is None else (*mine[:-1], error)), None
 
 
 def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False, dereference: bool = False, partitions: int = 64) -> DataFrame:
@@ -139,12 +95,50 @@ def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False,
 
     An item that can't be read has an error and no detail; a directory that can't be listed
     has its detail and an error. Nothing else is lost. With ``lite`` nothing but roots is
-    stat'ed. The folder must be visible to driver and executors.
+    stat'ed. Followed links that lead back above themselves are rows, but not entered.
+
+    Tasks list directories until they have met a number of items; what they haven't got to is
+    dealt out anew among all, so one deep or large subtree is soon the work of many. The driver
+    sees no item: each round is written to the shared folder, so the walk happens once
+    however often the result is read, and a lost executor repeats a task only. The folder must
+    be visible to all executors.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    spark.dataSource.register(WalkSource)
-    reader = spark.read.format("treeline_walk").option("paths", "\n".join(reduce_text(p, True) for p in paths))
-    return reader.option("lite", str(lite).lower()).option("dereference", str(dereference).lower()).option("partitions", partitions).load()
+    roots = [reduce_text(p, True) for p in ([paths] if isinstance(paths, str) else list(paths))]
+    schema = T.StructType([*WALK_SCHEMA.fields, T.StructField("todo", T.BinaryType())])
+    kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64() for f in WALK_SCHEMA]
+
+    def batches_of(found: Iterator[tuple[tuple | None, bytes | None]]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * len(kinds)
+        while rows := list(itertools.islice(found, 4096)):
+            cols = list(zip(*[r or none for r, _ in rows], strict=True))
+            yield pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([t for _, t in rows], pa.binary())], names=schema.names)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[tuple | None, bytes | None]]:
+            for batch in batches:
+                for p in map(os.fsdecode, batch.column(0).to_pylist()):
+                    row = stat_row(p, dereference)
+                    yield (None, os.fsencode(p)) if row[2] == "DIR" else (lite_row(p, row[2]) if lite and row[-1] is None else row, None)
+
+        yield from batches_of(found())
+
+    def go_on(budget: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            work = [os.fsdecode(p) for batch in batches for p in batch.column(0).to_pylist()]
+            yield from batches_of(_expand(work, lite, dereference, budget))
+
+        return run
+
+    todo = spark.createDataFrame([(os.fsencode(r),) for r in roots], "todo binary").coalesce(1)
+    parts, budget, run = [], FIRST_ROUND, begin
+    while True:
+        found = cut(todo.mapInArrow(run, schema))
+        parts.append(found.filter("todo is null").drop("todo"))
+        left = found.filter("todo is not null").select("todo")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        todo = left.repartition(partitions, "todo") if len(parts) > 1 else left.coalesce(partitions)
+        run, budget = go_on(budget), 2 * budget
 
 
 def errors(walked: DataFrame) -> DataFrame:
@@ -236,6 +230,41 @@ def extended_attributes(df: DataFrame) -> DataFrame:
 
 
 def mounts(spark: SparkSession, table: str = "/proc/mounts") -> DataFrame:
-    """``device``, ``mount``, ``fstype`` of mounted file systems."""
-    parts = F.split("value", " ")
-    return spark.read.text(table).select(F.get(parts, F.lit(0)).alias("device"), F.get(parts, F.lit(1)).alias("mount"), F.get(parts, F.lit(2)).alias("fstype"))
+    """``device``, ``mount``, ``fstype`` of the file systems mounted where the task runs. The table has no length, so it is read by hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with open(table) as f:
+                rows = [line.split(" ")[:3] for line in f if line.count(" ") >= 2]
+            yield pa.record_batch([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], names=["device", "mount", "fstype"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "device string, mount string, fstype string")
+
+
+# The attribute that holds a file's layout on striped file systems, the two magic
+# numbers of its plain forms, and the places of stripe size and stripe count behind them.
+LAYOUT_ATTRIBUTE = "lustre.lov"
+LAYOUT_MAGIC = (0x0BD10BD0, 0x0BD30BD0)
+LAYOUT_FORM = "<II16xIH"
+
+
+def stripes(df: DataFrame) -> DataFrame:
+    """``df`` with ``stripe_count`` and ``stripe_size`` of its files, as the file system tells them; null where it has none."""
+    import struct
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count, size = [], []
+            for name in batch.column(0).to_pylist():
+                found = (None, None)
+                try:
+                    magic, _, width, n = struct.unpack_from(LAYOUT_FORM, os.getxattr(name, LAYOUT_ATTRIBUTE, follow_symlinks=False))
+                    found = (n, width) if magic in LAYOUT_MAGIC else found
+                except (OSError, struct.error):
+                    pass
+                count.append(found[0])
+                size.append(found[1])
+            yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(size, pa.int64())], names=["name", "stripe_count", "stripe_size"])
+
+    asked = df.filter("type = 'FILE'").select("name").mapInArrow(run, "name string, stripe_count bigint, stripe_size bigint")
+    return df.join(asked, "name", "left")
