@@ -5,11 +5,11 @@ import os
 import pytest
 
 import tools_compare as C
-from treeline import problem_queries, tree_queries
+from treeline import disk_queries, problem_queries, tree_queries
 
 FOLDER = f"{C.DATA}/sf0.001"
-QUERIES = {**problem_queries.QUERIES, **tree_queries.QUERIES}
-SQL = {**problem_queries.SQL, **tree_queries.SQL}
+QUERIES = {**problem_queries.QUERIES, **tree_queries.QUERIES, **disk_queries.QUERIES}
+SQL = {**problem_queries.SQL, **tree_queries.SQL, **disk_queries.SQL}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

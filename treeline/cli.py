@@ -14,6 +14,7 @@ from treeline import entries as E
 from treeline.functions.scalars import parse_bytes, show_bytes, show_count
 from treeline.operators import aggregate, apply, archive, blockzip, chunks, compare, duplicates, exprs, order, plans, predicates as P, relink, sync, textsearch
 from treeline.operators.progress import Progress
+from treeline.plans.session import ship
 from treeline.sources import generate, lists, owners, walk
 
 
@@ -308,4 +309,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
-    a.run(spark or SparkSession.builder.appName("treeline").config("spark.sql.session.timeZone", "UTC").getOrCreate(), a)
+    if spark is None:
+        spark = SparkSession.builder.appName("treeline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        ship(spark)
+    a.run(spark, a)

@@ -18,8 +18,8 @@ def key_totals(
 ) -> DataFrame:
     """Rows, non-null values, sum, least and greatest ``value`` for each combination of ``keys``.
 
-    Rows are first combined on the map side into states of (keys, ``order``), so a heavy key
-    is already as many small states as ``order`` has values. The states are range-partitioned
+    Rows are first combined into states of (keys, ``order``), before and after one shuffle, so a
+    heavy key is already as many small states as ``order`` has values. The states are range-partitioned
     on the composite of keys and order at quantiles that Spark samples, which splits a heavy
     key over neighbouring partitions. Each partition then folds its stretch of every key, and
     the stretches of keys that cross a boundary are stitched in a last merge of one state
@@ -77,7 +77,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     ks, os = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))]
     named = [F.col(c).alias(n) for c, n in zip([*keys, *order], [*ks, *os], strict=True)]
     rows = df.select(*named, F.col(value).alias("v"))
-    ranged = cut(rows.repartitionByRange(*ks, *os).withColumn("r", F.spark_partition_id()))
+    # rows alike in keys and order are told apart by where they were read, so that any number of them can be split
+    ranged = cut(rows.withColumn("t", F.spark_partition_id()).repartitionByRange(*ks, *os, "t").drop("t").withColumn("r", F.spark_partition_id()))
     exact = F.coalesce(F.col("v").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     states = ranged.groupBy("r", *ks).agg(F.count(F.lit(1)).alias("n"), F.sum(exact).alias("s"))
     before = Window.partitionBy(*ks).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)

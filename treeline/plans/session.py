@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,11 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster on which it isn't installed."""
+    folder = tempfile.mkdtemp(prefix="treeline-package-")  # the driver's; executors get the file from it
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(f"{folder}/treeline", "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
