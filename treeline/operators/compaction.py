@@ -37,18 +37,16 @@ MOST_FILES = 50_000
 MOST_SENT = 50_000
 
 
-def crowds(files: DataFrame, place: Column | str, is_file: Column, small_bytes: int = SMALL_BYTES, size: str = "bytes") -> DataFrame:
+def crowds(files: DataFrame, place: Column | str, small: Column, size: str = "bytes") -> DataFrame:
     """``n_files``, ``n_small``, ``small_bytes`` and ``bytes`` of each ``place`` (a directory or partition) of a table of files.
 
-    Rows for which ``is_file`` doesn't hold aren't counted; neither is a null size small. Counts
-    are combined before they are shuffled, so a place that holds a third of all files is no
-    more work than any.
+    ``small`` says which files are. Counts are combined before they are shuffled, so a place
+    that holds a third of all files is no more work than any.
     """
     b = F.col(size)
-    small = is_file & (b >= 0) & (b < small_bytes)
     return files.groupBy(place).agg(
-        F.count(F.when(is_file, 1)).alias("n_files"), F.count(F.when(small, 1)).alias("n_small"),
-        F.coalesce(F.sum(F.when(small, b)), F.lit(0)).alias("small_bytes"), F.coalesce(F.sum(F.when(is_file, b.cast("decimal(20,0)"))), F.lit(0)).alias("bytes"),
+        F.count(F.lit(1)).alias("n_files"), F.count(F.when(small, 1)).alias("n_small"),
+        F.coalesce(F.sum(F.when(small, b)), F.lit(0)).alias("small_bytes"), F.coalesce(F.sum(b.cast("decimal(20,0)")), F.lit(0)).alias("bytes"),
     )
 
 
@@ -71,7 +69,7 @@ def crowded_directories(
         F.col(name).alias("p"), state.alias("s"), F.when(small, F.col("size")).alias("bytes")
     )
     current = listed.groupBy("p").agg(F.max("s").alias("s"), F.max_by("bytes", "s").alias("bytes")).filter(F.col("s") % 2 != 0)
-    totals = crowds(current, dirname("p").alias("dir"), F.lit(True), small_bytes)
+    totals = crowds(current, dirname("p").alias("dir"), F.lit(True))
     return totals.filter(F.col("n_small") >= crowd).select("dir", "n_small", "small_bytes")
 
 
@@ -318,7 +316,7 @@ class CompactableTable:
 
     def listing(self, small_bytes: int = SMALL_BYTES) -> DataFrame:
         """``folder``, ``n_files``, ``n_small``, ``small_bytes`` and ``bytes`` of each partition."""
-        return crowds(self.live_files(), "folder", F.lit(True), small_bytes)
+        return crowds(self.live_files(), "folder", F.col("bytes") < small_bytes)
 
     def crowded(self, small_bytes: int = SMALL_BYTES, crowd: int = CROWD) -> DataFrame:
         """The partitions with at least ``crowd`` small files."""
