@@ -65,13 +65,13 @@ def p1_compacted_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_parts(spark: SparkSession, d: str) -> DataFrame:
-    """What each directory of stored lists becomes: files before and after, records and bytes kept."""
+    """What each directory of stored lists is packed into: files and bytes kept, and whether parts are as few as their size calls for."""
     files = compaction.stored_files(read(spark, d, "saved_lists"))
     placed = compaction.assign_parts(files, LIST_BYTES)
     parts = placed.groupBy("dir", "subset", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-    return parts.groupBy("dir").agg(
-        F.sum("n").alias("files_before"), F.count(F.lit(1)).alias("files_after"), F.sum("b").alias("bytes")
-    )
+    # a subset has one part begun beside those that are full
+    sums = parts.groupBy("dir").agg(F.sum("n").alias("files"), F.count(F.lit(1)).alias("parts"), F.sum("b").alias("bytes"), F.count_distinct("subset").alias("subsets"))
+    return sums.select("dir", "files", "bytes", (F.col("parts") <= F.expr(f"bytes div {LIST_BYTES}") + F.col("subsets")).alias("packed"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +139,9 @@ from clean where t <> ''""",
     "p1_compacted_files": f"""
 with {_FILES}
 select dir, count(*) as files_before, count(*) >= 24 as rewritten, false as crowded_after from files group by dir""",
+    "p1_parts": f"""
+with {_FILES}
+select dir, count(*) as files, cast(sum(bytes) as bigint) as bytes, true as packed from files group by dir""",
     "p2_found": f"""
 with {_KEYS}
 select key_name, key_value from keyed group by 1, 2 having count(*) * 100 >= 3 * (select count(*) from entries)""",
