@@ -9,9 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from treeline import disk_queries
 from treeline import entries as E
+from treeline.functions.paths import dirname
 from treeline.operators import apply, archive, blockzip, chunks, compare, duplicates, order, plans, relink, sync, textsearch
 from treeline.operators.progress import Progress
+from treeline.plans import lineage
 from treeline.sources import generate, lists, owners, walk
 
 
@@ -118,6 +121,55 @@ def test_chmod_relink_and_hard_links(spark, tmp_path):
     assert os.path.samefile(f"{root}/f0", f"{root}/again")
 
 
+def test_hard_links_of_links_that_lead_nowhere(spark, tmp_path):
+    for k in "ab":
+        os.symlink("/none", tmp_path / k)
+    hard = spark.createDataFrame([(f"{tmp_path}/a", f"{tmp_path}/c"), (f"{tmp_path}/a", f"{tmp_path}/b")], "source string, name string")
+    for _ in range(2):  # a task may run twice
+        apply.make_hard_links(hard)
+        assert len({os.lstat(tmp_path / k).st_ino for k in "abc"}) == 1 and os.readlink(tmp_path / "c") == "/none"
+
+
+def test_links_are_replaced(spark, tmp_path):
+    os.symlink("old", tmp_path / "a")
+    links = spark.createDataFrame([(f"{tmp_path}/{k}", f"to-{k}") for k in "ab"], "name string, target string")
+    for _ in range(2):
+        apply.make_links(links)
+        assert sorted((n, os.readlink(tmp_path / n)) for n in os.listdir(tmp_path)) == [("a", "to-a"), ("b", "to-b")]
+
+
+@pytest.mark.parametrize("columns", [["name", "type", "target"], ["size", "name", "error"]])
+def test_walk_of_some_columns(spark, tmp_path, columns):
+    root = tree(tmp_path / "r")
+    for k in range(5_000):
+        os.symlink(f"/x{k}", f"{root}/d1/d2/n{k}")
+    whole, some = walk.walk(spark, root, partitions=3), walk.walk(spark, root, partitions=3, columns=columns)
+    assert some.columns == columns and rows(some) == rows(whole, *columns) and some.count() == 5_009
+
+
+def test_links_of_a_table_lie_in_many_directories(spark, tmp_path, monkeypatch):
+    """One directory that held them all took one change at a time, and one task walked it."""
+    spark.range(5, 1_005).selectExpr("id * 3 as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(disk_queries, "LINKS_OF_DIRECTORY", 100, raising=False)
+    most, link = [], apply.make_hard_links
+
+    def seen(df):
+        most.append(df.groupBy(dirname("source")).count().agg(F.max("count")).first()[0])
+        link(df)
+
+    monkeypatch.setattr(apply, "make_hard_links", seen)
+    got = disk_queries.QUERIES["disk_links"](spark, str(tmp_path))
+    assert rows(got) == sorted(((f"/l{3 * k}", f"/new/{3 * k}", True) for k in range(5, 1_005)), key=repr) and most[0] < 200
+    shared = lineage.shared_dir(spark).removeprefix("file:").removeprefix("//")
+    assert not [x for x in os.listdir(shared) if x.startswith("disk-")]
+
+
+def test_packed_rows(spark):
+    df = spark.range(25_000, numPartitions=3).selectExpr("id", "if(id % 7 = 0, null, 'n' || id) as s", "id % 2 = 0 as b")
+    got = lineage.cut_packed(df)
+    assert got.schema.names == df.schema.names and got.exceptAll(df).isEmpty() and got.count() == 25_000 and lineage.cut_packed(df.filter("id < 0")).isEmpty()
+
+
 def test_making_and_filling(spark, tmp_path):
     made = generate.random_tree(spark, str(tmp_path), items=60, levels=3, max_size=50, seed=4)
     again = generate.random_tree(spark, str(tmp_path), items=60, levels=3, max_size=50, seed=4)

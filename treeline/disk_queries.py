@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import entries as E
-from treeline.functions.paths import strip_root
+from treeline.functions.paths import basename, strip_root
 from treeline.operators import apply, archive, blockzip, chunks, compare, plans, relink, sync
 from treeline.plans import lineage
 from treeline.sources import lists, walk
@@ -27,20 +28,34 @@ SQL: dict[str, str] = {}
 
 
 @contextmanager
-def folder(spark: SparkSession) -> Iterator[str]:
+def folder(spark: SparkSession, many: bool = False) -> Iterator[str]:
     shared = lineage.shared_dir(spark)
     path = f"{shared}/disk-{uuid.uuid4().hex}"
-    yield path.removeprefix("file://").removeprefix("file:")
+    root = path.removeprefix("file://").removeprefix("file:")
+    yield root
+    if many:
+        clear(spark, root)
     lineage.drop(path, spark)
 
 
-def on_disk(sql: str) -> Callable:
-    """A query that works in a folder of its own; what it returns is written down before the folder goes."""
+def clear(spark: SparkSession, root: str) -> None:
+    """Delete the directories two levels below ``root`` by tasks; the driver couldn't list millions of files."""
+    inner = lambda d: [e.path for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+    found = [p for d in inner(root) for p in inner(d)]
+    if found:
+        spark.sparkContext.parallelize(found, min(len(found), 64)).foreach(lambda p: shutil.rmtree(p, ignore_errors=True))
+
+
+def on_disk(sql: str, many: bool = False) -> Callable:
+    """A query that works in a folder of its own; what it returns is written down before the folder goes.
+
+    ``many``: it returns and leaves so many items that rows are written in batches and files deleted by tasks.
+    """
 
     def note(f: Callable) -> Callable:
         def run(spark: SparkSession, d: str) -> DataFrame:
-            with folder(spark) as root:
-                return lineage.cut(f(spark, d, root))
+            with folder(spark, many) as root:
+                return (lineage.cut_packed if many else lineage.cut)(f(spark, d, root))
 
         run.__doc__, run.__name__ = f.__doc__, f.__name__
         QUERIES[f.__name__], SQL[f.__name__] = run, sql
@@ -165,19 +180,40 @@ def disk_chmod(spark: SparkSession, d: str, root: str) -> DataFrame:
     return walk.walk(spark, root).filter("type = 'FILE'").select(strip_root("name", root).alias("rel"), F.col("mode").bitwiseAND(F.lit(0o777).cast("long")).alias("perm"))
 
 
-@on_disk("select '/l' || o_orderkey as rel, '/new/' || o_orderkey as target, true as twin from orders")
+#: Links of a directory, on average: a directory admits one change at a time, so one that held them all would be the work of one task.
+LINKS_OF_DIRECTORY = 4_096
+
+
+@on_disk("select '/l' || o_orderkey as rel, '/new/' || o_orderkey as target, true as twin from orders", many=True)
 def disk_links(spark: SparkSession, d: str, root: str) -> DataFrame:
-    """Symbolic links pointed elsewhere, and a second name for each."""
-    os.makedirs(f"{root}/a")
-    os.makedirs(f"{root}/b")
+    """Symbolic links pointed elsewhere, and a second name for each. They lie in directories by a hash of their keys, which ``rel`` leaves out."""
+    a, b = f"{root}/a", f"{root}/b"
     keys = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("k"))
-    apply.make_links(keys.select(F.concat(F.lit(f"{root}/a/l"), "k").alias("name"), F.concat(F.lit("/old/"), "k").alias("target")))
-    apply.run_relink(relink.relink_plan(walk.walk(spark, f"{root}/a").filter("type = 'LINK'"), "/old/", "/new/"))
-    found = lineage.cut(walk.walk(spark, f"{root}/a").filter("type = 'LINK'").select("name", "target"))
-    apply.make_hard_links(found.select(F.col("name").alias("source"), F.concat(F.lit(f"{root}/b"), strip_root("name", f"{root}/a")).alias("name")))
-    twins = walk.walk(spark, f"{root}/b").select(strip_root("name", f"{root}/b").alias("rel"), F.col("target").alias("t"))
-    both = found.select(strip_root("name", f"{root}/a").alias("rel"), "target").join(twins, "rel", "left")
-    return both.select("rel", "target", F.col("t").eqNullSafe(F.col("target")).alias("twin"))
+    n = max(1, -(-keys.count() // LINKS_OF_DIRECTORY))
+    apply.make_directories(spark.range(n).select(F.explode(F.array(F.concat(F.lit(f"{a}/"), "id"), F.concat(F.lit(f"{b}/"), "id"))).alias("name"), F.lit("DIR").alias("type"), F.lit(0).alias("depth")))
+    dealt = keys.withColumn("dir", F.pmod(F.xxhash64("k"), F.lit(n))).repartition(min(n, 64), "dir")
+    apply.make_links(dealt.select(F.concat(F.lit(f"{a}/"), "dir", F.lit("/l"), "k").alias("name"), F.concat(F.lit("/old/"), "k").alias("target")))
+    links = lambda: walk.walk(spark, a, columns=["name", "type", "target"]).filter("type = 'LINK'")
+    apply.run_relink(relink.relink_plan(links(), "/old/", "/new/"), written=True)
+    found = links().select("name", "target", F.concat(F.lit(b), strip_root("name", a)).alias("second"))
+    apply.make_hard_links(found.select(F.col("name").alias("source"), F.col("second").alias("name")))
+    return read_twins(found).select(F.concat(F.lit("/"), basename("name")).alias("rel"), "target", F.col("t").eqNullSafe(F.col("target")).alias("twin"))
+
+
+def read_twins(found: DataFrame) -> DataFrame:
+    """``name``, ``target`` and ``t``, to which the link of the name ``second`` points; null where there is none."""
+
+    def target(name: str) -> str | None:
+        try:
+            return os.readlink(name)
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns[:2], pa.array([target(x) for x in batch.column(2).to_pylist()], pa.string())], names=["name", "target", "t"])
+
+    return found.select("name", "target", "second").mapInArrow(run, "name string, target string, t string")
 
 
 _NUMBERS = ("mode", "uid", "gid", "atime", "atime_nsec", "mtime", "mtime_nsec", "ctime", "ctime_nsec", "size")

@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,19 @@ def _each(df: DataFrame, act: Callable) -> None:
     df.foreachPartition(run)
 
 
+def _each_text(df: DataFrame, columns: list[str], act: Callable) -> int:
+    """:func:`_each` for columns of text, in batches, with an end for names of drafts that no other attempt has; number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = draft_of("")
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                act(*values, end)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return df.select(*columns).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def _levels(df: DataFrame, act: Callable, deepest_first: bool = False) -> None:
     """One level of directories after the other; there are as many jobs as the tree has levels."""
     for d in sorted(depths(df), reverse=deepest_first):
@@ -48,25 +62,29 @@ def make_files(df: DataFrame) -> None:
 def make_links(df: DataFrame) -> None:
     """Create symbolic links ``name`` to ``target``, replacing what is there."""
 
-    def act(r) -> None:
-        tmp = draft_of(r['name'])
-        os.symlink(r["target"], tmp)
-        os.replace(tmp, r["name"])
+    def act(target: str, name: str, end: str) -> None:
+        try:
+            os.symlink(target, name)
+        except FileExistsError:
+            tmp = name + end
+            os.symlink(target, tmp)
+            os.replace(tmp, name)
 
-    _each(df, act)
+    _each_text(df, ["target", "name"], act)
 
 
 def make_hard_links(df: DataFrame) -> None:
-    """Give ``source`` the further name ``name``."""
+    """Give ``source`` the further name ``name``; a symbolic link itself gets it, wherever it points."""
 
-    def act(r) -> None:
-        if os.path.lexists(r["name"]):
-            if os.path.samefile(r["source"], r["name"]):
-                return
-            os.unlink(r["name"])
-        os.link(r["source"], r["name"])
+    def act(source: str, name: str, _: str) -> None:
+        try:
+            os.link(source, name, follow_symlinks=False)
+        except FileExistsError:
+            if not os.path.samestat(os.lstat(source), os.lstat(name)):
+                os.unlink(name)
+                os.link(source, name, follow_symlinks=False)
 
-    _each(df, act)
+    _each_text(df, ["source", "name"], act)
 
 
 def fill_files(chunks: DataFrame, fill: int | str = 0, seed: int = 1) -> None:
@@ -226,20 +244,23 @@ def run_chmod(plan: DataFrame) -> dict[str, int]:
     return {r["outcome"]: r["n"] for r in plan.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def run_relink(plan: DataFrame, *, preserve: bool = True) -> int:
-    """Point links to their ``new_target``; with ``preserve`` their times stay."""
-    plan = cut(plan)
+def run_relink(plan: DataFrame, *, preserve: bool = True, written: bool = False) -> int:
+    """Point links to their ``new_target``; with ``preserve`` their times stay.
 
-    def act(r) -> None:
-        s = os.lstat(r["name"])
-        tmp = draft_of(r['name'])
-        os.symlink(r["new_target"], tmp)
+    ``written`` says that the plan follows from a list in the shared folder, such as a walk
+    is, and needn't be written down once more.
+    """
+    plan = plan if written else cut(plan)
+
+    def act(name: str, new_target: str, end: str) -> None:
+        tmp = name + end
+        s = os.lstat(name)
+        os.symlink(new_target, tmp)
         if preserve:
             os.utime(tmp, ns=(s.st_atime_ns, s.st_mtime_ns), follow_symlinks=False)
-        os.replace(tmp, r["name"])
+        os.replace(tmp, name)
 
-    _each(plan, act)
-    return plan.count()
+    return _each_text(plan, ["name", "new_target"], act)
 
 
 def run_sync(

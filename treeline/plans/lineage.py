@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pack(batch: pa.RecordBatch) -> bytes:
+    """A batch of rows as one compressed value."""
+    out = pa.BufferOutputStream()
+    pq.write_table(pa.Table.from_batches([batch]), out, compression="zstd", use_dictionary=False, write_statistics=False)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(df: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """The rows that the only column of ``df`` holds as :func:`pack` made them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0):
+                yield from pq.read_table(pa.BufferReader(packed.as_py())).to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def cut_packed(df: DataFrame) -> DataFrame:
+    """:func:`cut` for many millions of short rows: they are stored in compressed batches, for about a tenth of the disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([pa.array([pack(batch)], pa.binary())], names=["packed"])
+
+    return unpack(cut(df.mapInArrow(run, "packed binary")), df.schema)
+
+
 def drop(path: str, spark: SparkSession) -> None:
     """Delete a folder that this library wrote below the shared one."""
     if not path.startswith(shared_dir(spark)):

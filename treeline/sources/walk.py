@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from treeline.entries import SCHEMA
 from treeline.functions.paths import reduce_text
-from treeline.plans.lineage import cut
+from treeline.plans.lineage import cut, pack, unpack
 
 WALK_SCHEMA = T.StructType([*[T.StructField(f.name, f.dataType) for f in SCHEMA.fields], T.StructField("target", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -46,6 +46,20 @@ def lite_row(path: str, kind: str) -> tuple:
     return (name, name.count("/"), kind, *[None] * 10, None, None)
 
 
+def target_row(path: str, kind: str) -> tuple:
+    """:func:`lite_row` with the target of a link, or an ``error`` if it can't be read."""
+    row = lite_row(path, kind)
+    if kind != "LINK":
+        return row
+    try:
+        return (*row[:-2], _text(os.readlink(path)), None)
+    except OSError as e:
+        return (*row[:2], "UNKNOWN", *row[3:-1], e.strerror or str(e))
+
+
+#: What a walk tells without a stat of each item.
+UNSTATTED = {"name", "depth", "type", "target", "error"}
+
 #: Items a task lists before it hands the directories it hasn't got to back to be dealt out; each round as many again.
 FIRST_ROUND = 2_000
 
@@ -67,9 +81,9 @@ def _loops(path: str, parent: str) -> bool:
     return above == real or above.startswith(real.rstrip("/") + "/")
 
 
-def _expand(paths: Iterable[str], lite: bool, dereference: bool, budget: int) -> Iterator[tuple[tuple | None, bytes | None]]:
+def _expand(paths: Iterable[str], lite: bool, dereference: bool, budget: int, targets: bool = False) -> Iterator[tuple[tuple | None, bytes | None]]:
     """Rows of the items below ``paths`` until the budget is spent, then the directories that are left."""
-    row = (lambda p, k: lite_row(p, k)) if lite else (lambda p, _: stat_row(p, dereference))
+    row = lite_row if lite else target_row if targets and not dereference else (lambda p, _: stat_row(p, dereference))
     stack, done = list(paths), 0
     while stack:
         if done >= budget:
@@ -90,7 +104,7 @@ def _expand(paths: Iterable[str], lite: bool, dereference: bool, budget: int) ->
         yield (mine if error is None else (*mine[:-1], error)), None
 
 
-def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False, dereference: bool = False, partitions: int = 64) -> DataFrame:
+def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False, dereference: bool = False, partitions: int = 64, columns: list[str] | None = None) -> DataFrame:
     """Entries of whole trees, the roots among them, with ``target`` of links and ``error``.
 
     An item that can't be read has an error and no detail; a directory that can't be listed
@@ -102,14 +116,23 @@ def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False,
     sees no item: each round is written to the shared folder, so the walk happens once
     however often the result is read, and a lost executor repeats a task only. The folder must
     be visible to all executors.
+
+    With ``columns`` only these are kept, in compressed batches: for trees of many millions of items.
+    Where they are of ``UNSTATTED``, items aren't stat'ed.
     """
     roots = [reduce_text(p, True) for p in ([paths] if isinstance(paths, str) else list(paths))]
-    schema = T.StructType([*WALK_SCHEMA.fields, T.StructField("todo", T.BinaryType())])
+    kept = [WALK_SCHEMA.fieldNames().index(c) for c in columns] if columns else []
+    schema = T.StructType([*([T.StructField("packed", T.BinaryType())] if columns else WALK_SCHEMA.fields), T.StructField("todo", T.BinaryType())])
     kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64() for f in WALK_SCHEMA]
 
     def batches_of(found: Iterator[tuple[tuple | None, bytes | None]]) -> Iterator[pa.RecordBatch]:
         none = (None,) * len(kinds)
         while rows := list(itertools.islice(found, 4096)):
+            if columns:
+                items, todo = [r for r, _ in rows if r], [t for _, t in rows if t]
+                packed = [pack(pa.record_batch([pa.array([r[k] for r in items], kinds[k]) for k in kept], names=columns))] if items else []
+                yield pa.record_batch([pa.array([*packed, *[None] * len(todo)], pa.binary()), pa.array([*[None] * len(packed), *todo], pa.binary())], names=schema.names)
+                continue
             cols = list(zip(*[r or none for r, _ in rows], strict=True))
             yield pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([t for _, t in rows], pa.binary())], names=schema.names)
 
@@ -125,7 +148,7 @@ def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False,
     def go_on(budget: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             work = [os.fsdecode(p) for batch in batches for p in batch.column(0).to_pylist()]
-            yield from batches_of(_expand(work, lite, dereference, budget))
+            yield from batches_of(_expand(work, lite, dereference, budget, bool(columns) and UNSTATTED >= {*columns}))
 
         return run
 
@@ -133,7 +156,8 @@ def walk(spark: SparkSession, paths: str | Iterable[str], *, lite: bool = False,
     parts, budget, run = [], FIRST_ROUND, begin
     while True:
         found = cut(todo.mapInArrow(run, schema))
-        parts.append(found.filter("todo is null").drop("todo"))
+        mine = found.filter("todo is null").drop("todo")
+        parts.append(unpack(mine, T.StructType([WALK_SCHEMA[k] for k in kept])) if columns else mine)
         left = found.filter("todo is not null").select("todo")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, parts)
